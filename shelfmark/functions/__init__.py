@@ -10,6 +10,7 @@ from .paths import (
     parent_path,
     path_segments,
     suffix,
+    tidy_path,
     under_folder,
 )
 from .sizes import human_size
@@ -32,5 +33,6 @@ __all__ = [
     "short_hash",
     "strip",
     "suffix",
+    "tidy_path",
     "under_folder",
 ]

@@ -38,12 +38,8 @@ def in_category(extension: Column | str, category: str) -> Column:
 
 def categorize(extension: Column | str) -> Column:
     """Report category of an extension, whatever its case; ``Other`` by default."""
-    ext = F.lower(_col(extension))
-    out = None
-    for category, exts in CATEGORIES.items():
-        hit = ext.isin(exts.split())
-        out = F.when(hit, F.lit(category)) if out is None else out.when(hit, F.lit(category))
-    return out.otherwise(F.lit(OTHER))
+    of = {ext: name for name, exts in CATEGORIES.items() for ext in exts.split()}
+    return F.coalesce(F.try_element_at(_literal_map(of), F.lower(_col(extension))), F.lit(OTHER))
 
 
 class _MimeTables:
@@ -61,7 +57,9 @@ MIME = _MimeTables()
 
 
 def _literal_map(pairs: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in sorted(pairs.items()) for x in kv])
+    # as one SQL text: hundreds of literal columns would take longer to build
+    # than most queries take to plan
+    return F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in sorted(pairs.items())) + ")")
 
 
 def _dot_part(name: Column) -> Column:

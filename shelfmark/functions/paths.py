@@ -42,6 +42,22 @@ def path_segments(path: Column | str, sep: str = SEP) -> Column:
     return F.filter(F.split(_col(path), re.escape(sep)), lambda part: part != "")
 
 
+def tidy_path(path: Column | str, sep: str = SEP) -> Column:
+    """A path without separators at either end or next to each other.
+
+    Equal to joining ``path_segments``, but plain text work for the usual path.
+    """
+    p = _col(path)
+    inner = F.btrim(p, F.lit(sep))
+    single = F.regexp_replace(inner, re.escape(sep) + "+", sep.replace("\\", "\\\\"))
+    return F.when(F.contains(p, F.lit(sep * 2)), single).otherwise(inner)
+
+
+def folder_of(tidy: Column, sep: str = SEP) -> Column:
+    """All of a tidy path but its last segment; '' at the top."""
+    return F.substring(tidy, F.lit(1), F.greatest(F.length(tidy) - F.length(_after_last(tidy, sep)) - 1, F.lit(0)))
+
+
 def join_segments(parts: Column, sep: str = SEP) -> Column:
     return F.array_join(parts, sep)
 

@@ -7,8 +7,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import SEP, blank_if_null, categorize, human_size, path_segments, under_folder
-from ..functions.paths import join_segments, split_folder
+from ..functions import (
+    SEP,
+    ancestors,
+    blank_if_null,
+    categorize,
+    human_size,
+    parent_path,
+    path_segments,
+    tidy_path,
+    under_folder,
+)
+from ..functions.paths import folder_of, join_segments, split_folder
 
 
 @dataclass(frozen=True)
@@ -24,32 +34,33 @@ def _descendants(files: DataFrame, disk_id: int, folder: str | None, sep: str) -
     return files.where((F.col("disk_id") == disk_id) & under_folder("path", folder, sep))
 
 
+def _below(rows: DataFrame, head: Column, sep: str) -> DataFrame:
+    """Adds ``_rest``: the path below ``head``, a tidy folder path ('' for the top)."""
+    skip = F.when(head == "", F.lit(0)).otherwise(F.length(head) + 1)
+    return rows.withColumn("_rest", F.substr(tidy_path("path", sep), skip + 1)).where(F.col("_rest") != "")
+
+
 def _folders_at(rows: DataFrame, head: Column, sep: str) -> DataFrame:
-    """Immediate sub-folders below ``head`` (an array of segments)."""
-    parts = path_segments("path", sep)
-    depth = F.size(head)
+    """Immediate sub-folders of ``head``, each with all that is below it."""
+    rest = F.col("_rest")
+    path = F.when(head == "", F.col("name")).otherwise(F.concat(head, F.lit(sep), F.col("name")))
     return (
-        rows.where(F.size(parts) > depth + 1)
-        .groupBy(F.get(parts, depth).alias("name"))
+        _below(rows, head, sep)
+        .where(F.contains(rest, F.lit(sep)))
+        .groupBy(F.substring_index(rest, sep, 1).alias("name"))
         .agg(F.count("*").alias("file_count"), F.sum(F.coalesce("size_bytes", F.lit(0))).alias("total_bytes"))
-        .select(
-            "name",
-            join_segments(F.concat(head, F.array("name")), sep).alias("path"),
-            "file_count",
-            "total_bytes",
-            human_size("total_bytes").alias("size_human"),
-        )
+        .select("name", path.alias("path"), "file_count", "total_bytes", human_size("total_bytes").alias("size_human"))
         .orderBy(F.lower("name"), "name")
     )
 
 
 def _files_at(rows: DataFrame, head: Column, sep: str) -> DataFrame:
     """Files directly in ``head``."""
-    parts = path_segments("path", sep)
     return (
-        rows.where(F.size(parts) == F.size(head) + 1)
+        _below(rows, head, sep)
+        .where(~F.contains("_rest", F.lit(sep)))
         .select(
-            F.get(parts, F.size(head)).alias("name"),
+            F.col("_rest").alias("name"),
             "path",
             blank_if_null("extension").alias("extension"),
             categorize("extension").alias("category"),
@@ -63,7 +74,7 @@ def _files_at(rows: DataFrame, head: Column, sep: str) -> DataFrame:
 
 
 def _literal_head(folder: str | None, sep: str) -> Column:
-    return F.array(*[F.lit(p) for p in split_folder(folder, sep)]).cast("array<string>")
+    return F.lit(sep.join(split_folder(folder, sep)))
 
 
 def browse_folders(files: DataFrame, disk_id: int, folder: str | None = None, sep: str = SEP) -> DataFrame:
@@ -85,33 +96,28 @@ def _shared_head(lowest: Column, highest: Column, sep: str) -> Column:
     return F.slice(path_segments(lowest, sep), F.lit(1), shared)
 
 
-def root_head(files: DataFrame, disk_id: int, sep: str = SEP) -> DataFrame:
-    """Where browsing a disk starts, as one row with an array of segments.
+def root_folder(files: DataFrame, disk_id: int, sep: str = SEP) -> DataFrame:
+    """Where browsing a disk starts, as one row with the column ``head``.
 
     Going down while there is exactly one folder and no file ends at the longest
     prefix common to all folders.  That of the first and the last folder in sort
     order is the same, so one aggregate finds it, however deep it lies.
     """
-    parts = path_segments("path", sep)
-    # the trailing separator keeps 'a' and 'a b' from sharing more than segments
-    folder = F.concat(join_segments(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), sep), F.lit(sep))
+    # ending in a separator, 'a' and 'a b' share whole segments only
+    folder = F.concat(folder_of(tidy_path("path", sep), sep), F.lit(sep))
+    shared = join_segments(_shared_head(F.col("lowest"), F.col("highest"), sep), sep)
     return (
         files.where(F.col("disk_id") == disk_id)
         .agg(F.min(folder).alias("lowest"), F.max(folder).alias("highest"))
-        .select(
-            F.coalesce(
-                _shared_head(F.col("lowest"), F.col("highest"), sep), F.array().cast("array<string>")
-            ).alias("head")
-        )
+        .select(F.coalesce(shared, F.lit("")).alias("head"))
     )
 
 
 def _location(head: DataFrame, disk_id: int, sep: str) -> DataFrame:
-    n = F.size("head")
     return head.select(
         F.lit(disk_id).cast("long").alias("disk_id"),
-        join_segments(F.col("head"), sep).alias("current_path"),
-        F.when(n > 1, join_segments(F.slice("head", F.lit(1), n - 1), sep)).alias("parent_path"),
+        F.col("head").alias("current_path"),
+        parent_path("head", sep).alias("parent_path"),
     )
 
 
@@ -122,7 +128,7 @@ def browse(files: DataFrame, disk_id: int, folder: str | None = None, sep: str =
         rows = _descendants(files, disk_id, folder, sep)
         one_row = files.sparkSession.range(1).select(head.alias("head"))
     else:
-        one_row = root_head(files, disk_id, sep)
+        one_row = root_folder(files, disk_id, sep)
         head = one_row.scalar()
         rows = files.where(F.col("disk_id") == disk_id)
     return Browse(_location(one_row, disk_id, sep), _folders_at(rows, head, sep), _files_at(rows, head, sep))
@@ -134,18 +140,14 @@ def folder_rollup(files: DataFrame, sep: str = SEP) -> DataFrame:
     Files are summed per direct folder first; only folders are then repeated for
     each of their ancestors.
     """
-    parts = path_segments("path", sep)
     direct = (
-        files.select("disk_id", "size_bytes", parts.alias("parts"))
-        .where(F.size("parts") > 1)
-        .groupBy("disk_id", F.slice("parts", F.lit(1), F.size("parts") - 1).alias("dirs"))
+        files.groupBy("disk_id", folder_of(tidy_path("path", sep), sep).alias("direct"))
         .agg(F.count("*").alias("n"), F.sum(F.coalesce("size_bytes", F.lit(0))).alias("b"))
     )
-    upward = F.transform(
-        F.sequence(F.lit(1), F.size("dirs")), lambda n: join_segments(F.slice("dirs", F.lit(1), n), sep)
-    )
+    # files outside any folder have no ancestors and drop out here; a filter on
+    # the folder would be pushed down and cut up every path a second time
     return (
-        direct.select("disk_id", "n", "b", F.explode(upward).alias("folder"))
+        direct.withColumn("folder", F.explode(ancestors("direct", sep)["path"]))
         .groupBy("disk_id", "folder")
         .agg(F.sum("n").alias("file_count"), F.sum("b").alias("total_bytes"))
     )

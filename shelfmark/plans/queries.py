@@ -182,7 +182,7 @@ def browse_root_folders(spark, sf):
 
 @query
 def browse_root_files(spark, sf):
-    return folders.browse(t.files(spark, sf), 1).files
+    return folders.browse(t.files_events(spark, sf), 1).files
 
 
 @query

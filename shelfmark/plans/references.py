@@ -328,9 +328,11 @@ def references() -> dict[str, str]:
                 SELECT name, 'E:\Orders\' || name AS path, file_count, total_bytes,
                   {readable('total_bytes')} AS size_human FROM g""",
         ),
-        "browse_root_files": over(
-            "files", rf"SELECT {_LISTING}, hash FROM files WHERE disk_id = 1 AND {_FOLDER} = 'D:\Archive'"
-        ),
+        "browse_root_files": rf"""
+            SELECT event_type || '_' || event_id || '.log' AS name,
+              '\\server\share\logs\' || event_type || '_' || event_id || '.log' AS path, '.log' AS extension,
+              'Other' AS category, user_id * 1000 AS size_bytes, {readable('user_id * 1000')} AS size_human,
+              ts AS modified_date, md5(props) AS hash FROM events""",
         "browse_root_location": over(
             "files",
             r"""SELECT DISTINCT CAST(1 AS BIGINT) AS disk_id, 'D:\Archive' AS current_path, 'D:' AS parent_path

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import mime_type, suffix
 from ..schemas import FILES
@@ -19,8 +20,15 @@ SUFFIXES = (
 )
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; its schema is looked up once, as that takes a job."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def _after(start: str, seconds: Column) -> Column:
@@ -64,9 +72,8 @@ def files_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     name = F.concat(F.lit("order_"), F.col("o_orderkey").cast("string"), F.lit(".pdf"))
     when = F.col("o_orderdate")
-    folder = F.concat(
-        F.lit("E:\\Orders\\"), F.date_format(when, "yyyy"), F.lit("\\"), F.date_format(when, "MM"), F.lit("\\")
-    )
+    month = F.lpad(F.month(when).cast("string"), 2, "0")
+    folder = F.concat(F.lit("E:\\Orders\\"), F.year(when).cast("string"), F.lit("\\"), month, F.lit("\\"))
     content = F.concat_ws("|", F.col("o_custkey").cast("string"), "o_orderstatus", "o_orderpriority")
     values = {
         "disk_id": 1 + F.col("o_custkey") % 4,
@@ -177,7 +184,7 @@ def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         (1 + F.col("o_orderkey")).alias("scan_id"),
         (1 + F.col("o_custkey") % 40).alias("disk_id"),
-        F.concat(F.lit("E:\\Orders\\"), F.date_format(started, "yyyy")).alias("root_path"),
+        F.concat(F.lit("E:\\Orders\\"), F.year(started).cast("string")).alias("root_path"),
         started.alias("started_at"),
         F.when(status != "O", started + F.expr("INTERVAL '1' HOUR")).alias("finished_at"),
         F.when(status == "O", "running").when(status == "F", "completed").otherwise("failed").alias("status"),
@@ -196,6 +203,19 @@ def listing_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def files_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One log file per event, all of them in one folder."""
+    name = F.concat(F.col("event_type"), F.lit("_"), F.col("event_id").cast("string"), F.lit(".log"))
+    return table(spark, sf_dir, "events").select(
+        F.lit(1).cast("long").alias("disk_id"),
+        F.concat(F.lit("\\\\server\\share\\logs\\"), name).alias("path"),
+        F.lit(".log").alias("extension"),
+        (F.col("user_id") * 1000).alias("size_bytes"),
+        F.col("ts").alias("modified_date"),
+        F.md5(F.col("props").cast("binary")).alias("hash"),
+    )
+
+
 def requested_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths asked for, one per document; a quarter of them are not catalogued."""
     wrong = F.replace("path", F.lit("D:\\Archive\\"), F.lit("D:\\Missing\\"))
