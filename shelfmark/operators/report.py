@@ -86,5 +86,10 @@ def report_widths(rows: DataFrame) -> DataFrame:
 
 
 def write_report(rows: DataFrame, path: str, sep: str = SEP) -> None:
-    """Writes the report as CSV parts with headings, in the order of ``rows``."""
-    report(rows, sep).write.mode("errorifexists").option("header", True).option("emptyValue", "").csv(path)
+    """Writes the report as CSV parts with headings, in the order of ``rows``.
+
+    Quotes are doubled and a backslash is an ordinary character, as spreadsheets
+    expect.
+    """
+    options = {"header": True, "emptyValue": "", "quote": '"', "escape": '"'}
+    report(rows, sep).write.mode("errorifexists").options(**options).csv(path)
