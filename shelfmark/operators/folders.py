@@ -34,30 +34,30 @@ def _descendants(files: DataFrame, disk_id: int, folder: str | None, sep: str) -
     return files.where((F.col("disk_id") == disk_id) & under_folder("path", folder, sep))
 
 
-def _below(rows: DataFrame, head: Column, sep: str) -> DataFrame:
-    """Adds ``_rest``: the path below ``head``, a tidy folder path ('' for the top)."""
-    skip = F.when(head == "", F.lit(0)).otherwise(F.length(head) + 1)
+def _below(rows: DataFrame, sep: str) -> DataFrame:
+    """Adds ``_rest``: the path below the folder in ``head`` ('' for the top)."""
+    skip = F.when(F.col("head") == "", F.lit(0)).otherwise(F.length("head") + 1)
     return rows.withColumn("_rest", F.substr(tidy_path("path", sep), skip + 1)).where(F.col("_rest") != "")
 
 
-def _folders_at(rows: DataFrame, head: Column, sep: str) -> DataFrame:
+def _folders_at(rows: DataFrame, sep: str) -> DataFrame:
     """Immediate sub-folders of ``head``, each with all that is below it."""
     rest = F.col("_rest")
-    path = F.when(head == "", F.col("name")).otherwise(F.concat(head, F.lit(sep), F.col("name")))
+    path = F.when(F.col("head") == "", F.col("name")).otherwise(F.concat("head", F.lit(sep), "name"))
     return (
-        _below(rows, head, sep)
+        _below(rows, sep)
         .where(F.contains(rest, F.lit(sep)))
-        .groupBy(F.substring_index(rest, sep, 1).alias("name"))
+        .groupBy("head", F.substring_index(rest, sep, 1).alias("name"))
         .agg(F.count("*").alias("file_count"), F.sum(F.coalesce("size_bytes", F.lit(0))).alias("total_bytes"))
         .select("name", path.alias("path"), "file_count", "total_bytes", human_size("total_bytes").alias("size_human"))
         .orderBy(F.lower("name"), "name")
     )
 
 
-def _files_at(rows: DataFrame, head: Column, sep: str) -> DataFrame:
+def _files_at(rows: DataFrame, sep: str) -> DataFrame:
     """Files directly in ``head``."""
     return (
-        _below(rows, head, sep)
+        _below(rows, sep)
         .where(~F.contains("_rest", F.lit(sep)))
         .select(
             F.col("_rest").alias("name"),
@@ -73,18 +73,19 @@ def _files_at(rows: DataFrame, head: Column, sep: str) -> DataFrame:
     )
 
 
-def _literal_head(folder: str | None, sep: str) -> Column:
-    return F.lit(sep.join(split_folder(folder, sep)))
+def _chosen(files: DataFrame, disk_id: int, folder: str | None, sep: str) -> DataFrame:
+    head = F.lit(sep.join(split_folder(folder, sep)))
+    return _descendants(files, disk_id, folder, sep).withColumn("head", head)
 
 
 def browse_folders(files: DataFrame, disk_id: int, folder: str | None = None, sep: str = SEP) -> DataFrame:
     """Sub-folders of ``folder`` with the files and bytes below each."""
-    return _folders_at(_descendants(files, disk_id, folder, sep), _literal_head(folder, sep), sep)
+    return _folders_at(_chosen(files, disk_id, folder, sep), sep)
 
 
 def browse_files(files: DataFrame, disk_id: int, folder: str | None = None, sep: str = SEP) -> DataFrame:
     """Files directly in ``folder``."""
-    return _files_at(_descendants(files, disk_id, folder, sep), _literal_head(folder, sep), sep)
+    return _files_at(_chosen(files, disk_id, folder, sep), sep)
 
 
 def _shared_head(lowest: Column, highest: Column, sep: str) -> Column:
@@ -97,7 +98,7 @@ def _shared_head(lowest: Column, highest: Column, sep: str) -> Column:
 
 
 def root_folder(files: DataFrame, disk_id: int, sep: str = SEP) -> DataFrame:
-    """Where browsing a disk starts, as one row with the column ``head``.
+    """Where browsing a disk starts: one row with ``disk_id`` and ``head``.
 
     Going down while there is exactly one folder and no file ends at the longest
     prefix common to all folders.  That of the first and the last folder in sort
@@ -108,8 +109,8 @@ def root_folder(files: DataFrame, disk_id: int, sep: str = SEP) -> DataFrame:
     shared = join_segments(_shared_head(F.col("lowest"), F.col("highest"), sep), sep)
     return (
         files.where(F.col("disk_id") == disk_id)
-        .agg(F.min(folder).alias("lowest"), F.max(folder).alias("highest"))
-        .select(F.coalesce(shared, F.lit("")).alias("head"))
+        .agg(F.max("disk_id").alias("disk_id"), F.min(folder).alias("lowest"), F.max(folder).alias("highest"))
+        .select("disk_id", F.coalesce(shared, F.lit("")).alias("head"))
     )
 
 
@@ -124,14 +125,13 @@ def _location(head: DataFrame, disk_id: int, sep: str) -> DataFrame:
 def browse(files: DataFrame, disk_id: int, folder: str | None = None, sep: str = SEP) -> Browse:
     """Folders and files in ``folder``; without one, at the disk's first branching."""
     if folder is not None:
-        head = _literal_head(folder, sep)
-        rows = _descendants(files, disk_id, folder, sep)
-        one_row = files.sparkSession.range(1).select(head.alias("head"))
+        rows = _chosen(files, disk_id, folder, sep)
+        start = files.sparkSession.range(1).select(F.lit(sep.join(split_folder(folder, sep))).alias("head"))
     else:
-        one_row = root_folder(files, disk_id, sep)
-        head = one_row.scalar()
-        rows = files.where(F.col("disk_id") == disk_id)
-    return Browse(_location(one_row, disk_id, sep), _folders_at(rows, head, sep), _files_at(rows, head, sep))
+        start = root_folder(files, disk_id, sep)
+        # an aggregate without keys is one row, so broadcasting it is safe
+        rows = files.where(F.col("disk_id") == disk_id).join(F.broadcast(start), "disk_id")
+    return Browse(_location(start, disk_id, sep), _folders_at(rows, sep), _files_at(rows, sep))
 
 
 def folder_rollup(files: DataFrame, sep: str = SEP) -> DataFrame:

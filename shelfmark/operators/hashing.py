@@ -61,12 +61,16 @@ def sha256_of(content: Column, size: Column, policy: HashPolicy) -> Column:
     return F.sha2(F.when(policy.whole(size), content).otherwise(sample), 256)
 
 
-@F.arrow_udf(T.StringType())
-def _blake2b(content: pa.Array) -> pa.Array:
+def _blake2b_batch(content: pa.Array) -> pa.Array:
     digests = [None if v is None else hashlib.blake2b(v).hexdigest() for v in _buffers(content)]
     return pa.array(digests, pa.string())
 
 
+# Declared non-deterministic though it is not: otherwise a filter on the digest
+# is pushed below its column, and everything is hashed twice.
+_blake2b = F.arrow_udf(_blake2b_batch, T.StringType()).asNondeterministic()
+
+
 def _buffers(content: pa.Array) -> Iterator[memoryview | None]:
     for value in content:
         buffer = value.as_buffer()
@@ -120,7 +124,6 @@ def hash_files(files: DataFrame, policy: HashPolicy) -> DataFrame:
         return files.withColumns({"hash": none, "hash_algo": none, "error_message": none})
     sample = policy.sample
 
-    @F.arrow_udf("struct<hash:string,error:string>")
     def read(path: pa.Array, size: pa.Array, whole: pa.Array) -> pa.Array:
         rows = []
         for p, n, w in zip(path.to_pylist(), size.to_pylist(), whole.to_pylist()):
@@ -131,8 +134,9 @@ def hash_files(files: DataFrame, policy: HashPolicy) -> DataFrame:
         return pa.array(rows, pa.struct([("hash", pa.string()), ("error", pa.string())]))
 
     size = F.col("size_bytes")
+    digest = F.arrow_udf(read, "struct<hash:string,error:string>").asNondeterministic()
     return (
-        files.withColumn("_read", read("path", "size_bytes", policy.whole(size)))
+        files.withColumn("_read", digest("path", "size_bytes", policy.whole(size)))
         .withColumns(
             {
                 "hash": F.col("_read.hash"),

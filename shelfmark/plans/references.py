@@ -332,7 +332,7 @@ def references() -> dict[str, str]:
             SELECT event_type || '_' || event_id || '.log' AS name,
               '\\server\share\logs\' || event_type || '_' || event_id || '.log' AS path, '.log' AS extension,
               'Other' AS category, user_id * 1000 AS size_bytes, {readable('user_id * 1000')} AS size_human,
-              ts AS modified_date, md5(props) AS hash FROM events""",
+              ts AS modified_date, md5(props) AS hash FROM events WHERE event_id % 2 = 0""",
         "browse_root_location": over(
             "files",
             r"""SELECT DISTINCT CAST(1 AS BIGINT) AS disk_id, 'D:\Archive' AS current_path, 'D:' AS parent_path

@@ -204,10 +204,10 @@ def listing_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One log file per event, all of them in one folder."""
+    """One log file per event, all of them in one folder of two disks."""
     name = F.concat(F.col("event_type"), F.lit("_"), F.col("event_id").cast("string"), F.lit(".log"))
     return table(spark, sf_dir, "events").select(
-        F.lit(1).cast("long").alias("disk_id"),
+        (1 + F.col("event_id") % 2).alias("disk_id"),
         F.concat(F.lit("\\\\server\\share\\logs\\"), name).alias("path"),
         F.lit(".log").alias("extension"),
         (F.col("user_id") * 1000).alias("size_bytes"),
