@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import FILE_KEY
 
-NEW, CHANGED, UNCHANGED = "new", "changed", "unchanged"
+NEW, CHANGED, UNCHANGED, UNSEEN = "new", "changed", "unchanged", "unseen"
 
 
 def classify_changes(listing: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -36,6 +36,27 @@ def classify_changes(listing: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
+def match_listing(listing: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Listing and catalog in one: a row for every (disk, path) of either.
+
+    Adds ``change_kind``, with ``unseen`` for catalogued files the listing lacks,
+    and ``old``, the whole catalog row.  Everything a rescan needs to know then
+    comes from one join, and the new table takes no second one.
+    """
+    stored = catalog.select(*FILE_KEY, F.struct(*catalog.columns).alias("old"))
+    joined = listing.withColumn("_listed", F.lit(True)).join(stored, FILE_KEY, "full_outer")
+    same = F.col("size_bytes").eqNullSafe(F.col("old.size_bytes")) & F.col("modified_date").eqNullSafe(
+        F.col("old.modified_date")
+    )
+    kind = (
+        F.when(F.col("_listed").isNull(), F.lit(UNSEEN))
+        .when(F.col("old").isNull(), F.lit(NEW))
+        .when(same, F.lit(UNCHANGED))
+        .otherwise(F.lit(CHANGED))
+    )
+    return joined.withColumn("change_kind", kind).drop("_listed")
+
+
 def reuse_hashes(listing: DataFrame, catalog: DataFrame, digest: Column, algo: Column) -> DataFrame:
     """Listing with hashes: stored ones where unchanged, computed ones elsewhere.
 

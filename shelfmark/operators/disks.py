@@ -68,4 +68,4 @@ def patch_disks(disks: DataFrame, patches: DataFrame) -> DataFrame:
 
 def unknown_patches(disks: DataFrame, patches: DataFrame) -> DataFrame:
     """Edits for disks that do not exist."""
-    return patches.join(disks.select("disk_id"), "disk_id", "left_anti")
+    return patches.join(disks.select("disk_id"), "disk_id", "left_anti").select(*patches.columns)

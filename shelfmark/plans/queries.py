@@ -316,6 +316,19 @@ def hash_reuse(spark, sf):
     return rows.select("disk_id", "path", "change_kind", "hash", "hash_algo")
 
 
+@query
+def listing_match(spark, sf):
+    rows = changes.match_listing(t.rescanned_files(spark, sf), t.prior_files(spark, sf))
+    return rows.select(
+        "disk_id",
+        "path",
+        "change_kind",
+        "size_bytes",
+        F.col("old.size_bytes").alias("old_size"),
+        F.col("old.hash").alias("old_hash"),
+    )
+
+
 @query
 def catalog_upsert(spark, sf):
     return changes.upsert_files(t.prior_files(spark, sf), t.rescanned_files(spark, sf))

@@ -408,6 +408,14 @@ def references() -> dict[str, str]:
                  CASE WHEN change_kind = 'unchanged' THEN hash ELSE {small_hash} END AS hash,
                  CASE WHEN change_kind = 'unchanged' THEN hash_algo ELSE {small_algo} END AS hash_algo FROM j""",
         ),
+        "listing_match": over(
+            "prior",
+            """SELECT coalesce(f.disk_id, p.disk_id) AS disk_id, coalesce(f.path, p.path) AS path,
+                 CASE WHEN f.path IS NULL THEN 'unseen' WHEN p.path IS NULL THEN 'new'
+                      WHEN p.size_bytes = f.size_bytes AND p.modified_date = f.modified_date THEN 'unchanged'
+                      ELSE 'changed' END AS change_kind, f.size_bytes, p.size_bytes AS old_size, p.hash AS old_hash
+               FROM files f FULL JOIN prior p ON p.disk_id = f.disk_id AND p.path = f.path""",
+        ),
         "catalog_upsert": over(
             "prior",
             """SELECT disk_id, CAST(2 AS BIGINT) AS scan_id, path, filename, extension, size_bytes, created_date,

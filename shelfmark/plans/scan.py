@@ -10,15 +10,17 @@ the rest: at once after an error, at the next scan of the disk after a crash.
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import mime_type
 from ..operators import ledger
-from ..operators.changes import UNCHANGED, classify_changes, upsert_files
+from ..operators.changes import CHANGED, NEW, UNCHANGED, UNSEEN, match_listing
 from ..operators.disks import upsert_disks
 from ..operators.hashing import HashPolicy, hash_files
 from ..schemas import FILES, SCAN_ERRORS
@@ -64,12 +66,16 @@ def scan(
     at = F.lit((now or datetime.now(timezone.utc)).isoformat()).cast("timestamp")
 
     disk_id = _known_disk(catalog, volume, at)
-    for stale in _running(catalog, disk_id):
-        _Run(catalog, stale, disk_id, at).settle()
+    stale = [_Run(catalog, scan_id, disk_id, at) for scan_id in _running(catalog, disk_id)]
+    for run in stale:
+        run.settle()
     scans = ledger.close_stale(catalog.scans(), disk_id, at)
     scan_id = 1 + (catalog.scans().agg(F.max("scan_id")).first()[0] or 0)
     catalog.replace_small("scans", ledger.open_scan(scans, scan_id, disk_id, root, at))
 
+    for run in stale:
+        run.clear()
+
     run = _Run(catalog, scan_id, disk_id, at)
     try:
         run.list(root)
@@ -80,6 +86,8 @@ def scan(
         raise
     scanned, failed = run.settle()
     run.close(scanned, failed, ledger.COMPLETED)
+    # the version before stays for whoever is still reading it
+    catalog.drop_old_versions(keep=2)
     return ScanResult(scan_id, disk_id, scanned, failed)
 
 
@@ -98,6 +106,10 @@ def _running(catalog: Catalog, disk_id: int) -> list[int]:
     return [row["scan_id"] for row in open_.select("scan_id").orderBy("scan_id").collect()]
 
 
+def _portion(portions: int) -> Column:
+    return F.pmod(F.xxhash64("path"), F.lit(portions))
+
+
 class _Run:
     """The staged tables of one scan."""
 
@@ -108,7 +120,7 @@ class _Run:
         self.staging = f"{shared_folder(self.spark)}/shelfmark-{name}/scan_id={scan_id}"
 
     def list(self, root: str) -> None:
-        """Stages the listing, each row marked new, changed or unchanged."""
+        """Stages the listing, and beside it the match with the catalog."""
         found = list_tree(self.spark, root, f"{self.staging}/walk")
         found.write.parquet(f"{self.staging}/listing")
         listing = (
@@ -124,47 +136,59 @@ class _Run:
                 }
             )
         )
-        marked = classify_changes(listing, self.catalog.files(self.disk_id))
-        marked.write.parquet(f"{self.staging}/marked")
+        matched = match_listing(listing, self.catalog.files(self.disk_id))
+        matched.write.parquet(f"{self.staging}/matched")
 
     def hash(self, policy: HashPolicy, portion_bytes: int) -> None:
         """Hashes new and changed files, portion by portion."""
-        todo = self._staged("marked").where(F.col("change_kind") != UNCHANGED).drop("hash", "hash_algo")
+        todo = self._staged("matched").where(F.col("change_kind").isin(NEW, CHANGED))
         to_read = F.when(policy.whole(F.col("size_bytes")), F.col("size_bytes")).otherwise(2 * policy.sample)
         total = todo.agg(F.sum(to_read)).first()[0]
         if total is None:
             return
         portions = max(1, -(-total // portion_bytes))
         tasks = max(self.spark.sparkContext.defaultParallelism, -(-total // portions // _TASK_BYTES))
-        portion = F.pmod(F.xxhash64("path"), F.lit(portions))
         for n in range(portions):
             # repartitioned by count: rows are short, reading what they name is not
-            some = todo.where(portion == n).repartition(tasks)
-            hash_files(some, policy).write.parquet(f"{self.staging}/hashed/portion={n:06d}")
+            some = todo.where(_portion(portions) == n).repartition(tasks)
+            hash_files(some, policy).write.parquet(f"{self.staging}/hashed/of={portions}/portion={n:06d}")
 
     def settle(self) -> tuple[int, int]:
-        """Enters what is staged into the catalog; gives files and errors."""
-        listing, marked, hashed = (self._staged(t) for t in ("listing", "marked", "hashed/portion=*"))
-        errors = []
-        if listing is not None:
-            errors.append(listing.where(F.col("error_message").isNotNull()))
-        rows = []
-        if marked is not None:
-            rows.append(marked.where(F.col("change_kind") == UNCHANGED))
+        """Enters what is staged into the catalog; gives files and errors.
+
+        A file gets its new row if it is unchanged or was hashed.  Otherwise its
+        row in the catalog, if it has one, stays as it is.
+        """
+        listing, matched = self._staged("listing"), self._staged("matched")
+        hashed, undone = self._hashed()
+        errors = [] if listing is None else [listing.where(F.col("error_message").isNotNull())]
+        kind, names = F.col("change_kind"), FILES.fieldNames()
+        fresh, kept = [], []
         if hashed is not None:
             good, bad = ledger.split_errors(hashed)
-            rows.append(good)
+            fresh.append(good.select(*names))
+            kept.append(bad)
             errors.append(bad)
         failed = self._enter_errors(errors)
-        if not rows:
+        if matched is None:
             return 0, failed
-        names = FILES.fieldNames()
-        incoming = rows[0].select(*names)
-        for more in rows[1:]:
-            incoming = incoming.unionByName(more.select(*names))
-        before = self.catalog.files(self.disk_id)
-        self.catalog.replace_files(self.disk_id, self.scan_id, upsert_files(before, incoming))
-        return incoming.count(), failed
+        stored = {c: F.col(f"old.{c}") for c in ("hash", "hash_algo")}
+        fresh.append(matched.where(kind == UNCHANGED).withColumns(stored).select(*names))
+        kept.append(matched.where((kind == UNSEEN) | (kind.isin(NEW, CHANGED) & undone)))
+        rows = [k.where(F.col("old").isNotNull()).select("old.*").select(*names) for k in kept]
+        new = reduce(DataFrame.unionByName, fresh)
+        self.catalog.replace_files(self.disk_id, self.scan_id, reduce(DataFrame.unionByName, rows, new))
+        return new.count(), failed
+
+    def _hashed(self) -> tuple[DataFrame | None, Column]:
+        """Rows of finished portions, and a test for rows of the others."""
+        done = self.catalog.folders.committed(f"{self.staging}/hashed/of=*/portion=*")
+        if not done:
+            return None, F.lit(True)
+        portions = int(re.search(r"of=(\d+)", done[0]).group(1))
+        numbers = [int(folder.rsplit("=", 1)[1]) for folder in done]
+        undone = F.lit(False) if len(numbers) == portions else ~_portion(portions).isin(numbers)
+        return self.spark.read.parquet(*done), undone
 
     def _enter_errors(self, errors: list[DataFrame]) -> int:
         if not errors:
@@ -180,6 +204,11 @@ class _Run:
     def close(self, scanned: int, failed: int, status: str) -> None:
         scans = ledger.finish_scan(self.catalog.scans(), self.scan_id, scanned, failed, self.at, status)
         self.catalog.replace_small("scans", scans)
+        self.clear()
+
+    def clear(self) -> None:
+        """Drops the staged tables, once the catalog and the ledger are written."""
+        self.catalog.folders.remove(self.staging)
 
     def _staged(self, table: str) -> DataFrame | None:
         done = self.catalog.folders.committed(f"{self.staging}/{table}")

@@ -91,7 +91,7 @@ class Catalog:
         done = self.folders.matching(f"{self.root}/{table}/version=*")
         version = 1 + max((_number(f, "version") for f in done), default=0)
         rows = conform(rows, _SMALL[table])
-        rows.coalesce(1).write.parquet(f"{self.root}/{table}/version={version:08d}")
+        rows.hint("rebalance").write.parquet(f"{self.root}/{table}/version={version:08d}")
 
     def replace_files(self, disk_id: int, version: int, rows: DataFrame) -> None:
         """New version of one disk's files, sorted by path.

@@ -97,6 +97,15 @@ def test_change_kinds_and_kept_hashes(make_files):
     }
 
 
+def test_match_listing_holds_both_sides(make_files):
+    catalog = make_files((1, "same", 5, "h1"), (1, "grown", 5, "h2"), (1, "gone", 5, "h4"))
+    listing = make_files((1, "same", 5, None), (1, "grown", 6, None), (1, "new", 7, None)).drop("hash", "hash_algo")
+    got = changes.match_listing(listing, catalog).collect()
+    assert {(r.path, r.change_kind, r.size_bytes, r.old and r.old.hash) for r in got} == {
+        ("same", "unchanged", 5, "h1"), ("grown", "changed", 6, "h2"), ("new", "new", 7, None), ("gone", "unseen", None, "h4"),
+    }
+
+
 def test_unchanged_rows_are_never_hashed(make_files):
     catalog = make_files((1, "same", 5, "h1"))
     bomb = F.raise_error(F.concat(F.lit("hashed "), "path"))

@@ -189,6 +189,45 @@ def test_file_that_fails_to_hash_is_an_error(catalog, tree, monkeypatch):
     assert stat.S_ISFIFO((tree / "pipe").stat().st_mode)
 
 
+def test_changed_file_that_fails_keeps_its_row(catalog, tree):
+    scan(catalog, str(tree), DISK)
+    before = {r.path: r for r in catalog.files().collect()}
+    os.unlink(tree / "a.TXT")
+    os.mkfifo(tree / "a.TXT")
+    result = scan(catalog, str(tree), DISK)
+    after = {r.path: r for r in catalog.files().collect()}
+    assert (result.files_scanned, result.files_failed) == (2, 1) and set(after) == set(before)
+    assert after[str(tree / "a.TXT")] == before[str(tree / "a.TXT")]
+    assert [r.path for r in catalog.errors().collect()] == [str(tree / "a.TXT")]
+
+
+def test_stopped_rescan_leaves_unhashed_rows_as_they_were(catalog, tree, monkeypatch):
+    scan(catalog, str(tree), DISK)
+    before = {r.path: r for r in catalog.files().collect()}
+    (tree / "a.TXT").write_text("changed")
+    (tree / "new").write_text("n")
+    (tree / "sub" / "b.txt").unlink()
+
+    def stopping(rows, policy):
+        raise RuntimeError
+
+    monkeypatch.setattr(scan_plan, "hash_files", stopping)
+    with pytest.raises(RuntimeError):
+        scan(catalog, str(tree), DISK)
+    after = {r.path: r for r in catalog.files().collect()}
+    assert set(after) == set(before)
+    for name in ("a.TXT", "sub/b.txt"):
+        assert after[str(tree / name)] == before[str(tree / name)]
+    assert after[str(tree / "sub" / "deep" / "c.tar.gz")].scan_id == 2
+
+
+def test_staged_tables_are_dropped(catalog, tree, spark):
+    scan(catalog, str(tree), DISK)
+    staged = catalog.folders.matching(f"{spark.conf.get('spark.checkpoint.dir')}/shelfmark-*/scan_id=*")
+    mine = scan_plan._Run(catalog, 1, 1, None).staging
+    assert not [f for f in staged if f.endswith(mine)]
+
+
 @pytest.mark.parametrize("stop,status", [(KeyboardInterrupt, "interrupted"), (RuntimeError, "failed")])
 def test_stopped_scan_keeps_finished_portions(catalog, tree, monkeypatch, stop, status):
     for n in range(20):
@@ -244,8 +283,9 @@ def test_unfinished_version_is_ignored(catalog, tree):
 def test_old_versions_go(catalog, tree):
     for _ in range(3):
         scan(catalog, str(tree), DISK)
+    assert len(catalog.folders.matching(f"{catalog.root}/files/disk_id=1/version=*")) == 2
     removed = catalog.drop_old_versions(keep=1)
-    assert len([r for r in removed if "/files/" in r]) == 2
+    assert len([r for r in removed if "/files/" in r]) == 1
     assert catalog.files().count() == 3 and catalog.scans().count() == 3 and catalog.disks().count() == 1
 
 
