@@ -177,7 +177,8 @@ class _Run:
         kept.append(matched.where((kind == UNSEEN) | (kind.isin(NEW, CHANGED) & undone)))
         rows = [k.where(F.col("old").isNotNull()).select("old.*").select(*names) for k in kept]
         new = reduce(DataFrame.unionByName, fresh)
-        self.catalog.replace_files(self.disk_id, self.scan_id, reduce(DataFrame.unionByName, rows, new))
+        table = reduce(DataFrame.unionByName, rows, new)
+        self.catalog.replace_files(self.disk_id, self.scan_id, table, matched.count())
         return new.count(), failed
 
     def _hashed(self) -> tuple[DataFrame | None, Column]:

@@ -20,6 +20,8 @@ from ..schemas import DISKS, FILES, SCAN_ERRORS, SCANS, conform
 from ..operators.snapshots import KEEP
 
 _SMALL = {"disks": DISKS, "scans": SCANS}
+# rows per written part: some hundred MB, whatever the session's shuffle width
+_PART_ROWS = 2_000_000
 
 
 class Folders:
@@ -93,16 +95,17 @@ class Catalog:
         rows = conform(rows, _SMALL[table])
         rows.hint("rebalance").write.parquet(f"{self.root}/{table}/version={version:08d}")
 
-    def replace_files(self, disk_id: int, version: int, rows: DataFrame) -> None:
-        """New version of one disk's files, sorted by path.
+    def replace_files(self, disk_id: int, version: int, rows: DataFrame, count: int) -> None:
+        """New version of one disk's files, about ``count`` of them, sorted by path.
 
         Sorted row groups let folder browsing skip most of a disk; the Bloom filter
         does so for looking up a hash.
         """
+        parts = max(1, -(-count // _PART_ROWS))
         (
             conform(rows, FILES)
             .drop("disk_id")
-            .repartitionByRange("path")
+            .repartitionByRange(parts, "path")
             .sortWithinPartitions("path")
             .write.option("parquet.bloom.filter.enabled#hash", "true")
             .option("parquet.bloom.filter.expected.ndv#hash", "500000")
@@ -146,7 +149,8 @@ def snapshot_now(catalog: Catalog, target: str, keep: int = KEEP, stamp: str | N
     folder = f"{target}/snapshot={stamp or _stamp(catalog.spark)}"
     tables = {"disks": catalog.disks(), "scans": catalog.scans(), "scan_errors": catalog.errors(), "files": catalog.files()}
     for name, rows in tables.items():
-        rows.write.parquet(f"{folder}/{name}")
+        by_disk = ["disk_id"] if name == "files" else []
+        rows.write.partitionBy(*by_disk).parquet(f"{folder}/{name}")
     drop_old_snapshots(catalog, target, keep)
     return folder
 

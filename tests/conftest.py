@@ -15,7 +15,7 @@ UTC = dt.timezone.utc
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     folder = tmp_path_factory.mktemp("shared")
-    session = local_session("tests", "8", "4g", **{"spark.checkpoint.dir": str(folder)})
+    session = local_session("tests", "4", "4g", **{"spark.checkpoint.dir": str(folder)})
     yield session
     session.stop()
 
