@@ -30,7 +30,8 @@ class Browse:
     files: DataFrame
 
 
-def _descendants(files: DataFrame, disk_id: int, folder: str | None, sep: str) -> DataFrame:
+def descendants(files: DataFrame, disk_id: int, folder: str | None, sep: str = SEP) -> DataFrame:
+    """Files of a disk anywhere below ``folder``; A-Z in the folder match a-z."""
     return files.where((F.col("disk_id") == disk_id) & under_folder("path", folder, sep))
 
 
@@ -75,7 +76,7 @@ def _files_at(rows: DataFrame, sep: str) -> DataFrame:
 
 def _chosen(files: DataFrame, disk_id: int, folder: str | None, sep: str) -> DataFrame:
     head = F.lit(sep.join(split_folder(folder, sep)))
-    return _descendants(files, disk_id, folder, sep).withColumn("head", head)
+    return descendants(files, disk_id, folder, sep).withColumn("head", head)
 
 
 def browse_folders(files: DataFrame, disk_id: int, folder: str | None = None, sep: str = SEP) -> DataFrame:

@@ -165,6 +165,12 @@ def disk_list(spark, sf):
 # -- folders ------------------------------------------------------------------
 
 
+@query
+def descendants(spark, sf):
+    below = folders.descendants(t.files_orders(spark, sf), 4, "e:\\orders\\1996")
+    return below.select("disk_id", "path", "size_bytes", "modified_date")
+
+
 @query
 def browse_folders(spark, sf):
     return folders.browse_folders(t.files_orders(spark, sf), 2, "e:\\ORDERS")

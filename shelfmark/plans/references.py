@@ -310,6 +310,11 @@ def references() -> dict[str, str]:
                  {readable('total_bytes')} AS size_human FROM s""",
         ),
         # folders
+        "descendants": over(
+            "ordered",
+            r"""SELECT disk_id, path, size_bytes, modified_date FROM ordered
+                WHERE disk_id = 4 AND split_part(path, '\', 2) = 'Orders' AND split_part(path, '\', 3) = '1996'""",
+        ),
         "browse_folders": over(
             "ordered",
             rf""", g AS (SELECT split_part(path, '\', 3) AS name, count(*) AS file_count,

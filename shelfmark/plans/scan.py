@@ -77,6 +77,7 @@ def scan(
         run.clear()
 
     run = _Run(catalog, scan_id, disk_id, at)
+    run.clear()  # left by a catalog that was here before, if anything
     try:
         run.list(root)
         run.hash(policy, portion_bytes)

@@ -124,11 +124,11 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 class _Part(InputPartition):
-    """A directory, with everything below it or on its own."""
+    """Directories, with everything below them or on their own."""
 
-    def __init__(self, folder: str, deep: bool) -> None:
-        super().__init__((folder, deep))
-        self.folder, self.deep = folder, deep
+    def __init__(self, folders: list[str], deep: bool) -> None:
+        super().__init__((folders, deep))
+        self.folders, self.deep = folders, deep
 
 
 class _Reader(DataSourceReader):
@@ -139,6 +139,7 @@ class _Reader(DataSourceReader):
         """Opens directories breadth first until there are enough of them.
 
         The files of an opened directory form a part apart from its sub-trees.
+        Many sub-trees share the parts there are.
         """
         opened: list[str] = []
         waiting = deque([self.root])
@@ -146,15 +147,17 @@ class _Reader(DataSourceReader):
             folder = waiting.popleft()
             opened.append(folder)
             waiting.extend(os.path.join(f, n) for kind, f, n, _ in _entries(folder) if kind == FOLDER)
-        return [_Part(f, False) for f in opened] + [_Part(f, True) for f in waiting]
+        trees = list(waiting)
+        shares = [trees[n :: self.parts] for n in range(min(self.parts, len(trees)))]
+        return [_Part([f], False) for f in opened] + [_Part(share, True) for share in shares]
 
     def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
         return _batches(self._rows(partition), _ROWS)
 
     def _rows(self, part: _Part) -> Iterator[tuple]:
-        waiting = deque([part.folder])
+        waiting = list(part.folders)
         while waiting:
-            for kind, folder, name, message in _entries(waiting.popleft()):
+            for kind, folder, name, message in _entries(waiting.pop()):
                 if kind == FILE:
                     yield _file_row(folder, name)
                 elif kind == ERROR:
@@ -190,14 +193,16 @@ def _walk(budget: int) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         left = budget
         for batch in batches:
-            waiting = deque(map(_unpacked, batch.column("folder").to_pylist()))
+            waiting = [_unpacked(folder) for folder in batch.column("folder").to_pylist()]
             while waiting and left:
                 left -= 1
-                for kind, folder, name, message in _entries(waiting.popleft()):
-                    if kind == FOLDER:
-                        waiting.append(os.path.join(folder, name))
-                    else:
+                for kind, folder, name, message in _entries(waiting.pop()):
+                    if kind != FOLDER:
                         yield kind, folder, name, message
+                    elif len(waiting) < left:
+                        waiting.append(os.path.join(folder, name))
+                    else:  # more than this task will open: never piled up in memory
+                        yield FOLDER, os.path.join(folder, name), None, None
             for folder in waiting:
                 yield FOLDER, folder, None, None
 
