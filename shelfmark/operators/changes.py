@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import FILE_KEY
@@ -10,6 +10,15 @@ from ..schemas import FILE_KEY
 NEW, CHANGED, UNCHANGED, UNSEEN = "new", "changed", "unchanged", "unseen"
 
 
+# Joins on (disk, path) put this number in front: rows then sort by a number that
+# hardly ever ties, where the paths of a disk share long beginnings.
+_BY = ["_key", *FILE_KEY]
+
+
+def _keyed(files: DataFrame) -> DataFrame:
+    return files.withColumn("_key", F.xxhash64(F.col("disk_id").cast("long"), F.col("path")))
+
+
 def classify_changes(listing: DataFrame, catalog: DataFrame) -> DataFrame:
     """Adds ``change_kind`` and the stored ``hash`` and ``hash_algo`` to a listing.
 
@@ -26,7 +35,7 @@ def classify_changes(listing: DataFrame, catalog: DataFrame) -> DataFrame:
     )
     same = F.col("size_bytes").eqNullSafe(F.col("_size")) & F.col("modified_date").eqNullSafe(F.col("_modified"))
     kind = F.when(F.col("_known").isNull(), F.lit(NEW)).when(same, F.lit(UNCHANGED)).otherwise(F.lit(CHANGED))
-    joined = listing.join(known, FILE_KEY, "left").withColumn("change_kind", kind)
+    joined = _keyed(listing).join(_keyed(known), _BY, "left").withColumn("change_kind", kind)
     keep = F.col("change_kind") == UNCHANGED
     return joined.select(
         *[c for c in listing.columns if c not in ("hash", "hash_algo")],
@@ -44,7 +53,7 @@ def match_listing(listing: DataFrame, catalog: DataFrame) -> DataFrame:
     comes from one join, and the new table takes no second one.
     """
     stored = catalog.select(*FILE_KEY, F.struct(*catalog.columns).alias("old"))
-    joined = listing.withColumn("_listed", F.lit(True)).join(stored, FILE_KEY, "full_outer")
+    joined = _keyed(listing.withColumn("_listed", F.lit(True))).join(_keyed(stored), _BY, "full_outer")
     same = F.col("size_bytes").eqNullSafe(F.col("old.size_bytes")) & F.col("modified_date").eqNullSafe(
         F.col("old.modified_date")
     )
@@ -54,7 +63,7 @@ def match_listing(listing: DataFrame, catalog: DataFrame) -> DataFrame:
         .when(same, F.lit(UNCHANGED))
         .otherwise(F.lit(CHANGED))
     )
-    return joined.withColumn("change_kind", kind).drop("_listed")
+    return joined.withColumn("change_kind", kind).drop("_listed", "_key")
 
 
 def reuse_hashes(listing: DataFrame, catalog: DataFrame, digest: Column, algo: Column) -> DataFrame:
@@ -75,16 +84,15 @@ def reuse_hashes(listing: DataFrame, catalog: DataFrame, digest: Column, algo: C
 
 
 def last_row_wins(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """The row of each key that is largest by ``order``.
+    """The row of each key that is largest by ``order``; the other columns settle ties.
 
-    An aggregate rather than a window: rows of one key are reduced within every
-    input partition first, so a key that repeats very often stays cheap.
+    Spark keeps the first row per key within every input partition before it
+    shuffles (a group limit), so a key that repeats very often stays cheap.
     """
-    rest = [c for c in rows.columns if c not in key]
-    best = F.max(F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], F.struct(*rest).alias("_row")))
-    return rows.groupBy(*key).agg(best.alias("_best")).select(
-        *[F.col(c) if c in key else F.col("_best._row")[c].alias(c) for c in rows.columns]
-    )
+    number = F.xxhash64(*key)
+    ties = [F.desc(c) for c in rows.columns if c not in key]
+    last_first = Window.partitionBy(number, *key).orderBy(*[o.desc() for o in order], *ties)
+    return rows.withColumn("_nth", F.row_number().over(last_first)).where(F.col("_nth") == 1).drop("_nth")
 
 
 def upsert_files(catalog: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -93,9 +101,8 @@ def upsert_files(catalog: DataFrame, incoming: DataFrame) -> DataFrame:
     ``incoming`` has one row per (disk_id, path); see ``last_row_wins``.  One full
     join on the key, so that each side is read and shuffled once.
     """
-    old, new = catalog.alias("old"), incoming.withColumn("_seen", F.lit(True)).alias("new")
-    joined = old.join(new, [F.col(f"old.{k}") == F.col(f"new.{k}") for k in FILE_KEY], "full_outer")
-    pick = F.col("new._seen").isNotNull()
-    return joined.select(
-        *[F.when(pick, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c) for c in catalog.columns]
-    )
+    old = _keyed(catalog).select(*_BY, F.struct(*catalog.columns).alias("_old"))
+    new = _keyed(incoming).select(*_BY, F.struct(*catalog.columns).alias("_new"))
+    return old.join(new, _BY, "full_outer").select(
+        F.coalesce("_new", "_old").alias("_row")
+    ).select("_row.*")

@@ -3,7 +3,7 @@ import hashlib
 import random
 
 import pytest
-from conftest import at
+from conftest import at, plan_of
 from pyspark.sql import functions as F
 
 from shelfmark import schemas
@@ -135,6 +135,22 @@ def test_last_row_wins(spark):
     assert got == {k: n for k, (_, n) in best.items()}
 
 
+def test_last_row_wins_reduces_before_the_shuffle(make_files, tmp_path):
+    make_files((1, "a", 1, None)).write.parquet(str(tmp_path / "f"))
+    stored = make_files((1, "a", 1, None)).sparkSession.read.parquet(str(tmp_path / "f"))
+    plan = plan_of(changes.last_row_wins(stored, schemas.FILE_KEY, [F.col("last_seen")]))
+    tree = plan.split("\n\n")[0]
+    exchange = tree.index("Exchange")
+    assert tree.count("WindowGroupLimit") == 2 and tree.index("WindowGroupLimit") < exchange < tree.rindex("WindowGroupLimit")
+
+
+def test_keys_of_different_integer_types_meet(make_files):
+    files = make_files((1, "a", 1, "h"))
+    narrow = files.withColumn("disk_id", F.col("disk_id").cast("int"))
+    assert changes.classify_changes(narrow, files).first()["change_kind"] == "unchanged"
+    assert changes.upsert_files(files, narrow).count() == 1
+
+
 # -- disks and scans ----------------------------------------------------------
 
 
