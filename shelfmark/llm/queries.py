@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from .decontaminate import op9
 from .jaccard import op6
+from .mixing import op7
+from .sharding import op4
 from .toxicity import op10
 
 QUERIES = {
+    "op4_kd_tree_shards": op4,
     "op6_jaccard_tree_join": op6,
+    "op7_pivotal_mix": op7,
+    "op9_spaced_seed_decontamination": op9,
     "op10_toxicity_ftrl": op10,
 }
 

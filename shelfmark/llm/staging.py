@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,3 +39,13 @@ def stage(rows: DataFrame, name: str, *by: str) -> DataFrame:
     folder = new_folder(spark, name)
     rows.write.partitionBy(*by).parquet(folder)
     return spark.read.schema(rows.schema).parquet(folder)
+
+
+#: rows of a few short columns that may be broadcast: some 40 MB
+BROADCAST_ROWS = 500_000
+
+
+def small(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows``, a written table of short columns, hinted for broadcast if it has
+    at most ``most`` rows; beyond that the join is left to shuffle."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows

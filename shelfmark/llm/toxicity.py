@@ -116,27 +116,49 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings
     return fit([(np.concatenate([bias, np.frombuffer(r["found"], "<u4")]), r["label"]) for r in rows], settings)
 
 
-def score(docs: DataFrame, model, settings: Settings = Settings()) -> DataFrame:
-    """(doc_id, score) of every row of ``docs``."""
-    spark, bits = docs.sparkSession, settings.bits
-    shared = spark.sparkContext.broadcast(model)  # at most 2 ** bits short pairs
-
-    def scores(batch: pa.RecordBatch) -> pa.RecordBatch:
-        kept, values = shared.value
-        dense = np.zeros(1 << bits, np.float32)
-        dense[kept] = values
-        found, of = features(batch.column("text"), bits)
-        hit = dense[found] != 0
+def _scorer(model, bits: int):
+    """A function from texts to scores; the model is shared with the executors."""
+    dense: list[np.ndarray] = []
+
+    def scores(texts: pa.Array) -> np.ndarray:
+        if not dense:
+            kept, values = model.value
+            dense.append(np.zeros(1 << bits, np.float32))
+            dense[0][kept] = values
+        weights = dense[0]
+        found, of = features(texts, bits)
+        hit = weights[found] != 0
         unique = np.unique((of[hit].astype(np.uint64) << np.uint64(bits)) | found[hit])
         total = np.bincount(
             (unique >> np.uint64(bits)).astype(np.int64),
-            dense[(unique & np.uint64((1 << bits) - 1)).astype(np.int64)].astype(np.float64),
-            batch.num_rows,
+            weights[(unique & np.uint64((1 << bits) - 1)).astype(np.int64)].astype(np.float64),
+            len(texts),
         )
-        total = np.clip(total + dense[0], -35, 35)
-        return pa.record_batch([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-total)))], ["doc_id", "score"])
+        return 1 / (1 + np.exp(-np.clip(total + weights[0], -35, 35)))
+
+    return scores
+
+
+def score(docs: DataFrame, model, settings: Settings = Settings()) -> DataFrame:
+    """(doc_id, score) of every row of ``docs``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 ** bits short pairs
+    scores = _scorer(shared, settings.bits)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.record_batch([batch.column("doc_id"), pa.array(scores(batch.column("text")))], ["doc_id", "score"])
+
+    return docs.select("doc_id", "text").mapInArrow(by_slices(work), "doc_id long, score double")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.5, settings: Settings = Settings()) -> DataFrame:
+    """``docs``, whatever its columns, without the rows that are scored as toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, ~held_out, settings))
+    scores = _scorer(shared, settings.bits)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(scores(batch.column("text")) < threshold))
 
-    return docs.select("doc_id", "text").mapInArrow(by_slices(scores), "doc_id long, score double")
+    return docs.mapInArrow(by_slices(work), docs.schema)
 
 
 def fold(mod: int) -> Column:
