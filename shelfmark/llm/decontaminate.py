@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import small, stage, unused
 
 MASKS = ("11101011", "1101100111")
 PIECE = 256
@@ -93,18 +93,19 @@ def contained(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataF
                 lambda k: F.coalesce(F.get("words", start + k) == F.get("item_words", k), F.lit(False)),
             )
         )
-        checked = hits.select("doc_id", "item_id", F.size("item_words").alias("item_words"), same.alias("matched"))
-        found.append(checked.where(F.col("matched") * 100 >= F.col("item_words") * percent))
-    best = F.max(F.struct(F.col("matched") / F.col("item_words"), "matched", "item_words")).alias("best")
+        checked = hits.withColumn("matched", same).select("doc_id", "item_id", F.size("item_words").alias("length"), "matched")
+        found.append(checked.where(F.col("matched") * 100 >= F.col("length") * percent))
+    best = F.max(F.struct(F.col("matched") / F.col("length"), "matched", "length")).alias("best")
     rows = reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(best)
-    return rows.select("doc_id", "item_id", F.col("best.item_words").alias("item_words"), F.col("best.matched").alias("matched"))
+    return rows.select("doc_id", "item_id", F.col("best.length").alias("item_words"), F.col("best.matched").alias("matched"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
     """``docs`` without the documents that contain a benchmark item."""
     bad = stage(contained(docs, benchmark, percent).select("doc_id").distinct(), "contained")
-    hit = bad.select(F.col("doc_id").alias("_hit"))
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    name = unused(docs, "_hit")
+    hit = small(bad).select(F.col("doc_id").alias(name))
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

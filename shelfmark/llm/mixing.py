@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .staging import small, stage
+from .staging import small, stage, unused
 from .words import by_slices, mixed, words_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -110,6 +110,7 @@ def pivot(parts: np.ndarray, sizes: np.ndarray, draws: np.ndarray) -> tuple[np.n
 
 
 _SIZED = ["doc_id", "source", "size", "mark"]
+_ROW = [*_SIZED, "rows"]
 _ROUND = "row struct<doc_id:long,source:string,size:long,mark:long,rows:long>, whole long, part double, left boolean"
 
 
@@ -117,9 +118,9 @@ def _round(rows: DataFrame, by: list[str], seed: int) -> DataFrame:
     """Rounds ``part`` within the groups ``by``; ``left`` marks what remains."""
 
     def work(group: pa.Table) -> pa.Table:
-        row = group.column("row").combine_chunks()
-        if isinstance(row, pa.ChunkedArray):
-            row = pa.concat_arrays(row.chunks)
+        row = pa.concat_arrays(group.column("row").chunks)
+        # fields that may be null, as the schema says
+        row = pa.StructArray.from_arrays([row.field(n) for n in _ROW], _ROW)
         ids = row.field("doc_id").fill_null(0).to_numpy()
         sizes, marks = row.field("size").to_numpy() * row.field("rows").to_numpy(), row.field("mark").to_numpy()
         parts = group.column("part").to_numpy()
@@ -147,7 +148,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = 3.0,
     same = F.col("source").eqNullSafe(F.col("_source"))
     factor = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     shares = aims.select(F.col("source").alias("_source"), factor.alias("factor"))
-    row = F.struct(*_SIZED, "rows").alias("row")
+    row = F.struct(*_ROW).alias("row")
     units = sized.groupBy(*_SIZED).agg(F.count("*").alias("rows"))
     split = units.join(shares, same).select(row, F.floor("factor").alias("whole"), (F.col("factor") - F.floor("factor")).alias("part"))
     # texts without words weigh nothing: they have no part to round
@@ -188,10 +189,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = 3.0,
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = 3.0, seed: int = 1) -> DataFrame:
     """``docs`` with every row as often as the mix takes it."""
     taken = mix(docs, weights, most, seed).where("copies > 0")
-    key = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("mark").alias("_mark"), F.col("copies").alias("_copies"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (_mark() == F.col("_mark"))
-    found = docs.join(small(stage(key, "copies")), same)
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
+    names = {c: unused(docs, f"_{c}") for c in ("doc_id", "source", "mark", "copies", "copy")}
+    key = stage(taken.select(*[F.col(c).alias(names[c]) for c in ("doc_id", "source", "mark", "copies")]), "copies")
+    same = _mark() == F.col(names["mark"])
+    for c in ("doc_id", "source"):
+        same = same & F.col(c).eqNullSafe(F.col(names[c]))
+    times = F.sequence(F.lit(1).cast("long"), names["copies"])
+    return docs.join(small(key), same).withColumn(names["copy"], F.explode(times)).select(*docs.columns)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

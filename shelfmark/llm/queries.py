@@ -5,13 +5,23 @@ from __future__ import annotations
 from .decontaminate import op9
 from .jaccard import op6
 from .mixing import op7
+from .outliers import op2
+from .quality_trees import op8
+from .records import op1
+from .redirects import op3
+from .secrets import op5
 from .sharding import op4
 from .toxicity import op10
 
 QUERIES = {
+    "op1_record_files": op1,
+    "op2_robust_outliers": op2,
+    "op3_redirect_classes": op3,
     "op4_kd_tree_shards": op4,
+    "op5_secret_forest": op5,
     "op6_jaccard_tree_join": op6,
     "op7_pivotal_mix": op7,
+    "op8_quality_trees": op8,
     "op9_spaced_seed_decontamination": op9,
     "op10_toxicity_ftrl": op10,
 }

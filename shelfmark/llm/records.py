@@ -36,13 +36,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .staging import new_folder, stage
-from .words import slices, words_of
+from .words import give_back, slices, words_of
 
 NULL_ID = -(1 << 63)
 _MASK = 0xA282EAD8  # fixed value of the masked checksums of record files
 #: text bytes of one file, about; and bytes read at once
 FILE_BYTES, READ_BYTES = 64 * 1024 * 1024, 8 * 1024 * 1024
-_HEAD, _RECORD = struct.Struct("<QI"), struct.Struct("<qB")
+_HEAD, _RECORD = "<QI", "<qB"
 _CACHED = 700_000  # words kept by a worker
 
 
@@ -58,8 +58,8 @@ def frame(data: bytes) -> bytes:
 
 def frames(stream) -> Iterator[bytes]:
     """Data of every frame of a file; raises on a wrong length or checksum."""
-    while head := stream.read(_HEAD.size):
-        length, check = _HEAD.unpack(head)
+    while head := stream.read(struct.calcsize(_HEAD)):
+        length, check = struct.unpack(_HEAD, head)
         if masked(head[:8]) != check:
             raise ValueError("wrong checksum of a length")
         yield _data(stream, length)
@@ -79,8 +79,8 @@ def _files(folder: str):
 
 def parsed(data: bytes) -> tuple[int | None, np.ndarray]:
     """Id and token ids (u32) of a record."""
-    doc, width = _RECORD.unpack_from(data)
-    return None if doc == NULL_ID else doc, np.frombuffer(data, f"<u{width}", offset=_RECORD.size).astype("<u4")
+    doc, width = struct.unpack_from(_RECORD, data)
+    return None if doc == NULL_ID else doc, np.frombuffer(data, f"<u{width}", offset=struct.calcsize(_RECORD)).astype("<u4")
 
 
 # -- tokens -------------------------------------------------------------------
@@ -212,11 +212,12 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, fil
                     raw, ends = ids.astype(f"<u{width}").tobytes(), ends.tolist()
                     found = []
                     for doc, a, b in zip(part.column("doc_id").to_pylist(), ends, ends[1:]):
-                        data = frame(_RECORD.pack(doc, width) + raw[width * a : width * b] + end)
+                        data = frame(struct.pack(_RECORD, doc, width) + raw[width * a : width * b] + end)
                         out.write(data)
                         found.append((shard, name, record, doc, offset, len(data), b - a + 1))
                         offset, record = offset + len(data), record + 1
                     yield pa.record_batch([pa.array(c) for c in zip(*found)], _INDEX_NAMES).cast(_INDEX_TYPES)
+        give_back()
 
     ordered.mapInArrow(write, _INDEX).write.parquet(f"{folder}/index")
     return read_index(spark, folder)

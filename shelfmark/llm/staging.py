@@ -49,3 +49,11 @@ def small(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """``rows``, a written table of short columns, hinted for broadcast if it has
     at most ``most`` rows; beyond that the join is left to shuffle."""
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
+def unused(rows: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``rows`` does not have."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
