@@ -9,17 +9,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: report category of each extension; anything else is "Other"
-CATEGORIES: dict[str, str] = {
-    "Image": ".jpg .jpeg .png .gif .bmp .tif .tiff .webp .heic .svg .ico .raw .cr2 .nef .dng",
-    "Video": ".mp4 .mkv .avi .mov .wmv .flv .webm .m4v .mpg .mpeg .3gp",
-    "Audio": ".mp3 .wav .flac .aac .ogg .wma .m4a .opus",
-    "Book": ".epub .mobi .azw .azw3 .fb2",
-    "Document": ".pdf .doc .docx .odt .rtf .txt .md",
-    "Spreadsheet": ".xls .xlsx .ods .csv",
-    "Presentation": ".ppt .pptx .odp",
-    "Archive": ".zip .rar .7z .tar .gz .bz2 .xz",
-    "Executable": ".exe .msi .bat .cmd .sh",
-    "Code": ".py .js .ts .java .c .cpp .cs .go .rs .html .css .json .xml .yaml .yml",
+CATEGORIES: dict[str, tuple[str, ...]] = {
+    "Image": (
+        ".jpg", ".jpeg", ".png", ".gif", ".bmp", ".tif", ".tiff", ".webp", ".heic", ".svg", ".ico", ".raw", ".cr2", ".nef", ".dng",
+    ),
+    "Video": (".mp4", ".mkv", ".avi", ".mov", ".wmv", ".flv", ".webm", ".m4v", ".mpg", ".mpeg", ".3gp"),
+    "Audio": (".mp3", ".wav", ".flac", ".aac", ".ogg", ".wma", ".m4a", ".opus"),
+    "Book": (".epub", ".mobi", ".azw", ".azw3", ".fb2"),
+    "Document": (".pdf", ".doc", ".docx", ".odt", ".rtf", ".txt", ".md"),
+    "Spreadsheet": (".xls", ".xlsx", ".ods", ".csv"),
+    "Presentation": (".ppt", ".pptx", ".odp"),
+    "Archive": (".zip", ".rar", ".7z", ".tar", ".gz", ".bz2", ".xz"),
+    "Executable": (".exe", ".msi", ".bat", ".cmd", ".sh"),
+    "Code": (
+        ".py", ".js", ".ts", ".java", ".c", ".cpp", ".cs", ".go", ".rs", ".html", ".css", ".json", ".xml", ".yaml", ".yml",
+    ),
 }
 OTHER = "Other"
 
@@ -32,13 +36,13 @@ def in_category(extension: Column | str, category: str) -> Column:
     """Does an extension belong to ``category``?  One set lookup."""
     ext = F.lower(F.coalesce(_col(extension), F.lit("")))
     if category == OTHER:
-        return ~ext.isin([e for exts in CATEGORIES.values() for e in exts.split()])
-    return ext.isin(CATEGORIES.get(category, "").split()) if category in CATEGORIES else F.lit(False)
+        return ~ext.isin([e for exts in CATEGORIES.values() for e in exts])
+    return ext.isin(*CATEGORIES[category]) if category in CATEGORIES else F.lit(False)
 
 
 def categorize(extension: Column | str) -> Column:
     """Report category of an extension, whatever its case; ``Other`` by default."""
-    of = {ext: name for name, exts in CATEGORIES.items() for ext in exts.split()}
+    of = {ext: name for name, exts in CATEGORIES.items() for ext in exts}
     return F.coalesce(F.try_element_at(_literal_map(of), F.lower(_col(extension))), F.lit(OTHER))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,18 +68,26 @@ def match_listing(listing: DataFrame, catalog: DataFrame) -> DataFrame:
     return joined.withColumn("change_kind", kind).drop("_listed", "_key")
 
 
-def reuse_hashes(listing: DataFrame, catalog: DataFrame, digest: Column, algo: Column) -> DataFrame:
+def reuse_hashes(
+    listing: DataFrame,
+    catalog: DataFrame,
+    digest: Callable[[Column], Column],
+    algo: Column,
+    content: str = "content",
+) -> DataFrame:
     """Listing with hashes: stored ones where unchanged, computed ones elsewhere.
 
-    ``digest`` and ``algo`` are expressions over the listing.  They sit in one
-    branch of a CASE, so unchanged rows never reach them, and the rows are read
-    and joined once.
+    ``digest`` makes a hash of a content column, null of null; ``algo`` is an
+    expression over the listing.  Spark runs Python functions on all rows, whatever
+    CASE they stand in, so what an unchanged row hands to ``digest`` is null.  The
+    rows are read and joined once.
     """
     rows = classify_changes(listing, catalog)
     keep = F.col("change_kind") == UNCHANGED
+    fed = F.when(~keep, F.col(content))
     return rows.withColumns(
         {
-            "hash": F.when(keep, F.col("hash")).otherwise(digest),
+            "hash": F.when(keep, F.col("hash")).otherwise(digest(fed)),
             "hash_algo": F.when(keep, F.col("hash_algo")).otherwise(algo),
         }
     )
@@ -89,20 +99,25 @@ def last_row_wins(rows: DataFrame, key: list[str], order: list[Column]) -> DataF
     Spark keeps the first row per key within every input partition before it
     shuffles (a group limit), so a key that repeats very often stays cheap.
     """
-    number = F.xxhash64(*key)
-    ties = [F.desc(c) for c in rows.columns if c not in key]
-    last_first = Window.partitionBy(number, *key).orderBy(*[o.desc() for o in order], *ties)
+    return _last_by(rows, [F.xxhash64(*key), *key], order, key)
+
+
+def _last_by(rows: DataFrame, by: list, order: list[Column], key: list[str] | None = None) -> DataFrame:
+    ties = [F.desc(c) for c in rows.columns if c not in (key or by)]
+    last_first = Window.partitionBy(*by).orderBy(*[o.desc() for o in order], *ties)
     return rows.withColumn("_nth", F.row_number().over(last_first)).where(F.col("_nth") == 1).drop("_nth")
 
 
-def upsert_files(catalog: DataFrame, incoming: DataFrame) -> DataFrame:
+def upsert_files(catalog: DataFrame, incoming: DataFrame, order: list[Column] | None = None) -> DataFrame:
     """Files table after a scan: incoming rows replace or extend, the rest stays.
 
-    ``incoming`` has one row per (disk_id, path); see ``last_row_wins``.  One full
-    join on the key, so that each side is read and shuffled once.
+    Of incoming rows that repeat a (disk_id, path) the last by ``order`` counts
+    (default: ``last_seen``); the other columns settle ties.  The last rows come
+    out spread by the key, so the full join shuffles each side once.
     """
     old = _keyed(catalog).select(*_BY, F.struct(*catalog.columns).alias("_old"))
-    new = _keyed(incoming).select(*_BY, F.struct(*catalog.columns).alias("_new"))
+    last = _last_by(_keyed(incoming), _BY, order or [F.col("last_seen")])
+    new = last.select(*_BY, F.struct(*catalog.columns).alias("_new"))
     return old.join(new, _BY, "full_outer").select(
         F.coalesce("_new", "_old").alias("_row")
     ).select("_row.*")

@@ -11,8 +11,6 @@ from .filters import top
 # have one).  Members of a group are spread over this many slots; one bit per
 # slot fits a long.
 _SLOTS = 64
-# up to this many groups travel to every task (a few MB)
-_FEW_GROUPS = 10_000
 
 
 def _groups(files: DataFrame, *extra) -> DataFrame:
@@ -43,9 +41,6 @@ def duplicate_members(files: DataFrame, limit: int | None = None) -> DataFrame:
     """
     columns = ["hash", "copies", "total_bytes", "disk_id", "path", "filename", "size_bytes", "modified_date"]
     hashed = files.where(F.col("hash").isNotNull())
-    if limit is not None and 0 <= limit <= _FEW_GROUPS:
-        few = F.broadcast(find_duplicates(files, limit))
-        return hashed.join(few, "hash").select(*columns)
     slot = F.pmod(F.xxhash64("disk_id", "path"), F.lit(_SLOTS)).cast("int")
     slotted = hashed.withColumn("slot", slot)
     groups = _groups(slotted, F.expr("bit_or(shiftleft(1L, slot))").alias("occupied"))

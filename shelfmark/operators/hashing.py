@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,11 +31,15 @@ class HashPolicy:
 
     def __post_init__(self) -> None:
         if self.mode not in HASH_MODES:
-            raise ValueError(f"hash mode must be one of {HASH_MODES}, got {self.mode!r}")
+            raise ValueError(f"no such way to hash: {self.mode!r}; there are {', '.join(HASH_MODES)}")
 
     def whole(self, size: Column) -> Column:
         return F.lit(True) if self.mode == "full" else size <= F.lit(self.large)
 
+    def to_read(self, size: Column) -> Column:
+        """Bytes of a file that its hash needs."""
+        return F.when(self.whole(size), size).otherwise(F.lit(2 * self.sample))
+
     def algo(self, size: Column, full: str = FULL, sampled: str = SAMPLED) -> Column:
         if self.mode == "none":
             return F.lit(None).cast("string")
@@ -113,6 +117,35 @@ def _exactly(f, n: int) -> bytes:
     return bytes(got)
 
 
+_BUCKETS = 1024
+
+
+def spread_by_bytes(files: DataFrame, cost: Column, task_bytes: int) -> DataFrame:
+    """``files`` (with ``path``) dealt to tasks by the bytes each file costs.
+
+    A file of ``task_bytes`` or more is a task of its own.  The others lie one after
+    the other in an order by hash, and a task takes those that begin in its stretch
+    of ``task_bytes``: so at most twice that.  What precedes a file is summed in its
+    bucket, and what precedes a bucket over all buckets.
+    """
+    marked = files.withColumns({"_cost": cost, "_bucket": F.pmod(F.xxhash64("path"), F.lit(_BUCKETS))})
+    alone = F.col("_cost") >= task_bytes
+    short = F.when(~alone, F.col("_cost")).otherwise(0)
+    sums = marked.groupBy("_bucket").agg(F.sum(short).alias("bytes"), F.sum(alone.cast("long")).alias("large"))
+    everything, large = sums.agg(F.sum("bytes"), F.sum("large")).first()
+    tasks, large = -(-(everything or 0) // task_bytes), large or 0
+    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_bucket", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in ("bytes", "large")])
+    before = Window.partitionBy("_bucket").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    stretch = F.floor((F.col("_bytes") + F.coalesce(F.sum(short).over(before), F.lit(0))) / task_bytes)
+    nth = tasks + F.col("_large") + F.coalesce(F.sum(alone.cast("long")).over(before), F.lit(0))
+    placed = marked.join(F.broadcast(offsets), "_bucket")  # a row for each bucket
+    # an empty file at the very end begins where the last stretch ends
+    task = F.when(alone, nth).otherwise(F.least(stretch, F.lit(max(tasks - 1, 0)))).cast("int")
+    placed = placed.withColumn("_task", task)
+    return placed.repartitionById(max(1, tasks + large), "_task").select(*files.columns)
+
+
 def hash_files(files: DataFrame, policy: HashPolicy) -> DataFrame:
     """Adds ``hash``, ``hash_algo`` and ``error_message`` by reading each ``path``.
 

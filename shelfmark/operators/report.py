@@ -15,17 +15,16 @@ HEADERS = ("Disk", "Folder", "Filename", "Extension", "Category", "Size (bytes)"
 _PADDING, _NARROWEST, _WIDEST = 2, 10, 80
 
 
-def export_rows(files: DataFrame, disks: DataFrame, filters: SearchFilters | None = None) -> DataFrame:
-    """Matching files with their disk's label, by path; all of them by default.
+def export_rows(
+    files: DataFrame, disks: DataFrame, filters: SearchFilters | None = None, limit: int | None = None
+) -> DataFrame:
+    """Matching files with their disk's label, by path.
 
-    Files are filtered before the join, so a disk filter means the file's disk.
+    All of them, unless ``limit`` is given: the limit of ``filters`` is that of a
+    search page and does not count here.  Files are filtered before the join, so a disk filter means the file's disk.
     Spark broadcasts ``disks`` below its size threshold and shuffles beyond it,
     with AQE splitting the partition of a disk that holds most files.
     """
-    return top(*_export(files, disks, filters or SearchFilters(limit=None)))
-
-
-def _export(files: DataFrame, disks: DataFrame, filters: SearchFilters) -> tuple:
     labels = disks.select("disk_id", F.col("label").alias("disk_label"))
     rows = (
         apply_filters(files, filters)
@@ -43,7 +42,7 @@ def _export(files: DataFrame, disks: DataFrame, filters: SearchFilters) -> tuple
             "mime_type",
         )
     )
-    return rows, [F.asc("path"), F.asc("disk_id")], filters.limit
+    return top(rows, [F.asc("path"), F.asc("disk_id")], limit)
 
 
 def report(rows: DataFrame, sep: str = SEP) -> DataFrame:

@@ -6,16 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KEEP = 30
-_MOST_KEPT = 10_000
 
 
 def newest_snapshots(rows: DataFrame, column: str, keep: int = KEEP) -> DataFrame:
     """Rows of the ``keep`` newest snapshots.
 
-    The kept names are at most ``keep`` rows, and joining on the partition column
-    lets Spark skip the folders of the others.
+    The kept names are at most ``keep`` rows; Spark broadcasts them if they are few,
+    and joining on the partition column lets it skip the folders of the others.
     """
-    if not 0 < keep <= _MOST_KEPT:
-        raise ValueError(f"keep must be between 1 and {_MOST_KEPT}")
+    if keep < 1:
+        raise ValueError("keep must be 1 or more")
     newest = rows.select(column).where(F.col(column).isNotNull()).distinct().orderBy(F.desc(column)).limit(keep)
-    return rows.join(F.broadcast(newest), column, "left_semi")
+    return rows.join(newest, column, "left_semi")

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+import mimetypes
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as C
-from ..functions.kinds import MIME
 from ..operators import changes, disks, duplicates, folders, hashing, ledger, report, search, snapshots, stats
 from ..operators.filters import SearchFilters
 from ..schemas import FILE_KEY
-from ..sources import filetree
 from . import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,22 +32,28 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """A page of ordered rows with their place, so that a check sees the order."""
+    marked = rows.withColumn("_at", F.monotonically_increasing_id())
+    return marked.withColumn("position", F.row_number().over(Window.orderBy("_at")).cast("long")).drop("_at")
+
+
 # -- search -------------------------------------------------------------------
 
 
 @query
 def search_name(spark, sf):
-    return search.search_files(t.files(spark, sf), SearchFilters(name="OC_1%2"))
+    return _placed(search.search_files(t.files(spark, sf), SearchFilters(name="OC_1%2")))
 
 
 @query
 def search_ext(spark, sf):
-    return search.search_files(t.files(spark, sf), SearchFilters(extension="TXT"))
+    return _placed(search.search_files(t.files(spark, sf), SearchFilters(extension="TXT")))
 
 
 @query
 def search_size(spark, sf):
-    return search.search_files(t.files(spark, sf), SearchFilters(min_size=1000, max_size=4000))
+    return _placed(search.search_files(t.files(spark, sf), SearchFilters(min_size=1000, max_size=4000)))
 
 
 @query
@@ -66,12 +71,13 @@ def search_disk_scan(spark, sf):
 
 @query
 def search_combined(spark, sf):
-    return search.search_files(
+    found = search.search_files(
         t.files_orders(spark, sf),
         SearchFilters(
             name="order_1", extension="pdf", min_size=1009, disk_id=3, modified_after="1996-01-01", limit=500
         ),
     )
+    return _placed(found)
 
 
 @query
@@ -81,7 +87,7 @@ def search_everything(spark, sf):
 
 @query
 def search_listing(spark, sf):
-    return search.search_listing(t.files(spark, sf), disk_id=2, query="doc_")
+    return _placed(search.search_listing(t.files(spark, sf), disk_id=2, query="doc_"))
 
 
 @query
@@ -266,7 +272,7 @@ def document_sizes(spark, sf):
 
 def type_names() -> list[str]:
     """Suffixes for the MIME query: known ones, packed ones, odd ones."""
-    known = sorted(MIME.types)
+    known = sorted(mimetypes.MimeTypes(filenames=()).types_map[True])
     odd = ["", ".", ".none", ".JPG", ".tar.gz", ".tgz", ".TGZ", ".svgz", ".txt.Z", ".txt.z", ".csv.bz2", ".gz", ".a.b.xz"]
     return known + odd
 
@@ -316,12 +322,28 @@ def change_kinds(spark, sf):
 
 @query
 def hash_reuse(spark, sf):
-    digest = hashing.sha256_of(F.col("content"), F.col("size_bytes"), SMALL)
+    def digest(content):
+        return hashing.sha256_of(content, F.col("size_bytes"), SMALL)
+
     algo = SMALL.algo(F.col("size_bytes"), "sha256", "sha256-sampled")
     rows = changes.reuse_hashes(t.rescanned_files(spark, sf, content=True), t.prior_files(spark, sf), digest, algo)
     return rows.select("disk_id", "path", "change_kind", "hash", "hash_algo")
 
 
+@query
+def hash_reuse_blake2b(spark, sf):
+    """The hashes themselves have no SQL: rows that share one are counted instead."""
+
+    def digest(content):
+        return hashing.blake2b_of(content, F.col("size_bytes"), SMALL)
+
+    incoming, prior = t.rescanned_files(spark, sf, content=True), t.prior_files(spark, sf)
+    rows = changes.reuse_hashes(incoming, prior, digest, SMALL.algo(F.col("size_bytes")))
+    kept = F.when(F.col("change_kind") == changes.UNCHANGED, F.col("hash"))
+    groups = rows.groupBy("hash", "change_kind", "hash_algo").agg(F.count("*").alias("files"), F.max(kept).alias("kept_hash"))
+    return groups.drop("hash")
+
+
 @query
 def listing_match(spark, sf):
     rows = changes.match_listing(t.rescanned_files(spark, sf), t.prior_files(spark, sf))
@@ -340,6 +362,11 @@ def catalog_upsert(spark, sf):
     return changes.upsert_files(t.prior_files(spark, sf), t.rescanned_files(spark, sf))
 
 
+@query
+def upsert_batch(spark, sf):
+    return changes.upsert_files(t.earlier_batch(spark, sf), t.incoming_batch(spark, sf))
+
+
 @query
 def upsert_last_wins(spark, sf):
     order = [F.col(c) for c in ("last_seen", "l_partkey", "l_suppkey", "l_extendedprice")]
@@ -446,16 +473,6 @@ def blake2b_sampled_groups(spark, sf):
     return duplicates.find_duplicates(hashed, None).select("copies", "total_bytes")
 
 
-@query
-def blake2b_table_files(spark, sf):
-    """Lists and hashes the files of the table folder itself."""
-    filetree.register(spark)
-    listed = spark.read.format("filetree").option("sep", "/").load(sf)
-    good, _ = ledger.split_errors(listed)
-    hashed = hashing.hash_files(good, hashing.HashPolicy("full"))
-    return hashed.select("filename", "extension", "size_bytes", "hash", "hash_algo", "error_message")
-
-
 # -- report and snapshots -----------------------------------------------------
 
 
@@ -467,10 +484,20 @@ def export_rows(spark, sf):
 @query
 def export_disk(spark, sf):
     return report.export_rows(
-        t.files_orders(spark, sf), t.disks(spark, sf), SearchFilters(disk_id=4, extension=".PDF", limit=None)
+        t.files_orders(spark, sf), t.disks(spark, sf), SearchFilters(disk_id=4, extension=".PDF")
     )
 
 
+@query
+def export_filtered(spark, sf):
+    return report.export_rows(t.files_orders(spark, sf), t.disks(spark, sf), SearchFilters(name="order_", min_size=1))
+
+
+@query
+def export_first(spark, sf):
+    return _placed(report.export_rows(t.files(spark, sf), t.disks(spark, sf), limit=150))
+
+
 @query
 def report_rows(spark, sf):
     return report.report(report.export_rows(t.files(spark, sf), t.disks(spark, sf)))

@@ -6,9 +6,49 @@ wherever SQL offers them, so that agreement says something.
 
 from __future__ import annotations
 
-from ..functions.kinds import CATEGORIES, MIME
+import mimetypes
+
 from .queries import AT, type_names
 
+# What is expected of the engine's tables, stated here once more.  MIME types of
+# the fixtures by number of suffix; other types as Python's own guess has them.
+_TYPES = {
+    0: "image/jpeg",
+    1: "text/plain",
+    2: "application/pdf",
+    4: "video/mp4",
+    5: "audio/mpeg",
+    6: "application/zip",
+    7: "text/x-python",
+    12: "application/octet-stream",
+    13: "application/x-tar",
+}
+
+_CATEGORIES = """
+CASE lower({ext})
+  WHEN '.jpg' THEN 'Image' WHEN '.jpeg' THEN 'Image' WHEN '.png' THEN 'Image' WHEN '.gif' THEN 'Image'
+  WHEN '.bmp' THEN 'Image' WHEN '.tif' THEN 'Image' WHEN '.tiff' THEN 'Image' WHEN '.webp' THEN 'Image'
+  WHEN '.heic' THEN 'Image' WHEN '.svg' THEN 'Image' WHEN '.ico' THEN 'Image' WHEN '.raw' THEN 'Image'
+  WHEN '.cr2' THEN 'Image' WHEN '.nef' THEN 'Image' WHEN '.dng' THEN 'Image'
+  WHEN '.mp4' THEN 'Video' WHEN '.mkv' THEN 'Video' WHEN '.avi' THEN 'Video' WHEN '.mov' THEN 'Video'
+  WHEN '.wmv' THEN 'Video' WHEN '.flv' THEN 'Video' WHEN '.webm' THEN 'Video' WHEN '.m4v' THEN 'Video'
+  WHEN '.mpg' THEN 'Video' WHEN '.mpeg' THEN 'Video' WHEN '.3gp' THEN 'Video'
+  WHEN '.mp3' THEN 'Audio' WHEN '.wav' THEN 'Audio' WHEN '.flac' THEN 'Audio' WHEN '.aac' THEN 'Audio'
+  WHEN '.ogg' THEN 'Audio' WHEN '.wma' THEN 'Audio' WHEN '.m4a' THEN 'Audio' WHEN '.opus' THEN 'Audio'
+  WHEN '.epub' THEN 'Book' WHEN '.mobi' THEN 'Book' WHEN '.azw' THEN 'Book' WHEN '.azw3' THEN 'Book' WHEN '.fb2' THEN 'Book'
+  WHEN '.pdf' THEN 'Document' WHEN '.doc' THEN 'Document' WHEN '.docx' THEN 'Document' WHEN '.odt' THEN 'Document'
+  WHEN '.rtf' THEN 'Document' WHEN '.txt' THEN 'Document' WHEN '.md' THEN 'Document'
+  WHEN '.xls' THEN 'Spreadsheet' WHEN '.xlsx' THEN 'Spreadsheet' WHEN '.ods' THEN 'Spreadsheet' WHEN '.csv' THEN 'Spreadsheet'
+  WHEN '.ppt' THEN 'Presentation' WHEN '.pptx' THEN 'Presentation' WHEN '.odp' THEN 'Presentation'
+  WHEN '.zip' THEN 'Archive' WHEN '.rar' THEN 'Archive' WHEN '.7z' THEN 'Archive' WHEN '.tar' THEN 'Archive'
+  WHEN '.gz' THEN 'Archive' WHEN '.bz2' THEN 'Archive' WHEN '.xz' THEN 'Archive'
+  WHEN '.exe' THEN 'Executable' WHEN '.msi' THEN 'Executable' WHEN '.bat' THEN 'Executable' WHEN '.cmd' THEN 'Executable'
+  WHEN '.sh' THEN 'Executable'
+  WHEN '.py' THEN 'Code' WHEN '.js' THEN 'Code' WHEN '.ts' THEN 'Code' WHEN '.java' THEN 'Code' WHEN '.c' THEN 'Code'
+  WHEN '.cpp' THEN 'Code' WHEN '.cs' THEN 'Code' WHEN '.go' THEN 'Code' WHEN '.rs' THEN 'Code' WHEN '.html' THEN 'Code'
+  WHEN '.css' THEN 'Code' WHEN '.json' THEN 'Code' WHEN '.xml' THEN 'Code' WHEN '.yaml' THEN 'Code' WHEN '.yml' THEN 'Code'
+  ELSE 'Other' END"""
+
 # -- tables -------------------------------------------------------------------
 
 _FILES = r"""
@@ -36,22 +76,16 @@ files AS (
     text
   FROM named)""".replace(
     "{mime}",
-    " ".join(
-        f"WHEN {i} THEN '{MIME.types[ext]}'"
-        for i, ext in enumerate(
-            [".jpg", ".txt", ".pdf", ".epub", ".mp4", ".mp3", ".zip", ".py", ".xlsx", "", "", ".pptx", ".exe", ".tar"]
-        )
-        if ext in MIME.types
-    ),
+    " ".join(f"WHEN {i} THEN '{kind}'" for i, kind in _TYPES.items()),
 )
 
 _ORDERS = r"""
 ordered AS (
   SELECT 1 + o_custkey % 4 AS disk_id, 1 + o_custkey % 50 AS scan_id,
     'E:\Orders\' || year(o_orderdate) || '\' || lpad(CAST(month(o_orderdate) AS VARCHAR), 2, '0')
-      || '\order_' || o_orderkey || '.pdf' AS path,
-    'order_' || o_orderkey || '.pdf' AS filename,
-    '.pdf' AS extension,
+      || '\order_' || o_orderkey || CASE WHEN o_orderkey % 7 = 0 THEN '.txt' ELSE '.pdf' END AS path,
+    'order_' || o_orderkey || CASE WHEN o_orderkey % 7 = 0 THEN '.txt' ELSE '.pdf' END AS filename,
+    CASE WHEN o_orderkey % 7 = 0 THEN '.txt' ELSE '.pdf' END AS extension,
     o_custkey * o_custkey * 1009 AS size_bytes,
     o_orderdate AS modified_date,
     md5(o_custkey || '|' || o_orderstatus || '|' || o_orderpriority) AS hash
@@ -130,11 +164,7 @@ def over(names: str, body: str) -> str:
 
 
 def category(ext: str) -> str:
-    lists = [
-        f"WHEN lower({ext}) IN ({', '.join(repr(e) for e in exts.split())}) THEN '{name}'"
-        for name, exts in CATEGORIES.items()
-    ]
-    return f"CASE {' '.join(lists)} ELSE 'Other' END"
+    return _CATEGORIES.replace("{ext}", ext)
 
 
 def readable(n: str) -> str:
@@ -150,6 +180,7 @@ def quoted(text: str) -> str:
 
 _HIT = "disk_id, path, filename, extension, size_bytes, modified_date, hash"
 _NEWEST = "ORDER BY modified_date DESC NULLS LAST, path, disk_id"
+_PLACE = f"row_number() OVER ({_NEWEST}) AS position"
 _LISTING = f"""filename AS name, path, coalesce(extension, '') AS extension, {category('extension')} AS category,
   size_bytes, {readable('size_bytes')} AS size_human, modified_date"""
 _FOLDER = r"regexp_replace(path, '\\[^\\]*$', '')"
@@ -194,23 +225,14 @@ _WIDTHS = " UNION ALL ".join(
     for i, h in enumerate(_HEADINGS)
 )
 
-_SHORT = {"tgz": ".tar", "taz": ".tar", "tz": ".tar", "tbz2": ".tar", "txz": ".tar", "svgz": ".svg"}
-
-
 def _mime() -> str:
     names = type_names()
+    guess = mimetypes.MimeTypes(filenames=()).guess_type
     options = " ".join(f"WHEN {i} THEN {quoted(n)}" for i, n in enumerate(names))
-    types = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in sorted(MIME.types.items()))
-    short = " ".join(f"WHEN {quoted('.' + k)} THEN {quoted(v)}" for k, v in _SHORT.items())
-    return rf"""
-WITH types(ext, mime) AS (VALUES {types}),
-named AS (SELECT doc_id, 'doc' || doc_id || CASE doc_id % {len(names)} {options} END AS filename FROM documents),
-outer_part AS (SELECT *, regexp_extract(filename, '^[^.].*?(\.[^.]*)$', 1) AS ext FROM named),
-inner_part AS (
-  SELECT *, CASE WHEN ext IN ('.gz', '.Z', '.bz2', '.xz', '.br')
-    THEN regexp_extract(filename, '^[^.].*?(\.[^.]*)\.[^.]*$', 1)
-    ELSE CASE lower(ext) {short} ELSE ext END END AS kind FROM outer_part)
-SELECT doc_id, filename, mime AS mime_type FROM inner_part LEFT JOIN types ON types.ext = lower(kind)"""
+    types = " ".join(f"WHEN {i} THEN {quoted(kind)}" for i, n in enumerate(names) if (kind := guess("doc0" + n)[0]))
+    return f"""
+SELECT doc_id, 'doc' || doc_id || CASE doc_id % {len(names)} {options} END AS filename,
+  CASE doc_id % {len(names)} {types} END AS mime_type FROM documents"""
 
 
 # -- queries ------------------------------------------------------------------
@@ -223,10 +245,10 @@ def references() -> dict[str, str]:
     at = f"TIMESTAMP '{AT}'"
     return {
         # search
-        "search_name": over("files", f"SELECT {_HIT} FROM files WHERE lower(filename) LIKE '%oc_1%2%' {_NEWEST} LIMIT 200"),
-        "search_ext": over("files", f"SELECT {_HIT} FROM files WHERE extension = '.txt' {_NEWEST} LIMIT 200"),
+        "search_name": over("files", f"SELECT {_HIT}, {_PLACE} FROM files WHERE lower(filename) LIKE '%oc_1%2%' {_NEWEST} LIMIT 200"),
+        "search_ext": over("files", f"SELECT {_HIT}, {_PLACE} FROM files WHERE extension = '.txt' {_NEWEST} LIMIT 200"),
         "search_size": over(
-            "files", f"SELECT {_HIT} FROM files WHERE size_bytes BETWEEN 1000 AND 4000 {_NEWEST} LIMIT 200"
+            "files", f"SELECT {_HIT}, {_PLACE} FROM files WHERE size_bytes BETWEEN 1000 AND 4000 {_NEWEST} LIMIT 200"
         ),
         "search_modified": over(
             "files",
@@ -236,12 +258,12 @@ def references() -> dict[str, str]:
         "search_disk_scan": over("ordered", f"SELECT {_HIT} FROM ordered WHERE disk_id = 2 AND scan_id = 14"),
         "search_combined": over(
             "ordered",
-            f"""SELECT {_HIT} FROM ordered WHERE contains(filename, 'order') AND filename LIKE '%order_1%'
+            f"""SELECT {_HIT}, {_PLACE} FROM ordered WHERE filename LIKE '%order_1%' AND filename LIKE '%.pdf'
                 AND size_bytes >= 1009 AND disk_id = 3 AND modified_date >= TIMESTAMP '1996-01-01' {_NEWEST} LIMIT 500""",
         ),
         "search_everything": over("ordered", f"SELECT {_HIT} FROM ordered"),
         "search_listing": over(
-            "files", f"SELECT {_LISTING} FROM files WHERE disk_id = 2 AND contains(lower(filename), 'doc') {_NEWEST} LIMIT 200"
+            "files", f"SELECT {_LISTING}, {_PLACE} FROM files WHERE disk_id = 2 AND contains(lower(filename), 'doc') {_NEWEST} LIMIT 200"
         ),
         "category_filter": over(
             "files", f"SELECT {_LISTING} FROM files WHERE {category('extension')} = 'Archive'"
@@ -413,6 +435,21 @@ def references() -> dict[str, str]:
                  CASE WHEN change_kind = 'unchanged' THEN hash ELSE {small_hash} END AS hash,
                  CASE WHEN change_kind = 'unchanged' THEN hash_algo ELSE {small_algo} END AS hash_algo FROM j""",
         ),
+        "hash_reuse_blake2b": over(
+            "prior",
+            f""", incoming AS (SELECT *, encode(text) AS b FROM files), j AS (
+               SELECT i.size_bytes, i.b, p.hash, p.hash_algo,
+                 CASE WHEN p.path IS NULL THEN 'new'
+                      WHEN p.size_bytes = i.size_bytes AND p.modified_date = i.modified_date THEN 'unchanged'
+                      ELSE 'changed' END AS change_kind
+               FROM incoming i LEFT JOIN prior p ON p.disk_id = i.disk_id AND p.path = i.path),
+               k AS (SELECT change_kind, CASE WHEN change_kind = 'unchanged' THEN hash END AS kept_hash,
+                 CASE WHEN change_kind <> 'unchanged' THEN {small_hash} END AS made_hash,
+                 CASE WHEN change_kind = 'unchanged' THEN hash_algo WHEN size_bytes <= 4096 THEN 'blake2b'
+                   ELSE 'blake2b-sampled' END AS hash_algo FROM j)
+               SELECT change_kind, hash_algo, kept_hash, count(*) AS files FROM k
+               GROUP BY change_kind, hash_algo, kept_hash, made_hash""",
+        ),
         "listing_match": over(
             "prior",
             """SELECT coalesce(f.disk_id, p.disk_id) AS disk_id, coalesce(f.path, p.path) AS path,
@@ -430,6 +467,21 @@ def references() -> dict[str, str]:
                  hash_algo, mime_type, last_seen FROM prior p
                WHERE NOT EXISTS (SELECT 1 FROM files f WHERE f.disk_id = p.disk_id AND f.path = p.path)""",
         ),
+        "upsert_batch": r"""
+            WITH incoming AS (
+              SELECT 1 + l_orderkey % 3 AS disk_id, l_suppkey AS scan_id,
+                'F:\li\' || l_orderkey || '\' || l_linenumber || '.dat' AS path, l_linenumber || '.dat' AS filename,
+                '.dat' AS extension, CAST(l_quantity AS BIGINT) AS size_bytes, l_shipdate AS created_date,
+                l_shipdate AS modified_date, CAST(l_partkey AS VARCHAR) AS hash,
+                'none' AS hash_algo, CAST(NULL AS VARCHAR) AS mime_type, l_shipdate AS last_seen,
+                row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_suppkey DESC,
+                  CAST(l_quantity AS BIGINT) DESC, CAST(l_partkey AS VARCHAR) DESC) AS nth
+              FROM lineitem)
+            SELECT * EXCLUDE (nth) FROM incoming WHERE nth = 1
+            UNION ALL
+            SELECT 1 + o_orderkey % 3, 0, 'F:\li\' || o_orderkey || '\1.dat', '1.dat', '.dat', 0, o_orderdate, o_orderdate,
+              NULL, NULL, NULL, o_orderdate FROM orders o
+            WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_linenumber = 1)""",
         "upsert_last_wins": r"""
             SELECT disk_id, path, size_bytes, last_seen FROM (
               SELECT 1 + l_orderkey % 3 AS disk_id, 'F:\li\' || l_orderkey || '\' || l_linenumber || '.dat' AS path,
@@ -512,7 +564,19 @@ def references() -> dict[str, str]:
             "ordered disks",
             """SELECT f.disk_id, d.label AS disk_label, f.path, f.filename, f.extension, f.size_bytes,
                  f.modified_date AS created_date, f.modified_date, f.hash, 'application/pdf' AS mime_type
-               FROM ordered f JOIN disks d ON d.disk_id = f.disk_id WHERE f.disk_id = 4""",
+               FROM ordered f JOIN disks d ON d.disk_id = f.disk_id WHERE f.disk_id = 4 AND f.filename LIKE '%.pdf'""",
+        ),
+        "export_filtered": over(
+            "ordered disks",
+            """SELECT f.disk_id, d.label AS disk_label, f.path, f.filename, f.extension, f.size_bytes,
+                 f.modified_date AS created_date, f.modified_date, f.hash,
+                 CASE f.extension WHEN '.txt' THEN 'text/plain' ELSE 'application/pdf' END AS mime_type
+               FROM ordered f JOIN disks d ON d.disk_id = f.disk_id WHERE f.size_bytes >= 1""",
+        ),
+        "export_first": over(
+            "files disks",
+            f"""SELECT *, row_number() OVER (ORDER BY path, disk_id) AS position FROM ({_EXPORT})
+                ORDER BY path, disk_id LIMIT 150""",
         ),
         "report_rows": over("files disks", _REPORT),
         "report_widths": over("files disks", f", report AS ({_REPORT}) {_WIDTHS}"),

@@ -4,12 +4,12 @@ Every step ends in a written table, so nothing that could differ between two
 runs (a listing, a digest, the time) is computed twice, and a lost executor
 costs its tasks only.  Hashing is committed in portions.  What a scan had hashed
 before it stopped enters the catalog all the same, so the next scan reads only
-the rest: at once after an error, at the next scan of the disk after a crash.
+the rest: at once after an error, at the next scan of the disk after a crash, by
+whatever process.  A scan holds its disk's lock; a second one meanwhile is refused.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -22,10 +22,10 @@ from ..functions import mime_type
 from ..operators import ledger
 from ..operators.changes import CHANGED, NEW, UNCHANGED, UNSEEN, match_listing
 from ..operators.disks import upsert_disks
-from ..operators.hashing import HashPolicy, hash_files
+from ..operators.hashing import HashPolicy, hash_files, spread_by_bytes
 from ..schemas import FILES, SCAN_ERRORS
-from ..session import shared_folder
 from ..sources.catalog import Catalog
+from ..sources.locks import Busy, Lock
 from ..sources.filetree import existing_root, list_tree
 
 # bytes to read per hashing task, and per committed portion
@@ -60,45 +60,67 @@ def scan(
     portion_bytes: int = _PORTION_BYTES,
     now: datetime | None = None,
 ) -> ScanResult:
-    """Brings the catalog up to date with the tree under ``root``."""
+    """Brings the catalog up to date with the tree under ``root``.
+
+    Raises ``Busy`` if another scan of the disk is at work.
+    """
     policy = policy or HashPolicy(mode)
     root = existing_root(root)
     at = F.lit((now or datetime.now(timezone.utc)).isoformat()).cast("timestamp")
 
     disk_id = _known_disk(catalog, volume, at)
-    stale = [_Run(catalog, scan_id, disk_id, at) for scan_id in _running(catalog, disk_id)]
+    with catalog.lock(f"disk={disk_id}", wait=0.0) as lock:
+        return _scan(catalog, root, disk_id, policy, portion_bytes, at, lock)
+
+
+def _scan(catalog: Catalog, root: str, disk_id: int, policy: HashPolicy, portion_bytes: int, at: Column, lock: Lock) -> ScanResult:
+    # no live scan of the disk is left besides this one
+    stale = [_Run(catalog, scan_id, disk_id, at, lock) for scan_id in _running(catalog, disk_id)]
     for run in stale:
         run.settle()
-    scans = ledger.close_stale(catalog.scans(), disk_id, at)
-    scan_id = 1 + (catalog.scans().agg(F.max("scan_id")).first()[0] or 0)
-    catalog.replace_small("scans", ledger.open_scan(scans, scan_id, disk_id, root, at))
-
+    scan_id = _opened(catalog, disk_id, root, at)
     for run in stale:
         run.clear()
-
-    run = _Run(catalog, scan_id, disk_id, at)
+    run = _Run(catalog, scan_id, disk_id, at, lock)
     run.clear()  # left by a catalog that was here before, if anything
     try:
         run.list(root)
         run.hash(policy, portion_bytes)
+        scanned, failed = run.settle()
     except BaseException as exc:
         status = ledger.INTERRUPTED if isinstance(exc, KeyboardInterrupt) else ledger.FAILED
-        run.close(*run.settle(), status)
+        try:
+            counts = run.settle()
+        except Exception:  # what could not be entered does not hide what went wrong
+            counts = 0, 0
+        run.close(*counts, status)
         raise
-    scanned, failed = run.settle()
     run.close(scanned, failed, ledger.COMPLETED)
     # the version before stays for whoever is still reading it
     catalog.drop_old_versions(keep=2)
+    catalog.pack_errors()
     return ScanResult(scan_id, disk_id, scanned, failed)
 
 
+def _opened(catalog: Catalog, disk_id: int, root: str, at: Column) -> int:
+    """Enters a running scan under the next free id; scans that died become interrupted."""
+    ids = []
+
+    def opened(scans: DataFrame) -> DataFrame:
+        ids.append(1 + (scans.agg(F.max("scan_id")).first()[0] or 0))
+        return ledger.open_scan(ledger.close_stale(scans, disk_id, at), ids[0], disk_id, root, at)
+
+    catalog.update("scans", opened)
+    return ids[0]
+
+
 def _known_disk(catalog: Catalog, volume: Volume, at) -> int:
     facts = catalog.spark.createDataFrame(
         [(volume.serial, volume.label, volume.filesystem, volume.total_bytes)],
         "volume_serial string, label string, filesystem string, total_bytes long",
     )
-    catalog.replace_small("disks", upsert_disks(catalog.disks(), facts, at))
-    return catalog.disks().where(F.col("volume_serial") == volume.serial).first()["disk_id"]
+    disks = catalog.update("disks", lambda disks: upsert_disks(disks, facts, at))
+    return disks.where(F.col("volume_serial") == volume.serial).first()["disk_id"]
 
 
 def _running(catalog: Catalog, disk_id: int) -> list[int]:
@@ -114,11 +136,10 @@ def _portion(portions: int) -> Column:
 class _Run:
     """The staged tables of one scan."""
 
-    def __init__(self, catalog: Catalog, scan_id: int, disk_id: int, at) -> None:
-        self.catalog, self.scan_id, self.disk_id, self.at = catalog, scan_id, disk_id, at
+    def __init__(self, catalog: Catalog, scan_id: int, disk_id: int, at, lock: Lock | None = None) -> None:
+        self.catalog, self.scan_id, self.disk_id, self.at, self.lock = catalog, scan_id, disk_id, at, lock
         self.spark = catalog.spark
-        name = hashlib.md5(catalog.root.encode()).hexdigest()
-        self.staging = f"{shared_folder(self.spark)}/shelfmark-{name}/scan_id={scan_id}"
+        self.staging = f"{catalog.root}/_staging/scan_id={scan_id}"
 
     def list(self, root: str) -> None:
         """Stages the listing, and beside it the match with the catalog."""
@@ -141,18 +162,31 @@ class _Run:
         matched.write.parquet(f"{self.staging}/matched")
 
     def hash(self, policy: HashPolicy, portion_bytes: int) -> None:
-        """Hashes new and changed files, portion by portion."""
-        todo = self._staged("matched").where(F.col("change_kind").isin(NEW, CHANGED))
-        to_read = F.when(policy.whole(F.col("size_bytes")), F.col("size_bytes")).otherwise(2 * policy.sample)
+        """Hashes new and changed files, portion by portion.
+
+        What is to be hashed is written once, a folder for each portion, with only
+        the columns of the new rows; a portion reads its own folder and is spread
+        over tasks by the bytes to read.
+        """
+        kept = [c for c in FILES.fieldNames() if c not in ("hash", "hash_algo")]
+        todo = self._staged("matched").where(F.col("change_kind").isin(NEW, CHANGED)).select(*kept)
+        if policy.mode == "none":
+            hash_files(todo, policy).write.parquet(f"{self.staging}/hashed/of=1/portion=000000")
+            return
+        to_read = policy.to_read(F.col("size_bytes"))
         total = todo.agg(F.sum(to_read)).first()[0]
         if total is None:
             return
         portions = max(1, -(-total // portion_bytes))
-        tasks = max(self.spark.sparkContext.defaultParallelism, -(-total // portions // _TASK_BYTES))
+        of = todo.withColumn("portion", _portion(portions)).hint("rebalance", "portion")
+        of.write.partitionBy("portion").parquet(f"{self.staging}/todo")
+        task_bytes = max(1, min(_TASK_BYTES, -(-total // portions // self.spark.sparkContext.defaultParallelism)))
         for n in range(portions):
-            # repartitioned by count: rows are short, reading what they name is not
-            some = todo.where(_portion(portions) == n).repartition(tasks)
-            hash_files(some, policy).write.parquet(f"{self.staging}/hashed/of={portions}/portion={n:06d}")
+            folder = f"{self.staging}/todo/portion={n}"
+            if self.catalog.folders.matching(folder):
+                some = self.spark.read.schema(todo.schema).parquet(folder)
+                spread = spread_by_bytes(some, to_read, task_bytes)
+                hash_files(spread, policy).write.parquet(f"{self.staging}/hashed/of={portions}/portion={n:06d}")
 
     def settle(self) -> tuple[int, int]:
         """Enters what is staged into the catalog; gives files and errors.
@@ -168,7 +202,8 @@ class _Run:
         if hashed is not None:
             good, bad = ledger.split_errors(hashed)
             fresh.append(good.select(*names))
-            kept.append(bad)
+            if matched is not None:
+                kept.append(matched.where(kind.isin(NEW, CHANGED)).join(bad.select("path"), "path", "left_semi"))
             errors.append(bad)
         failed = self._enter_errors(errors)
         if matched is None:
@@ -179,6 +214,8 @@ class _Run:
         rows = [k.where(F.col("old").isNotNull()).select("old.*").select(*names) for k in kept]
         new = reduce(DataFrame.unionByName, fresh)
         table = reduce(DataFrame.unionByName, rows, new)
+        if self.lock is not None and not self.lock.held():
+            raise Busy(f"disk {self.disk_id} was taken over by another scan")
         self.catalog.replace_files(self.disk_id, self.scan_id, table, matched.count())
         return new.count(), failed
 
@@ -204,8 +241,7 @@ class _Run:
         return rows.count()
 
     def close(self, scanned: int, failed: int, status: str) -> None:
-        scans = ledger.finish_scan(self.catalog.scans(), self.scan_id, scanned, failed, self.at, status)
-        self.catalog.replace_small("scans", scans)
+        self.catalog.update("scans", lambda scans: ledger.finish_scan(scans, self.scan_id, scanned, failed, self.at, status))
         self.clear()
 
     def clear(self) -> None:

@@ -68,9 +68,11 @@ def files(spark: SparkSession, sf_dir: str, content: bool = False) -> DataFrame:
 
 
 def files_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file per order: many folders, many duplicate groups."""
+    """One file per order: many folders, many duplicate groups; every seventh a text."""
     o = table(spark, sf_dir, "orders")
-    name = F.concat(F.lit("order_"), F.col("o_orderkey").cast("string"), F.lit(".pdf"))
+    plain = F.col("o_orderkey") % 7 == 0
+    ending = F.when(plain, F.lit(".txt")).otherwise(F.lit(".pdf"))
+    name = F.concat(F.lit("order_"), F.col("o_orderkey").cast("string"), ending)
     when = F.col("o_orderdate")
     month = F.lpad(F.month(when).cast("string"), 2, "0")
     folder = F.concat(F.lit("E:\\Orders\\"), F.year(when).cast("string"), F.lit("\\"), month, F.lit("\\"))
@@ -80,13 +82,13 @@ def files_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         "scan_id": 1 + F.col("o_custkey") % 50,
         "path": F.concat(folder, name),
         "filename": name,
-        "extension": F.lit(".pdf"),
+        "extension": ending,
         "size_bytes": F.col("o_custkey") * F.col("o_custkey") * 1009,
         "created_date": when,
         "modified_date": when,
         "hash": F.md5(content.cast("binary")),
         "hash_algo": F.lit("md5"),
-        "mime_type": F.lit("application/pdf"),
+        "mime_type": F.when(plain, F.lit("text/plain")).otherwise(F.lit("application/pdf")),
         "last_seen": when,
     }
     return o.select(*[v.alias(c) for c, v in values.items()])
@@ -109,6 +111,36 @@ def batch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def incoming_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``batch_files`` as rows of the files table: keys repeat."""
+    name = F.substring_index("path", "\\", -1)
+    known = {"scan_id": F.col("l_suppkey"), "filename": name, "extension": F.lit(".dat"), "created_date": F.col("last_seen")}
+    known |= {"modified_date": F.col("last_seen"), "hash": F.col("l_partkey").cast("string"), "hash_algo": F.lit("none")}
+    rows = batch_files(spark, sf_dir).withColumns({**known, "mime_type": F.lit(None).cast("string")})
+    return rows.select(*FILES.fieldNames())
+
+
+def earlier_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog from before: a file per order, some of which the batch brings again."""
+    o = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    values = {
+        "disk_id": 1 + key % 3,
+        "scan_id": F.lit(0).cast("long"),
+        "path": F.concat(F.lit("F:\\li\\"), key.cast("string"), F.lit("\\1.dat")),
+        "filename": F.lit("1.dat"),
+        "extension": F.lit(".dat"),
+        "size_bytes": F.lit(0).cast("long"),
+        "created_date": F.col("o_orderdate"),
+        "modified_date": F.col("o_orderdate"),
+        "hash": F.lit(None).cast("string"),
+        "hash_algo": F.lit(None).cast("string"),
+        "mime_type": F.lit(None).cast("string"),
+        "last_seen": F.col("o_orderdate"),
+    }
+    return o.select(*[v.alias(c) for c, v in values.items()])
+
+
 def prior_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An earlier state of ``files``: some moved since, some grown, some equal."""
     id_ = F.col("doc_id")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-from functools import cache
-
 from pyspark.sql import SparkSession
 
 # Settings that hold on a laptop and on a cluster alike.  Partition counts are
@@ -31,22 +28,3 @@ def local_session(name: str = "shelfmark", cpus: str = "*", memory: str = "16g",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="shelfmark-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, for staged tables.
-
-    A cluster names it in ``spark.checkpoint.dir``.  Only a local session, where
-    driver and executors share one machine, falls back to a temporary folder.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if spark.sparkContext.master.startswith("local"):
-        return _local_folder()
-    raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")

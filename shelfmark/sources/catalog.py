@@ -6,22 +6,33 @@ leaves the previous version in force.  Files are versioned per disk, so a scan
 rewrites the files of its own disk only::
 
     disks/version=N   scans/version=N   scan_errors/scan_id=S   files/disk_id=D/version=S
+    packed_errors/version=S: the errors of all scans up to S
+
+A new version of ``disks`` or ``scans`` is made from the current one under a lock,
+so changes of several writers follow each other and none is lost.  A disk's files
+are written only by the scan that holds the disk's lock.  Staged tables of scans
+are kept beside the catalog, where the next process finds them.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import DISKS, FILES, SCAN_ERRORS, SCANS, conform
+from ..operators.disks import patch_disks
 from ..operators.snapshots import KEEP
+from .locks import Lock
 
 _SMALL = {"disks": DISKS, "scans": SCANS}
 # rows per written part: some hundred MB, whatever the session's shuffle width
 _PART_ROWS = 2_000_000
+# error folders that are left to themselves before they are packed into one table
+_ERROR_FOLDERS = 64
 
 
 class Folders:
@@ -64,7 +75,18 @@ class Catalog:
         return self._newest("scans")
 
     def errors(self) -> DataFrame:
-        return self._read("scan_errors", SCAN_ERRORS, self.folders.committed(f"{self.root}/scan_errors/scan_id=*"))
+        upto, packed = self._packed()
+        rest = [f for f in self._error_folders() if _number(f, "scan_id") > upto]
+        return packed.unionByName(self._read("scan_errors", SCAN_ERRORS, rest))
+
+    def _error_folders(self) -> list[str]:
+        return self.folders.committed(f"{self.root}/scan_errors/scan_id=*")
+
+    def _packed(self) -> tuple[int, DataFrame]:
+        """The errors packed so far, and the last scan among them."""
+        found = sorted(self.folders.committed(f"{self.root}/packed_errors/version=*"), key=lambda f: _number(f, "version"))
+        rows = self._read("packed_errors", SCAN_ERRORS, found[-1:])
+        return (_number(found[-1], "version") if found else 0), rows
 
     def files(self, disk_id: int | None = None) -> DataFrame:
         """Files of one disk or of all; other disks' folders are not touched."""
@@ -88,12 +110,22 @@ class Catalog:
 
     # -- writing ---------------------------------------------------------------
 
-    def replace_small(self, table: str, rows: DataFrame) -> None:
-        """New version of ``disks`` or ``scans``."""
-        done = self.folders.matching(f"{self.root}/{table}/version=*")
-        version = 1 + max((_number(f, "version") for f in done), default=0)
-        rows = conform(rows, _SMALL[table])
-        rows.hint("rebalance").write.parquet(f"{self.root}/{table}/version={version:08d}")
+    def lock(self, name: str, wait: float = 600.0) -> Lock:
+        """To be entered by whoever changes ``name``; waits, then raises ``Busy``."""
+        return Lock(self.spark, f"{self.root}/_locks/{name}", wait)
+
+    def update(self, table: str, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """New version of ``disks`` or ``scans``, made from the current one."""
+        with self.lock(table):
+            rows = conform(change(self._newest(table)), _SMALL[table])
+            done = self.folders.matching(f"{self.root}/{table}/version=*")
+            version = 1 + max((_number(f, "version") for f in done), default=0)
+            rows.hint("rebalance").write.parquet(f"{self.root}/{table}/version={version:08d}")
+            return self._newest(table)
+
+    def patch_disks(self, patches: DataFrame) -> DataFrame:
+        """Stores edits of labels and descriptions, also while scans run; gives the disks."""
+        return self.update("disks", lambda disks: patch_disks(disks, patches))
 
     def replace_files(self, disk_id: int, version: int, rows: DataFrame, count: int) -> None:
         """New version of one disk's files, about ``count`` of them, sorted by path.
@@ -114,16 +146,34 @@ class Catalog:
         )
 
     def replace_errors(self, scan_id: int, rows: DataFrame) -> None:
-        rows = conform(rows, SCAN_ERRORS).drop("scan_id")
+        rows = conform(rows, SCAN_ERRORS).drop("scan_id").hint("rebalance")
         rows.write.mode("overwrite").parquet(f"{self.root}/scan_errors/scan_id={scan_id}")
 
-    def drop_old_versions(self, keep: int = 2) -> list[str]:
-        """Removes all but the newest ``keep`` versions of every table and disk."""
+    def pack_errors(self, folders: int = _ERROR_FOLDERS) -> None:
+        """Brings the errors of ended scans into one table once they fill ``folders``."""
+        with self.lock("errors"):
+            upto, packed = self._packed()
+            running = self.scans().where("status = 'running'").agg(F.min("scan_id")).first()[0]
+            ended = [f for f in self._error_folders() if running is None or _number(f, "scan_id") < running]
+            fresh = [f for f in ended if _number(f, "scan_id") > upto]
+            if len(fresh) >= folders:
+                version = max(_number(f, "scan_id") for f in fresh)
+                rows = packed.unionByName(self._read("scan_errors", SCAN_ERRORS, fresh))
+                rows.hint("rebalance").write.parquet(f"{self.root}/packed_errors/version={version:08d}")
+            else:  # those packed last time have had their readers
+                for folder in ended:
+                    if _number(folder, "scan_id") <= upto:
+                        self.folders.remove(folder)
+
+    def drop_old_versions(self, keep: int = 2, keep_small: int = 16) -> list[str]:
+        """Removes all but the newest ``keep`` versions of every disk's files, and
+        ``keep_small`` of the small tables, which change more often while being read."""
         removed = []
-        parents = [f"{self.root}/{t}" for t in _SMALL] + self.folders.matching(f"{self.root}/files/disk_id=*")
-        for parent in parents:
+        parents = [(f"{self.root}/{t}", keep_small) for t in (*_SMALL, "packed_errors")]
+        parents += [(folder, keep) for folder in self.folders.matching(f"{self.root}/files/disk_id=*")]
+        for parent, some in parents:
             done = sorted(self.folders.committed(f"{parent}/version=*"), key=lambda f: _number(f, "version"))
-            removed += done[:-keep] if keep > 0 else []
+            removed += done[:-some] if some > 0 else []
         for folder in removed:
             self.folders.remove(folder)
         return removed
@@ -146,13 +196,14 @@ def _complete(folders: Folders, target: str, day: str = "*") -> list[str]:
 
 def snapshot_now(catalog: Catalog, target: str, keep: int = KEEP, stamp: str | None = None) -> str:
     """Copies all tables to ``target``/snapshot=<UTC time>; keeps the newest ``keep``."""
-    folder = f"{target}/snapshot={stamp or _stamp(catalog.spark)}"
-    tables = {"disks": catalog.disks(), "scans": catalog.scans(), "scan_errors": catalog.errors(), "files": catalog.files()}
-    for name, rows in tables.items():
-        by_disk = ["disk_id"] if name == "files" else []
-        rows.write.partitionBy(*by_disk).parquet(f"{folder}/{name}")
-    drop_old_snapshots(catalog, target, keep)
-    return folder
+    with Lock(catalog.spark, f"{target}/_locks/snapshots"):
+        folder = f"{target}/snapshot={stamp or _stamp(catalog.spark)}"
+        tables = {"disks": catalog.disks(), "scans": catalog.scans(), "scan_errors": catalog.errors(), "files": catalog.files()}
+        for name, rows in tables.items():
+            by_disk = ["disk_id"] if name == "files" else []
+            rows.write.partitionBy(*by_disk).parquet(f"{folder}/{name}")
+        _drop_old(catalog, target, keep)
+        return folder
 
 
 def has_snapshot(catalog: Catalog, target: str, day: str) -> bool:
@@ -169,9 +220,17 @@ def snapshot_if_needed(catalog: Catalog, target: str, keep: int = KEEP, stamp: s
 
 
 def drop_old_snapshots(catalog: Catalog, target: str, keep: int = KEEP) -> list[str]:
-    """Removes all but the newest ``keep`` complete copies; gives those removed."""
+    """Removes all but the newest ``keep`` complete copies, and those that a process
+    which died left unfinished; gives the folders removed."""
+    with Lock(catalog.spark, f"{target}/_locks/snapshots"):
+        return _drop_old(catalog, target, keep)
+
+
+def _drop_old(catalog: Catalog, target: str, keep: int) -> list[str]:
+    # whoever holds the lock is the only one to write: what is unfinished stays so
     done = sorted(_complete(catalog.folders, target), key=lambda f: f.rsplit("/", 1)[1])
-    removed = done[: max(len(done) - keep, 0)]
+    removed = [f for f in catalog.folders.matching(f"{target}/snapshot=*") if f not in done]
+    removed += done[: max(len(done) - keep, 0)]
     for folder in removed:
         catalog.folders.remove(folder)
     return removed

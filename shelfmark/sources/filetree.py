@@ -22,6 +22,7 @@ import os
 from collections import deque
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,8 @@ SCHEMA = (
 )
 _FOUND = "kind string, folder string, name string, error_message string"
 _BATCH = 4096
+# names of sub-folders that the source holds at once
+_MOST_FOLDERS = 100_000
 
 _UTC = pa.timestamp("us", tz="UTC")
 _ROWS = pa.schema(
@@ -139,15 +142,24 @@ class _Reader(DataSourceReader):
         """Opens directories breadth first until there are enough of them.
 
         The files of an opened directory form a part apart from its sub-trees.
-        Many sub-trees share the parts there are.
+        Many sub-trees share the parts there are.  The driver holds a bounded number
+        of names: a directory with more than ``_MOST_FOLDERS`` sub-folders is left
+        unopened and read by one task, sub-folder by sub-folder.  ``list_tree`` has
+        no such directory to itself.
         """
         opened: list[str] = []
+        whole: list[str] = []
         waiting = deque([self.root])
-        while waiting and len(opened) + len(waiting) < self.parts:
+        while waiting and len(opened) + len(whole) + len(waiting) < self.parts:
             folder = waiting.popleft()
-            opened.append(folder)
-            waiting.extend(os.path.join(f, n) for kind, f, n, _ in _entries(folder) if kind == FOLDER)
-        trees = list(waiting)
+            below = (os.path.join(f, n) for kind, f, n, _ in _entries(folder) if kind == FOLDER)
+            some = list(islice(below, _MOST_FOLDERS + 1))
+            if len(some) > _MOST_FOLDERS:
+                whole.append(folder)
+            else:
+                opened.append(folder)
+                waiting.extend(some)
+        trees = whole + list(waiting)
         shares = [trees[n :: self.parts] for n in range(min(self.parts, len(trees)))]
         return [_Part([f], False) for f in opened] + [_Part(share, True) for share in shares]
 
@@ -162,8 +174,10 @@ class _Reader(DataSourceReader):
                     yield _file_row(folder, name)
                 elif kind == ERROR:
                     yield _error_row(folder, message)
-                elif part.deep:
+                elif part.deep and len(waiting) < _MOST_FOLDERS:
                     waiting.append(os.path.join(folder, name))
+                elif part.deep:  # never piled up: entered at once
+                    yield from self._rows(_Part([os.path.join(folder, name)], True))
 
 
 class FileTree(DataSource):

@@ -35,7 +35,14 @@ def test_export_is_whole_and_by_path(tables):
 def test_export_of_one_disk(tables):
     files, disks = tables
     assert [r.disk_id for r in report.export_rows(files, disks, SearchFilters(disk_id=2)).collect()] == [2]
-    assert report.export_rows(files, disks, SearchFilters(limit=1)).count() == 1
+    assert report.export_rows(files, disks, limit=1).count() == 1
+
+
+def test_an_export_is_not_a_page(make_files, make_disks):
+    files = make_files(*[(1, f"C:\\f{n:03d}.pdf", n, None) for n in range(300)])
+    disks = make_disks({"disk_id": 1, "volume_serial": "S1"})
+    assert report.export_rows(files, disks, SearchFilters(disk_id=1)).count() == 300
+    assert report.export_rows(files, disks, SearchFilters(extension="pdf", limit=1)).count() == 300
 
 
 def test_report_rows(tables):

@@ -48,6 +48,17 @@ def test_blake2b_of_columns(spark):
     assert digests(hashing.HashPolicy("none")) == [None] * 6
 
 
+@pytest.mark.parametrize("sizes", [[5] * 400, [1] * 200 + [900, 5000, 40], [0, 0, 0], [10_000]])
+def test_tasks_are_even_in_bytes(spark, sizes):
+    rows = spark.createDataFrame([(f"f{i}", n) for i, n in enumerate(sizes)], "path string, n long")
+    dealt = hashing.spread_by_bytes(rows, F.col("n"), 100).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.path, r.n) for r in dealt) == sorted((f"f{i}", n) for i, n in enumerate(sizes))
+    tasks = {}
+    for r in dealt:
+        tasks.setdefault(r.task, []).append(r.n)
+    assert all(sum(t) <= 200 or len(t) == 1 for t in tasks.values())
+
+
 def test_hash_files_by_path(spark, tmp_path):
     big, twin, other, small = (tmp_path / n for n in ("big", "twin", "other", "small"))
     head, tail = b"h" * 1024 * 1024, b"t" * 1024 * 1024
@@ -90,7 +101,7 @@ def test_change_kinds_and_kept_hashes(make_files):
         (1, "same", 5, None), (1, "grown", 6, None), (1, "new", 5, None), (1, "unhashed", 5, None),
         {"disk_id": 1, "path": "touched", "size_bytes": 5, "modified_date": at("2024-05-02T00:00:00")},
     )
-    got = changes.reuse_hashes(listing, catalog, F.lit("fresh"), F.lit("algo")).collect()
+    got = changes.reuse_hashes(listing, catalog, lambda c: F.lit("fresh"), F.lit("algo"), "path").collect()
     assert {r.path: (r.change_kind, r.hash) for r in got} == {
         "same": ("unchanged", "h1"), "grown": ("changed", "fresh"), "touched": ("changed", "fresh"),
         "new": ("new", "fresh"), "unhashed": ("unchanged", None),
@@ -108,11 +119,32 @@ def test_match_listing_holds_both_sides(make_files):
 
 def test_unchanged_rows_are_never_hashed(make_files):
     catalog = make_files((1, "same", 5, "h1"))
-    bomb = F.raise_error(F.concat(F.lit("hashed "), "path"))
-    kept = changes.reuse_hashes(make_files((1, "same", 5, None)), catalog, bomb.cast("string"), F.lit("a"))
+    def bomb(content):
+        return F.raise_error(F.concat(F.lit("hashed "), content)).cast("string")
+
+    kept = changes.reuse_hashes(make_files((1, "same", 5, None)), catalog, bomb, F.lit("a"), "path")
     assert kept.first()["hash"] == "h1"
 
 
+def test_python_digests_see_changed_rows_only(spark, make_files):
+    catalog = make_files(*[(1, f"p{n}", 5, "kept") for n in range(50)])
+    listing = make_files(*[(1, f"p{n}", 5 + (n < 3), None) for n in range(52)])
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(content):
+        seen.add(sum(c is not None for c in content.to_pylist()))
+        return content
+
+    def digest(content):
+        counted = F.arrow_udf(count, "binary").asNondeterministic()
+        return hashing.blake2b_of(counted(content), F.col("size_bytes"), hashing.HashPolicy("full"))
+
+    rows = changes.reuse_hashes(listing.withColumn("content", F.encode("path", "UTF-8")), catalog, digest, F.lit("blake2b"))
+    got = {r.path: r.hash for r in rows.collect()}
+    assert seen.value == 5
+    assert got["p7"] == "kept" and got["p51"] == hashlib.blake2b(b"p51").hexdigest()
+
+
 def test_upsert(make_files):
     catalog = make_files((1, "a", 1, "old"), (1, "b", 2, "old"), (2, "a", 3, "old"))
     incoming = make_files(
@@ -124,6 +156,14 @@ def test_upsert(make_files):
     assert changes.upsert_files(catalog, incoming).schema.names == schemas.FILES.names
 
 
+def test_upsert_of_repeated_keys(make_files):
+    catalog = make_files((1, "a", 1, "old"), (1, "b", 2, "old"))
+    last = {"disk_id": 1, "path": "a", "size_bytes": 7, "last_seen": at("2024-06-02T00:00:00")}
+    incoming = make_files({**last, "size_bytes": 3, "last_seen": at("2024-06-01T00:00:00")}, last, last, {"disk_id": 1, "path": "c"}, {"disk_id": 1, "path": "c"})
+    got = sorted((r.path, r.size_bytes) for r in changes.upsert_files(catalog, incoming).collect())
+    assert got == [("a", 7), ("b", 2), ("c", 0)]
+
+
 def test_last_row_wins(spark):
     rng = random.Random(4)
     rows = [(0 if n % 3 else rng.randrange(20), rng.choice([None, *range(50)]), n) for n in range(500)]

@@ -1,6 +1,10 @@
 import hashlib
 import os
 import stat
+import subprocess
+import sys
+import threading
+from pathlib import Path
 
 import pytest
 from conftest import at, plan_of
@@ -13,6 +17,7 @@ from shelfmark.plans.scan import Volume, scan
 from shelfmark.sources import catalog as cat
 from shelfmark.sources import filetree
 from shelfmark.sources.catalog import Catalog
+from shelfmark.sources.locks import Busy, Lock
 
 DISK = Volume("S-1", "Shelf", "ext4", 1000)
 
@@ -221,11 +226,154 @@ def test_stopped_rescan_leaves_unhashed_rows_as_they_were(catalog, tree, monkeyp
     assert after[str(tree / "sub" / "deep" / "c.tar.gz")].scan_id == 2
 
 
-def test_staged_tables_are_dropped(catalog, tree, spark):
+def test_staged_tables_are_dropped(catalog, tree):
     scan(catalog, str(tree), DISK)
     mine = scan_plan._Run(catalog, 1, 1, None).staging
-    assert mine.startswith(spark.conf.get("spark.checkpoint.dir"))
-    assert not catalog.folders.matching(mine)
+    assert mine.startswith(catalog.root)
+    assert not catalog.folders.matching(mine) and not catalog.folders.matching(f"{catalog.root}/_locks/*")
+
+
+# -- several writers ----------------------------------------------------------
+
+
+def at_once(*jobs):
+    """Runs functions in threads; gives what each returned or raised."""
+    out = [None] * len(jobs)
+
+    def run(n):
+        try:
+            out[n] = jobs[n]()
+        except Exception as exc:
+            out[n] = exc
+
+    threads = [threading.Thread(target=run, args=(n,)) for n in range(len(jobs))]
+    for thread in threads:
+        thread.start()
+    for thread in threads:
+        thread.join()
+    return out
+
+
+def test_scans_of_two_disks_at_once(catalog, tree, tmp_path):
+    other = tmp_path / "other"
+    other.mkdir()
+    (other / "z").write_text("z")
+    one, two = at_once(lambda: scan(catalog, str(tree), DISK), lambda: scan(catalog, str(other), Volume("S-2")))
+    assert {one.scan_id, two.scan_id} == {1, 2} and {one.disk_id, two.disk_id} == {1, 2}
+    assert (one.files_scanned, two.files_scanned) == (3, 1)
+    assert catalog.files().count() == 4 and catalog.disks().count() == 2
+    assert {r.status for r in catalog.scans().collect()} == {"completed"}
+
+
+def test_a_live_scan_is_left_alone(catalog, tree, spark, monkeypatch):
+    real, seen = scan_plan._Run.hash, []
+
+    def meanwhile(self, *args):
+        if not seen:
+            seen.append(None)
+            with pytest.raises(Busy):
+                scan(catalog, str(tree), DISK)
+            edit = spark.createDataFrame([(1, 1, "edited", None)], "seq long, disk_id long, label string, description string")
+            catalog.patch_disks(edit)
+        return real(self, *args)
+
+    monkeypatch.setattr(scan_plan._Run, "hash", meanwhile)
+    assert scan(catalog, str(tree), DISK).files_scanned == 3
+    assert catalog.scans().count() == 1 and catalog.files().count() == 3
+    assert catalog.disks().first().label == "edited"
+
+
+def test_edits_at_once_are_all_kept(catalog, tree, spark):
+    scan(catalog, str(tree), DISK, mode="none")
+    scan(catalog, str(tree), Volume("S-2"), mode="none")
+    edits = [(1, 1, "a", None), (1, 1, None, "b"), (1, 2, "c", None), (1, 2, None, "d")]
+    rows = [spark.createDataFrame([e], "seq long, disk_id long, label string, description string") for e in edits]
+    at_once(*[lambda r=r: catalog.patch_disks(r) for r in rows])
+    assert sorted((d.label, d.description) for d in catalog.disks().collect()) == [("a", "b"), ("c", "d")]
+
+
+_DIES = """
+import os, sys
+sys.path.insert(0, sys.argv[1])
+from shelfmark.plans import scan as plan
+from shelfmark.session import local_session
+from shelfmark.sources.catalog import Catalog
+from shelfmark.sources.locks import Busy, Lock
+plan._Run.settle = lambda self: os._exit(9)
+plan.scan(Catalog(local_session("dies", "1", "1g"), sys.argv[2]), sys.argv[3], plan.Volume("S-1", "Shelf", "ext4", 1000))
+"""
+
+
+def test_crashed_scan_is_picked_up_by_another_process(catalog, tree, monkeypatch):
+    top = str(Path(__file__).resolve().parents[1])
+    died = subprocess.run([sys.executable, "-c", _DIES, top, catalog.root, str(tree)], timeout=300, capture_output=True)
+    assert died.returncode == 9
+    assert catalog.scans().first().status == "running" and catalog.files().count() == 0
+    with pytest.raises(Busy):  # it might still be alive
+        scan(catalog, str(tree), DISK)
+    monkeypatch.setattr(Lock, "dead_after", 0.0)
+    again = []
+    hash_files = scan_plan.hash_files
+    monkeypatch.setattr(scan_plan, "hash_files", lambda rows, policy: (again.extend(rows.collect()), hash_files(rows, policy))[1])
+    with pytest.raises(Busy):  # the first try clears the dead owner's lock away
+        scan(catalog, str(tree), DISK)
+    assert scan(catalog, str(tree), DISK).files_scanned == 3 and again == []
+    assert {r.scan_id: r.status for r in catalog.scans().collect()} == {1: "interrupted", 2: "completed"}
+
+
+def test_lock_is_renewed_and_lost_when_taken(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Lock, "every", 0.2)
+    monkeypatch.setattr(Lock, "dead_after", 1.0)
+    path = str(tmp_path / "locks" / "x")
+    with Lock(spark, path) as first:
+        with pytest.raises(Busy), Lock(spark, path, wait=2.5):
+            pass
+        assert first.held()
+        first._ended.set()  # as if it had died
+        with Lock(spark, path, wait=5.0) as second:
+            assert second.held() and not first.held()
+
+
+def test_failed_entry_marks_the_scan(catalog, tree, monkeypatch):
+    monkeypatch.setattr(Catalog, "replace_files", lambda *a: (_ for _ in ()).throw(OSError("full")))
+    with pytest.raises(OSError, match="full"):
+        scan(catalog, str(tree), DISK)
+    assert catalog.scans().first().status == "failed"
+
+
+def test_a_portion_reads_its_own_folder(catalog, tree, monkeypatch):
+    for n in range(20):
+        (tree / f"more{n}").write_text("x" * 100)
+    plans, real = [], scan_plan.spread_by_bytes
+    monkeypatch.setattr(scan_plan, "spread_by_bytes", lambda rows, *a: (plans.append(rows.inputFiles()), real(rows, *a))[1])
+    scan(catalog, str(tree), DISK, portion_bytes=1000)
+    assert len(plans) > 2
+    folders = [{f.rsplit("/", 2)[1] for f in files} for files in plans]
+    assert all(len(f) == 1 for f in folders) and len(set().union(*folders)) == len(plans)
+
+
+def test_errors_are_packed(catalog, tree):
+    os.mkfifo(tree / "pipe")
+    for _ in range(3):
+        scan(catalog, str(tree), DISK, mode="full")
+    before = sorted((r.scan_id, r.path) for r in catalog.errors().collect())
+    assert [s for s, _ in before] == [1, 2, 3]
+    catalog.pack_errors(folders=2)
+    catalog.pack_errors(folders=2)
+    assert not catalog.folders.matching(f"{catalog.root}/scan_errors/scan_id=*")
+    assert sorted((r.scan_id, r.path) for r in catalog.errors().collect()) == before
+    scan(catalog, str(tree), DISK)
+    assert catalog.errors().count() == 4
+
+
+def test_source_leaves_a_wide_folder_to_a_task(spark, odd, monkeypatch):
+    for n in range(30):
+        (odd / f"w{n}").mkdir()
+        (odd / f"w{n}" / "f").write_text("x")
+    monkeypatch.setattr(filetree, "_MOST_FOLDERS", 5)
+    assert len(filetree._Reader(str(odd), 64).partitions()) == 1
+    rows = list(filetree._Reader(str(odd), 64)._rows(filetree._Part([str(odd)], True)))
+    assert len(rows) == sum(map(len, walked(odd)))
 
 
 @pytest.mark.parametrize("stop,status", [(KeyboardInterrupt, "interrupted"), (RuntimeError, "failed")])
@@ -308,7 +456,7 @@ def test_snapshots(catalog, tree, tmp_path, monkeypatch):
     assert cat.snapshot_now(catalog, target, stamp="20240101_235959")
     assert cat.snapshot_if_needed(catalog, target, stamp="20240102_000000")
     assert cat.snapshot_now(catalog, target, keep=2)
-    left = sorted(os.listdir(target))
+    left = sorted(f for f in os.listdir(target) if f[0] != "_")
     assert len(left) == 2 and left[0] == "snapshot=20240102_000000"
 
 
@@ -320,4 +468,6 @@ def test_newest_thirty_copies_stay(catalog, tmp_path):
         (folder / "_SUCCESS").touch()
     removed = cat.drop_old_snapshots(catalog, target)
     assert [r[-2:] for r in removed] == ["00", "01", "02", "03", "04"]
-    assert len(os.listdir(target)) == 30
+    assert len(catalog.folders.matching(f"{target}/snapshot=*")) == 30
+    (tmp_path / "copies" / "snapshot=20240102_000000" / "disks").mkdir(parents=True)
+    assert [r[-15:] for r in cat.drop_old_snapshots(catalog, target)] == ["20240102_000000"]
