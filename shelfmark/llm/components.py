@@ -12,13 +12,10 @@ from pyspark.sql import functions as F
 
 from .staging import stage
 
-_SLOTS = 32
-
 
 def _smallest(pairs: DataFrame) -> DataFrame:
-    """(u, m): the smallest of each u and its v, reduced in two stages for hot u."""
-    part = pairs.groupBy("u", F.pmod(F.xxhash64("v"), F.lit(_SLOTS)).alias("slot")).agg(F.min("v").alias("m"))
-    return part.groupBy("u").agg(F.least("u", F.min("m")).alias("m"))
+    """(u, m): the smallest of each u and its v; a hot u is reduced before the shuffle."""
+    return pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
 
 
 def _both(edges: DataFrame) -> DataFrame:

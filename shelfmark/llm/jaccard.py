@@ -16,11 +16,13 @@ How it goes:
    with itself) are walked together, and a pair of nodes is dropped when their
    sizes, or the largest overlap their bitmaps allow, rule out any link.  What is
    left at the leaves is compared exactly.
-4. A neighbourhood too large for one task is cut into chunks: first each chunk is
-   joined with itself, then leaders of the components so found are joined, and
-   last those pairs of chunks in which different components remain.  Pairs that
-   are connected already need no comparison, so a huge group of near copies costs
-   no all-pairs work, yet no link between different components is lost.
+4. A neighbourhood too large for one task is cut into bands of size, such that
+   linked sets are in one band or in neighbouring ones, and a band too large into
+   chunks.  First each chunk is joined with itself, then leaders of the components
+   so found are joined, and last those pairs of chunks in one or neighbouring bands
+   in which different components remain.  Pairs that are connected already need no
+   comparison, so a huge group of near copies costs no all-pairs work, yet no link
+   between different components is lost.
 
 Defined results: a null or empty text, or one without a word, has an empty set,
 0 shingles, links with nothing and is its own component; a text of fewer words
@@ -40,13 +42,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .staging import stage
-from .words import by_slices, hashes, mixed, windows, words_of
+from .staging import small, stage, unused
+from .words import by_slices, give_back, hashes, mixed, slices, windows, words_of
 
 _PART, _EMPTY = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x2545F4914F6CDD1D)
 #: documents and shingles of one chunk, which one task joins at a time
-CHUNK_DOCS, CHUNK_SHINGLES = 4096, 4_000_000
-_FAN, _MAX_BITS, _PAIRS = 8, 1 << 16, 1 << 14
+CHUNK_DOCS, CHUNK_SHINGLES = 4096, 1_500_000
+_FAN, _MAX_BITS, _PAIRS, _WORDS = 8, 1 << 16, 1 << 14, 1 << 19
 
 
 # -- sets ---------------------------------------------------------------------
@@ -176,8 +178,8 @@ def _neighbourhoods(sets: DataFrame) -> DataFrame:
 
     keys = sets.select("node", F.explode("keys").alias("key"))
     # a key has one row per batch at most, so its rows are few
-    before = F.lag("node").over(Window.partitionBy("key").orderBy("node"))
-    met = keys.select("node", before.alias("other")).where("node != other")
+    first = F.min("node").over(Window.partitionBy("key"))
+    met = keys.select("node", first.alias("other")).where("node != other")
     early = sets.select("node", F.explode("met").alias("other")).where("node != other")
     return components(met.unionByName(early), "node", "other")
 
@@ -260,18 +262,23 @@ def tree_join(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = N
 
     def possible(level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         maps, low, high, hidden = tree.levels[level]
-        overlap = np.bitwise_count(maps[a] & maps[b]).sum(1).astype(np.int64) + np.minimum(hidden[a], hidden[b])
-        # an overlap o of sizes x, y links when 100 o >= p (x + y - o)
-        need = percent * (low[a] + low[b])
-        sized = (high[a] * 100 >= low[b] * percent) & (high[b] * 100 >= low[a] * percent)
-        return sized & ((100 + percent) * overlap >= need)
+        ok = (high[a] * 100 >= low[b] * percent) & (high[b] * 100 >= low[a] * percent)
+        sized = np.flatnonzero(ok)
+        # wide bitmaps are taken a few at a time
+        step = max(1, _WORDS // maps.shape[1])
+        for start in range(0, len(sized), step):
+            some = sized[start : start + step]
+            x, y = a[some], b[some]
+            overlap = np.bitwise_count(maps[x] & maps[y]).sum(1).astype(np.int64) + np.minimum(hidden[x], hidden[y])
+            # an overlap o of sizes x, y links when 100 o >= p (x + y - o)
+            ok[some] = (100 + percent) * overlap >= percent * (low[x] + low[y])
+        return ok
 
     def compare(a: np.ndarray, b: np.ndarray) -> None:
-        live = a != b
+        roots = tree.roots()
+        live = roots[a] != roots[b]
         if side is not None:
             live &= side[a] != side[b]
-        roots = tree.roots()
-        live &= roots[a] != roots[b]
         a, b = a[live], b[live]
         ok = possible(0, a, b)
         for i, j in zip(a[ok].tolist(), b[ok].tolist()):
@@ -338,9 +345,10 @@ def _join_groups(rows: DataFrame, size: int, percent: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each():
             for batch in batches:
-                sets = shingle_sets(batch.column("text"), size)
-                names = ["hood", "part", "other", "side", "doc_id", "label"]
-                yield from zip(*(batch.column(c).to_pylist() for c in names), sets)
+                for some in slices(batch):
+                    sets = shingle_sets(some.column("text"), size)
+                    names = ["hood", "part", "other", "side", "doc_id", "label"]
+                    yield from zip(*(some.column(c).to_pylist() for c in names), sets)
 
         for _, group in groupby(each(), key=lambda r: r[:3]):
             group = list(group)
@@ -351,15 +359,31 @@ def _join_groups(rows: DataFrame, size: int, percent: int) -> DataFrame:
             least = np.full(len(group), np.iinfo(np.int64).max)
             np.minimum.at(least, found, labels)
             yield pa.record_batch([pa.array([r[4] for r in group], pa.int64()), pa.array(labels), pa.array(least[found])], ["doc_id", "label", "found"])
+        give_back()
 
     return spread.mapInArrow(work, "doc_id long, label long, found long")
 
 
-def _chunked(members: DataFrame, docs_most: int, shingles_most: int) -> DataFrame:
-    """Adds ``part``, the chunk of a member's neighbourhood, and ``parts``, their number."""
-    share = F.greatest(F.count("*") / docs_most, F.sum("n_shingles") / shingles_most)
-    parts = members.groupBy("hood").agg(F.ceil(share).cast("long").alias("parts"))
-    return members.join(parts, "hood").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+def _chunked(members: DataFrame, percent: int, docs_most: int, shingles_most: int) -> DataFrame:
+    """Adds ``large`` (is the neighbourhood more than a chunk?), ``band``, ``parts``
+    (the chunks of the band), and ``part``, the member's chunk."""
+
+    def share(*by: str) -> DataFrame:
+        need = F.greatest(F.count("*") / docs_most, F.sum("n_shingles") / shingles_most)
+        return members.groupBy(*by).agg(F.ceil(need).cast("long").alias("parts"))
+
+    whole = share("hood").select("hood", (F.col("parts") > 1).alias("large"))
+    members = members.join(whole, "hood")
+    # a little wider than the sizes of linked sets can be apart
+    width = float(np.log(100 / percent) * 1.0001)
+    band = F.when(F.col("large"), F.floor(F.log(F.col("n_shingles").cast("double")) / width)).otherwise(F.lit(0))
+    members = members.withColumn("band", band.cast("long"))
+    members = members.join(share("hood", "band"), ["hood", "band"])
+    return members.withColumn("part", _chunk(F.col("band"), F.pmod(F.xxhash64("doc_id"), F.col("parts"))))
+
+
+def _chunk(band, number):
+    return F.shiftleft(band, 40) + number
 
 
 def similar(
@@ -369,7 +393,8 @@ def similar(
     chunk_docs: int = CHUNK_DOCS,
     chunk_shingles: int = CHUNK_SHINGLES,
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document of ``docs`` (doc_id, text)."""
+    """(doc_id, n_shingles, component_id, rows) of every document of ``docs`` (doc_id,
+    text); ``rows`` counts the rows of the id."""
     texts = docs.select("doc_id", "text")
     sets = stage(_sets(texts, shingle, percent), "sets")
     named = sets.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
@@ -378,12 +403,12 @@ def similar(
     )
     hoods = _neighbourhoods(sets).select("node", F.col("component").alias("hood"))
     members = classes.join(hoods, "node").select("hood", F.col("rep").alias("doc_id"), "n_shingles")
-    members = stage(_chunked(members, chunk_docs, chunk_shingles), "members")
+    members = stage(_chunked(members, percent, chunk_docs, chunk_shingles), "members")
 
     def with_text(rows: DataFrame) -> DataFrame:
         # repeated rows of an id would bring several sets under one name
         one = texts.where(F.col("doc_id").isNotNull())
-        return rows.join(one, "doc_id")
+        return one.join(small(rows), "doc_id")
 
     def join(rows: DataFrame) -> DataFrame:
         return _join_groups(with_text(rows), shingle, percent)
@@ -391,40 +416,64 @@ def similar(
     # each chunk with itself
     chunks = members.select("hood", "part", F.col("part").alias("other"), F.lit(0).alias("side"), "doc_id", F.col("doc_id").alias("label"))
     found = stage(join(chunks), "joined")
-    large = members.where("parts > 1")
+    large = members.where("large")
     if large.limit(1).count():
-        found = _across(members, found, join, chunk_docs, chunk_shingles)
-    links = found.where("doc_id != found").select(F.col("doc_id").alias("u"), F.col("found").alias("v"))
-    # every document of a class is linked with its first
-    copies = named.join(classes.select("digest", "rep"), "digest").where("doc_id != rep")
-    links = links.unionByName(copies.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
-    whole = components(links.distinct())
-    joined = sets.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
+        found = _across(large, found, join, percent, chunk_docs, chunk_shingles)
+    joined = sets.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.count("*").alias("rows"))
+    whole = _whole(named, classes, found, bool(large.limit(1).count()) or _repeated(named))
     joined = joined.join(whole, F.col("doc_id") == F.col("node"), "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "rows")
+
+
+def _repeated(named: DataFrame) -> bool:
+    """Does an id have several sets?"""
+    return bool(named.groupBy("doc_id").agg((F.min("digest") != F.max("digest")).alias("many")).where("many").limit(1).count())
+
+
+def _whole(named: DataFrame, classes: DataFrame, found: DataFrame, chained: bool) -> DataFrame:
+    """(node, component) of all documents with a set.
+
+    A class takes the component of its first document, the smallest of them.  Only
+    where joins of several chunks, or several sets of one id, must be put together
+    are their links chained.
+    """
+    copies = named.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest")
+    if chained:
+        links = found.where("doc_id != found").select(F.col("doc_id").alias("u"), F.col("found").alias("v"))
+        links = links.unionByName(copies.where("doc_id != rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
+        return components(links)
+    firsts = found.select(F.col("doc_id").alias("rep"), "found")
+    return copies.join(firsts, "rep", "left").select(F.col("doc_id").alias("node"), F.coalesce("found", "rep").alias("component")).distinct()
 
 
-def _across(members: DataFrame, found: DataFrame, join, chunk_docs: int, chunk_shingles: int) -> DataFrame:
+def _across(large: DataFrame, found: DataFrame, join, percent: int, chunk_docs: int, chunk_shingles: int) -> DataFrame:
     """Links between the chunks of large neighbourhoods, added to ``found``."""
-    large = members.where("parts > 1").select("hood", "part", "parts", "doc_id", "n_shingles")
-    labels = _labels(large, found)
-    # leaders of components, joined among themselves as long as that needs few chunks
-    leaders = stage(labels.where("doc_id = label").select("hood", "doc_id", "n_shingles"), "leaders")
-    while True:
-        some = stage(_chunked(leaders, chunk_docs, chunk_shingles), "leaders")
+    large = large.select("hood", "band", "part", "parts", "doc_id", "n_shingles")
+    # leaders of components in bands of several chunks, joined among themselves as
+    # long as that leaves fewer of them
+    leaders = large.where("parts > 1").join(found.where("doc_id = found").select("doc_id"), "doc_id", "left_semi")
+    leaders = stage(leaders.select("hood", "doc_id", "n_shingles"), "leaders")
+    before = leaders.count()
+    while before:
+        some = stage(_chunked(leaders, percent, chunk_docs, chunk_shingles), "leaders")
         rows = some.select("hood", "part", F.col("part").alias("other"), F.lit(0).alias("side"), "doc_id", F.col("doc_id").alias("label"))
         more = stage(join(rows), "joined")
         found = stage(found.unionByName(more), "joined")
-        before = leaders.count()
-        leaders = stage(some.join(more.where("doc_id = found").select("doc_id"), "doc_id", "left_semi").select("hood", "doc_id", "n_shingles"), "leaders")
-        if leaders.count() > before * 3 // 4 or not some.where("parts > 1").limit(1).count():
+        left = some.join(more.where("doc_id = found").select("doc_id"), "doc_id", "left_semi")
+        leaders = stage(left.select("hood", "doc_id", "n_shingles"), "leaders")
+        after = leaders.count()
+        if after > before * 3 // 4 or not some.where("parts > 1").limit(1).count():
             break
-    # pairs of chunks that still hold two components
+        before = after
+    # pairs of chunks whose neighbourhood still holds two components
     labels = stage(_labels(large, found), "labels")
-    mixed_ = labels.groupBy("hood").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("hood")
-    rest = labels.join(mixed_, "hood", "left_semi")
-    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("mate")
-    pairs = rest.select("*", others).where("mate != part").select(
+    several = labels.groupBy("hood").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("hood")
+    rest = labels.join(several, "hood", "left_semi")
+    bands = large.select("hood", F.col("band").alias("mate_band"), F.col("parts").alias("mates")).distinct()
+    near = rest.withColumn("mate_band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    number = F.explode(F.sequence(F.lit(0).cast("long"), F.col("mates") - 1)).alias("number")
+    mates = near.join(bands, ["hood", "mate_band"]).select("*", number).withColumn("mate", _chunk(F.col("mate_band"), F.col("number")))
+    pairs = mates.where("mate != part").select(
         "hood",
         F.least("part", "mate").alias("part"),
         F.greatest("part", "mate").alias("other"),
@@ -448,14 +497,16 @@ def _labels(large: DataFrame, found: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without all but the first document of each component.
 
-    Of repeated rows of an id one stays; rows with a null id, which link with
-    nothing, all stay.
+    Of repeated rows of an id the one with the smallest hash of its text stays;
+    rows with a null id, which link with nothing, all stay.
     """
     found = similar(docs, shingle, percent)
-    first = found.where("doc_id = component_id").select("doc_id")
-    named = docs.where(F.col("doc_id").isNotNull())
-    one = named.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    first = stage(found.where("doc_id = component_id").select("doc_id", "rows"), "first")
+    once = docs.join(small(first.where("rows = 1").select("doc_id")), "doc_id", "left_semi").select(*docs.columns)
+    several = docs.join(small(first.where("rows > 1").select("doc_id")), "doc_id", "left_semi").select(*docs.columns)
+    name = unused(docs, "_row")
+    one = several.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias(name)).select(f"{name}.*")
+    return once.unionByName(one).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
