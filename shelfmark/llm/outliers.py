@@ -42,9 +42,9 @@ _GRID = 2000
 class Settings:
     share: float = 0.75  # of a group's rows, in the concentration steps
     steps: int = 4
-    cutoff: float = 1e-9  # share of a normal cloud that may lie beyond the limit
+    cutoff: float = 1e-7  # share of a normal cloud that may lie beyond the limit
     least: int = 300
-    floor: float = 0.02  # least standard deviation of a transformed statistic
+    floor: float = 0.08  # least standard deviation of a transformed statistic
     min_words: int = 50
     max_repeat_percent: int = 50
 
@@ -58,9 +58,13 @@ def chi2_quantile(p: float, d: int) -> float:
 
 
 def transformed(values: dict[str, np.ndarray]) -> np.ndarray:
-    """Statistics as rows of a matrix: logs of lengths, square roots of shares."""
+    """Statistics as rows of a matrix: logs of lengths, square roots of shares.
+
+    Repeats count half: good texts carry repeated lines too, and the fixed limits
+    see to those that hold little else."""
     columns = [np.log(np.maximum(values["word_length"], 0.1))]
-    columns += [np.sqrt(np.maximum(values[name], 0)) for name in VECTOR[1:]]
+    half = {"dup_lines": 0.5, "repeats": 0.5}
+    columns += [half.get(name, 1.0) * np.sqrt(np.maximum(values[name], 0)) for name in VECTOR[1:]]
     return np.stack(columns, axis=1)
 
 

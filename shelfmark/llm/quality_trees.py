@@ -128,10 +128,11 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings
 
 def score(docs: DataFrame, forest: Forest) -> DataFrame:
     """(doc_id, score) of every row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(forest)  # a few thousand numbers
+    # a few thousand numbers; as a plain tuple, which a worker needs no module for
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(forest))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([batch.column("doc_id"), pa.array(walk(shared.value, features(batch.column("text"))))], ["doc_id", "score"])
+        return pa.record_batch([batch.column("doc_id"), pa.array(walk(Forest(*shared.value), features(batch.column("text"))))], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(by_slices(work), "doc_id long, score double")
 

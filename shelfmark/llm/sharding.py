@@ -95,10 +95,14 @@ def _cut_of_digit(rows: DataFrame, digit: str, last: bool) -> DataFrame:
 
 
 def kd_shards(rows: DataFrame, shards: int) -> DataFrame:
-    """``rows``, as ``measured`` gives them, with their ``shard`` from 0 on."""
+    """``rows``, as ``measured`` gives them, with their ``shard`` from 0 on.
+
+    They are written with their first box: a constant would turn the joins on it
+    into joins without a key.
+    """
+    rows = stage(rows.withColumns({"box": F.lit(0), "shards": F.lit(shards)}), "boxes")
     first = rows.agg(*[F.max(F.get("at", F.lit(d))) - F.min(F.get("at", F.lit(d))) for d in range(3)]).first()
     ranges = [int(r or 0) for r in first]
-    rows = rows.withColumns({"box": F.lit(0), "shards": F.lit(shards)})
     boxes = {shards}
     while max(boxes) > 1:
         open_ = rows.where("shards > 1")
@@ -150,8 +154,7 @@ def shards_for(docs: DataFrame, target_bytes: int) -> int:
 
 def shard(docs: DataFrame, shards: int) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row."""
-    rows = stage(measured(docs), "measured")
-    placed = with_slots(kd_shards(rows, shards), shards)
+    placed = with_slots(kd_shards(measured(docs), shards), shards)
     return placed.select(
         "doc_id",
         "size",
