@@ -44,7 +44,11 @@ class Lock:
 
     def held(self) -> bool:
         """Is it still ours?  Not if we were taken for dead."""
-        return self._read(self._path) == self._owner
+        for _ in range(5):
+            if self._read(self._path) == self._owner:
+                return True
+            time.sleep(0.1)  # it may just be being renewed
+        return False
 
     def _take(self) -> bool:
         self._files.mkdirs(self._path.getParent())
@@ -84,7 +88,10 @@ class Lock:
         while not self._ended.wait(self.every):
             if not self.held():
                 return
-            self._write()
+            try:
+                self._files.setTimes(self._path, self._jvm.System.currentTimeMillis(), -1)
+            except Py4JJavaError:  # a store whose files have no times to set
+                self._write()
 
     def _write(self) -> None:
         out = self._files.create(self._path, True)
