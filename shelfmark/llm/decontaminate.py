@@ -3,9 +3,15 @@
 A mask says which words of a window count ("1") and which may differ ("0").
 Every window of every benchmark item is hashed under each mask, and so is every
 window of every document; equal hashes are hits.  Around a hit item and document
-are laid side by side, and words that agree at the same place are counted over
-the whole item.  An item counts as contained when at least ``percent`` of its
-words agree, so single words may be replaced.
+are laid side by side.  An item counts as contained when some stretch of it has
+``RUN`` words that agree, ``percent`` of its words or more; so single words may be
+replaced, and the rule does not depend on how long the rest of the item is.  Of an
+item too short for such a stretch ``percent`` of all words must agree.
+
+The masks lose nothing: every stretch that counts has a window that agrees under
+one of ``MASKS`` (at 80 percent or more; below, a mask of so many words in a row as
+must agree somewhere is added), and items of less than ``SHORT`` words get every mask
+that leaves out as many words as may differ.
 
 Words are longest runs of letters and digits, lower-cased.  Built-in expressions
 only: windows are taken from the array of word hashes by position, and hits are
@@ -15,22 +21,25 @@ Seeds and items are broadcast in blocks of bounded size; a larger benchmark make
 more blocks, not larger ones.
 
 Defined results: null and empty texts contain nothing and are contained in
-nothing; an item of fewer words than the shortest mask says too little and is not
-searched for; an item longer than ``PIECE`` words is searched for in equal pieces
-and counts as contained if one piece is; repeated rows of an id or an item count
-as one with the best match; rows with a null id are treated as one document.
+nothing; an item longer than ``PIECE`` words is searched for in pieces, which
+overlap so that a stretch that counts lies in one of them, and counts as contained
+if one piece is; repeated rows of an id or an item count as one with the best match;
+rows with a null id are treated as one document.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .staging import small, stage, unused
 
-MASKS = ("11101011", "1101100111")
+#: complete for ``RUN`` at 80 percent, and for whole items of ``SHORT`` words and more
+MASKS = ("11111", "111011", "11001011")
+RUN, SHORT = 13, 8
 PIECE = 256
 #: words of benchmark text whose seeds and items are broadcast at once
 BLOCK_WORDS = 250_000
@@ -42,59 +51,100 @@ def word_hashes(text: str = "text") -> Column:
     return F.transform(F.array_remove(words, ""), lambda w: F.xxhash64(w))
 
 
-def _seeds(words: str, at: str) -> Column:
-    """Hash under each mask of the window that begins at position ``at``."""
-    return F.array(
-        *[
-            F.xxhash64(F.lit(n), *[F.get(F.col(words), F.col(at) + k) for k, bit in enumerate(mask) if bit == "1"])
-            for n, mask in enumerate(MASKS)
-        ]
-    )
+def least_agreeing(length: int, percent: int) -> int:
+    """Words that must agree of an item of ``length`` words."""
+    return min(RUN, -(-percent * length // 100))
+
+
+def masks_of(length: int, percent: int) -> tuple[str, ...]:
+    """Masks one of which fits any stretch that counts of an item of ``length`` words."""
+    need = least_agreeing(length, percent)
+    if length < SHORT:
+        picked = combinations(range(length), need)
+        return tuple(sorted({"".join("1" if k in some else "0" for k in range(length)).strip("0") for some in picked}))
+    if percent >= 80:
+        return MASKS
+    # n agreeing words with m others between them: so many of them in a row at least
+    most = lambda n: min(length, n * 100 // percent)
+    return (*MASKS, "1" * min(-(-n // (most(n) - n + 1)) for n in range(need, min(2 * need - 1, length) + 1)))
+
+
+def _masks(lengths: list[int], percent: int) -> dict[str, Column]:
+    """Each mask in use and the test of ``length`` for the items it serves."""
+    use: dict[str, list[int]] = {}
+    for length in sorted({min(n, 2 * RUN * 100 // percent) for n in lengths}):
+        for mask in masks_of(length, percent):
+            use.setdefault(mask, []).append(length)
+    top = 2 * RUN * 100 // percent
+    return {mask: F.least(F.col("length"), F.lit(top)).isin(served) for mask, served in use.items()}
 
 
-def _windows(rows: DataFrame, words: str) -> DataFrame:
-    """A row per window and mask: ``at`` (from 0) and ``seed``."""
-    shortest = min(map(len, MASKS))
+def _seed(words: str, mask: str) -> Column:
+    """Hash under a mask of the window that begins at ``at``; null if it does not fit in."""
+    counted = [F.get(F.col(words), F.col("at") + k) for k, bit in enumerate(mask) if bit == "1"]
+    return F.when(F.col("at") + len(mask) <= F.size(words), F.xxhash64(F.lit(mask), *counted))
+
+
+def _windows(rows: DataFrame, words: str, seeds: list[Column], shortest: int) -> DataFrame:
+    """A row per window and mask: ``at`` (from 0) and ``seed`` (null: none)."""
     long_enough = rows.where(F.size(words) >= shortest)
     placed = long_enough.withColumn("at", F.explode(F.sequence(F.lit(0), F.size(words) - shortest)))
-    return placed.withColumn("seed", F.explode(_seeds(words, "at")))
-
-
-def _pieces(benchmark: DataFrame) -> DataFrame:
-    """(item_id, item_words, piece): items cut into equal pieces of at most ``PIECE`` words."""
-    items = benchmark.select("item_id", word_hashes().alias("whole"))
-    count = F.ceil(F.size("whole") / PIECE).cast("int")
-    number = F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("number")
-    cut = items.withColumn("count", count).where("count > 0").select("*", number)
-    begin = F.floor(F.col("number") * F.size("whole") / F.col("count")).cast("int")
-    end = F.floor((F.col("number") + 1) * F.size("whole") / F.col("count")).cast("int")
-    pieces = cut.select("item_id", F.slice("whole", begin + 1, end - begin).alias("item_words")).distinct()
+    return placed.withColumn("seed", F.explode(F.array(*seeds)))
+
+
+def _pieces(benchmark: DataFrame, percent: int) -> DataFrame:
+    """(item_id, item_words, piece): items cut into pieces of at most ``PIECE`` words
+    that overlap by the longest stretch that has none shorter in it."""
+    items = benchmark.select("item_id", word_hashes().alias("whole")).where(F.size("whole") > 0)
+    overlap = (2 * RUN - 1) * 100 // percent
+    most = max(PIECE, 2 * overlap)
+    later = F.greatest(F.ceil((F.size("whole") - most) / (most - overlap)), F.lit(0)).cast("int")
+    cut = items.withColumn("begin", F.explode(F.transform(F.sequence(F.lit(0), later), lambda n: n * (most - overlap))))
+    pieces = cut.select("item_id", F.slice("whole", F.col("begin") + 1, F.lit(most)).alias("item_words")).distinct()
     return pieces.withColumn("piece", F.xxhash64("item_id", "item_words"))
 
 
+def _counts(agreeing: Column, percent: int) -> Column:
+    """Is there a stretch that counts?  ``agreeing``: places of agreeing words, in order.
+
+    Each such stretch holds one of at most 2 * need - 1 agreeing words."""
+    need = F.least(F.lit(RUN), F.ceil(F.col("length") * percent / 100)).cast("int")
+    place = lambda k: F.get(agreeing, k)
+    dense = lambda i, n: (place(i + n - 1) - place(i) + 1) * percent <= n * 100
+    some = lambda i: F.exists(F.sequence(need, 2 * need - 1), lambda n: F.coalesce(dense(i, n), F.lit(False)))
+    return (F.size(agreeing) >= need) & F.exists(F.sequence(F.lit(0), F.greatest(F.size(agreeing) - need, F.lit(0))), some)
+
+
 def contained(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, item_id, item_words, matched) of items contained in documents; the
     last two count words of the item (of its piece) and those that agree."""
-    pieces = stage(_pieces(benchmark), "items")
+    pieces = stage(_pieces(benchmark, percent), "items")
     total = pieces.agg(F.sum(F.size("item_words"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_WORDS))
+    # of at most PIECE different lengths
+    lengths = [r[0] for r in pieces.select(F.size("item_words")).distinct().collect()]
+    masks = _masks(lengths or [SHORT], percent)
+    shortest = min(map(len, masks))
     texts = docs.select("doc_id", word_hashes().alias("words"))
     found = []
     for block in range(blocks):
         some = pieces.where(F.pmod("piece", F.lit(blocks)) == block)
-        seeds = _windows(some, "item_words").select("seed", F.col("at").alias("item_at"), "piece")
+        sized = some.withColumn("length", F.size("item_words"))
+        served = [F.when(serves, _seed("item_words", mask)) for mask, serves in masks.items()]
+        seeds = _windows(sized, "item_words", served, shortest).select("seed", F.col("at").alias("item_at"), "piece")
         # at most BLOCK_WORDS windows under each mask, and as many words of items
-        hits = _windows(texts, "words").join(F.broadcast(seeds), "seed").join(F.broadcast(some), "piece")
+        windows = _windows(texts, "words", [_seed("words", mask) for mask in masks], shortest)
+        hits = windows.join(F.broadcast(seeds.where("seed is not null")), "seed").join(F.broadcast(sized), "piece")
         start = F.col("at") - F.col("item_at")
         # get() gives null before the first word and after the last
-        same = F.size(
-            F.filter(
-                F.sequence(F.lit(0), F.size("item_words") - 1),
-                lambda k: F.coalesce(F.get("words", start + k) == F.get("item_words", k), F.lit(False)),
-            )
+        agreeing = F.filter(
+            F.sequence(F.lit(0), F.col("length") - 1),
+            lambda k: F.coalesce(F.get("words", start + k) == F.get("item_words", k), F.lit(False)),
         )
-        checked = hits.withColumn("matched", same).select("doc_id", "item_id", F.size("item_words").alias("length"), "matched")
-        found.append(checked.where(F.col("matched") * 100 >= F.col("length") * percent))
+        # as a row of its own, so that the places are found once and not at each use
+        counted = F.explode(F.filter(F.array(agreeing), lambda a: _counts(a, percent))).alias("agreeing")
+        checked = hits.select("doc_id", "item_id", "length", counted)
+        found.append(checked.select("doc_id", "item_id", "length", F.size("agreeing").alias("matched")))
     best = F.max(F.struct(F.col("matched") / F.col("length"), "matched", "length")).alias("best")
     rows = reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(best)
     return rows.select("doc_id", "item_id", F.col("best.length").alias("item_words"), F.col("best.matched").alias("matched"))
