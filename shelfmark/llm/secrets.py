@@ -9,8 +9,9 @@ DataFrame operations and Spark's own forest only.
 Findings are given by place and digest, not in clear.
 
 Defined results: a null or empty text has no candidates; a candidate found several
-times in a text is one finding, at its first place; repeated rows are searched
-each; a null path gives no hints; without labelled findings of both kinds every
+times in a text is a finding at each place, judged by what is beside it there; an
+equals sign within a run assigns, so what follows it is a candidate of its own (one
+or two at the end are padding and belong to it); repeated rows are searched each; a null path gives no hints; without labelled findings of both kinds every
 score is the share of secrets among the labels, or 0.5 without any.
 """
 
@@ -40,21 +41,30 @@ class Settings:
 
 #: runs this long are candidates: any, or those with a digit
 LONG, LONG_WITH_DIGIT = 20, 12
-_RUN = rf"[A-Za-z0-9+/=_\-]{{{LONG_WITH_DIGIT},}}+"
+_KEY, _PAD = r"[A-Za-z0-9+/_\-]", r"(?![A-Za-z0-9+/=_\-])"
+#: looked for only where a run begins
+_RUN = (
+    rf"(?<!{_KEY})(?:{_KEY}{{{LONG_WITH_DIGIT},}}+(?:={{1,2}}{_PAD})?"
+    rf"|{_KEY}{{{LONG_WITH_DIGIT - 1}}}={{1,2}}{_PAD}|{_KEY}{{{LONG_WITH_DIGIT - 2}}}=={_PAD})"
+)
 _NAMED = r"(?i)(?:token|secret|passw|pwd|api|auth|key|credential)"
 _SAMPLE = r"(?i)(?:example|sample|dummy|test|placeholder|xxxx|fake)"
 _BEFORE, _AFTER = 48, 24
 
 
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
-    """(doc_id, path, candidate, start, before, after): one row per text and candidate."""
-    runs = F.array_distinct(F.regexp_extract_all("text", F.lit(_RUN), F.lit(0)))
-    # equals signs before a value belong to what assigns it
-    runs = F.transform(runs, lambda r: F.regexp_replace(r, "^=+", ""))
-    long_ = lambda r: (F.length(r) >= LONG) | ((F.length(r) >= LONG_WITH_DIGIT) & r.rlike("[0-9]"))
-    found = docs.select("doc_id", F.col(path).cast("string").alias("path"), "text", F.filter(runs, long_).alias("runs"))
-    each = found.where(F.size("runs") > 0).select("doc_id", "path", "text", F.explode("runs").alias("candidate"))
-    each = each.withColumn("start", F.instr("text", F.col("candidate")) - 1)
+    """(doc_id, path, candidate, start, before, after): one row per place of a candidate."""
+    some = docs.select("doc_id", F.col(path).cast("string").alias("path"), "text").where(F.col("text").rlike(_RUN))
+    # one more piece between the runs than there are runs
+    runs, between = F.regexp_extract_all("text", F.lit(_RUN), F.lit(0)), F.split("text", _RUN)
+    cut = some.select("*", runs.alias("runs"), between.alias("between"))
+    steps = F.zip_with("between", "runs", lambda p, r: F.length(p) + F.coalesce(F.length(r), F.lit(0)))
+    ends = F.aggregate(steps, F.array(F.lit(0)), lambda found, n: F.concat(found, F.array(F.element_at(found, -1) + n)))
+    placed = cut.select("doc_id", "path", "text", "runs", ends.alias("ends"))
+    each = placed.select("doc_id", "path", "text", "ends", F.posexplode("runs").alias("number", "candidate"))
+    each = each.withColumn("start", F.get("ends", F.col("number") + 1) - F.length("candidate"))
+    n = F.length("candidate")
+    each = each.where((n >= LONG) | ((n >= LONG_WITH_DIGIT) & F.col("candidate").rlike("[0-9]")))
     begin = F.greatest(F.col("start") - _BEFORE, F.lit(0))
     return each.select(
         "doc_id",
@@ -91,13 +101,14 @@ def described(found: DataFrame, dictionary: DataFrame) -> DataFrame:
         "f_quoted": flag(F.col("after").rlike("^[\"']")),
         "f_sample_near": flag(F.concat("before", "after").rlike(_SAMPLE)),
     }
-    rows = found.withColumns(features).withColumn("word", F.explode_outer(F.expr("regexp_extract_all(lower(candidate), '[a-z]{4,}', 0)")))
+    # the words of a candidate are looked up once, wherever and however often it is found
+    split = F.explode_outer(F.expr("regexp_extract_all(lower(candidate), '[a-z]{4,}', 0)")).alias("word")
+    inside = found.select("candidate").distinct().select("candidate", split)
     words = dictionary.select(F.lower("word").alias("word")).where(F.length("word") >= 4).distinct().withColumn("known", F.lit(True))
-    joined = rows.join(small(stage(words, "dictionary")), "word", "left")
-    covered = F.sum(F.when(F.col("known"), F.length("word")).otherwise(0)) / F.first("f_length")
-    keys = [c for c in found.columns if c != "before" and c != "after"]
-    kept = [F.first(c).alias(c) for c in ("before", "after", *features)]
-    return joined.groupBy(*keys).agg(*kept, covered.alias("f_dictionary"))
+    joined = inside.join(small(stage(words, "dictionary")), "word", "left")
+    covered = F.sum(F.when(F.col("known"), F.length("word")).otherwise(0)) / F.first(F.length("candidate").cast("double"))
+    shares = stage(joined.groupBy("candidate").agg(covered.alias("f_dictionary")), "covered")
+    return found.withColumns(features).join(small(shares), "candidate").select(*found.columns, *features, "f_dictionary")
 
 
 def features_of(rows: DataFrame) -> list[str]:
@@ -141,7 +152,7 @@ def scored(rows: DataFrame, findings: DataFrame, settings: Settings = Settings()
 
 def scan(docs: DataFrame, dictionary: DataFrame, findings: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """(doc_id, start, length, digest, score, is_secret) of every candidate."""
-    rows = stage(described(candidates(docs), dictionary), "described")
+    rows = stage(described(stage(candidates(docs), "candidates"), dictionary), "described")
     judged = scored(rows, labelled(rows) if findings is None else findings)
     return judged.select(
         "doc_id",
