@@ -4,13 +4,16 @@ Features of a text are the hashes of its words, word pairs, and pairs with one
 word between (skip-grams), each counted once however often it occurs.  Words are
 lower-cased and lose punctuation at both ends.  FTRL-proximal keeps a learning
 rate per coordinate and an L1 term that holds most weights at exactly zero, so
-what is broadcast for scoring is the short list of the others.
+what is broadcast for scoring is the short list of the others.  The bias has no
+L1 term.
 
 Defined results: a null or empty text has the bias as its only feature and so
 gets a score too; labels without a document, with a null id or a null label are
 not learned from; a document labelled more than once is toxic if any label says
 so; repeated rows are scored each; without any label every score is 0.5 and
-``predicted`` is 1 by the contract's threshold unless another is given.
+``predicted`` is 1 by the contract's threshold unless another is given.  The filter
+drops a row only if its own features speak for toxic, so it keeps all rows if
+nothing is learned, and a row without a learned feature whatever the bias is.
 """
 
 from __future__ import annotations
@@ -64,11 +67,14 @@ def fit(rows: list[tuple[np.ndarray, int]], settings: Settings) -> tuple[np.ndar
     """Feature numbers with a weight other than zero, and those weights."""
     z = np.zeros(1 << settings.bits)
     n = np.zeros(1 << settings.bits)
-    weights = lambda z, n: np.where(
-        np.abs(z) <= settings.l1,
-        0.0,
-        -(z - np.sign(z) * settings.l1) / ((settings.beta + np.sqrt(n)) / settings.alpha + settings.l2),
-    )
+
+    def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
+        # the bias comes first in each row, as it does among all
+        held = np.full(len(z), settings.l1)
+        held[0] = 0.0
+        free = -(z - np.sign(z) * held) / ((settings.beta + np.sqrt(n)) / settings.alpha + settings.l2)
+        return np.where(np.abs(z) <= held, 0.0, free)
+
     for _ in range(settings.epochs):
         for numbers, label in rows:
             zi, ni = z[numbers], n[numbers]
@@ -117,10 +123,11 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings
 
 
 def _scorer(model, bits: int):
-    """A function from texts to scores; the model is shared with the executors."""
+    """A function from texts to the sums of their own weights and to scores; the
+    model is shared with the executors."""
     dense: list[np.ndarray] = []
 
-    def scores(texts: pa.Array) -> np.ndarray:
+    def scores(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not dense:
             kept, values = model.value
             dense.append(np.zeros(1 << bits, np.float32))
@@ -134,7 +141,7 @@ def _scorer(model, bits: int):
             weights[(unique & np.uint64((1 << bits) - 1)).astype(np.int64)].astype(np.float64),
             len(texts),
         )
-        return 1 / (1 + np.exp(-np.clip(total + weights[0], -35, 35)))
+        return total, 1 / (1 + np.exp(-np.clip(total + weights[0], -35, 35)))
 
     return scores
 
@@ -145,7 +152,7 @@ def score(docs: DataFrame, model, settings: Settings = Settings()) -> DataFrame:
     scores = _scorer(shared, settings.bits)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([batch.column("doc_id"), pa.array(scores(batch.column("text")))], ["doc_id", "score"])
+        return pa.record_batch([batch.column("doc_id"), pa.array(scores(batch.column("text"))[1])], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(by_slices(work), "doc_id long, score double")
 
@@ -156,7 +163,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, held_out: Column, threshold:
     scores = _scorer(shared, settings.bits)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.filter(pa.array(scores(batch.column("text")) < threshold))
+        own, found = scores(batch.column("text"))
+        return batch.filter(pa.array((found < threshold) | (own <= 0)))
 
     return docs.mapInArrow(by_slices(work), docs.schema)
 
