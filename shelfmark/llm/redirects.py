@@ -75,26 +75,43 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.regexp_replace(F.regexp_replace(value, r"(?is)^[^=]*=\s*", ""), "^[\"']|[\"']$", "")
 
 
+def _without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` taken away."""
+    # those at the end leave a slash
+    parts = F.split(F.regexp_replace(path, r"/(\.\.?)$", "/$1/"), "/")
+    up = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))
+    step = lambda done, p: F.when(p == ".", done).when(p == "..", up(done)).otherwise(F.concat(done, F.array(p)))
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+
+
 def _absolute(target: Column, url: Column) -> Column:
-    """A target as an address: full, without a scheme, from the root, or none."""
+    """A target as an address: full, without a scheme, from the root, or beside the
+    page; none for a place within the page or another scheme without a host."""
     origin = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*", 0)
+    own = F.when(path_of(url) == "", F.lit("/")).otherwise(path_of(url))
+    path, rest = F.regexp_extract(target, r"(?s)^[^?#]*", 0), F.regexp_extract(target, r"(?s)[?#].*$", 0)
+    beside = F.concat(F.regexp_extract(own, r"(?s)^.*/", 0), path)
     return (
-        F.when(target.contains("://"), target)
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), target)
         .when(target.startswith("//"), F.concat(F.lit("https:"), target))
-        .when(target.startswith("/"), F.concat(origin, target))
+        .when(target.startswith("/"), F.concat(origin, _without_dots(path), rest))
+        .when((target == "") | target.startswith("#") | target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), None)
+        .when(target.startswith("?"), F.concat(origin, own, target))
+        .otherwise(F.concat(origin, _without_dots(beside), rest))
     )
 
 
 def link_targets(pages: DataFrame) -> DataFrame:
-    """(url, target) of canonical links and refresh redirects in the pages' heads."""
+    """(url, target) of all canonical links and refresh redirects of the pages."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    canonical = F.regexp_extract(html, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0)
-    refresh = F.regexp_extract(html, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
-    onward = F.regexp_extract(refresh, r"(?is)\burl\s*=\s*[\"']?([^\"'>\s;]+)", 1)
-    # one tag at most of a kind: cheaper than looking through a page again
+    every = lambda pattern: F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
+    canonical = every(r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>")
+    refresh = every(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>")
+    onward = lambda tag: F.regexp_extract(tag, r"(?is)\burl\s*=\s*[\"']?([^\"'>\s;]+)", 1)
     some = pages.where(F.col("url").contains("://"))
-    tags = some.select("url", F.explode(F.array(_absolute(_attribute(canonical, "href"), F.col("url")), _absolute(onward, F.col("url")))).alias("target"))
-    return tags.where("target != ''")
+    found = F.concat(F.transform(canonical, lambda tag: _attribute(tag, "href")), F.transform(refresh, onward))
+    named = some.select("url", F.explode(found).alias("named"))
+    return named.select("url", _absolute(F.trim("named"), F.col("url")).alias("target")).where("target != ''")
 
 
 def classes(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
@@ -121,10 +138,11 @@ def judge(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES) ->
     known = stage(classes(pages, redirects), "classes")
     # decisions of a class, from its pages and from the addresses they lead to
     explicit = rows.where(F.col("own").isNotNull()).select("address", "own").distinct()
+    # the pages vote themselves
+    linked = link_targets(pages).select(F.col("target").alias("url"))
     if redirects is not None:
-        linked = redirects.select(F.col("target").alias("url"))
-    else:
-        linked = link_targets(pages).select(F.col("target").alias("url"))
+        for end in ("source", "target"):
+            linked = linked.unionByName(redirects.select(F.col(end).alias("url")))
     named, decided = rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)
     beyond = linked.select(F.unhex(F.md5(F.col("url").cast("binary"))).alias("address"), decided.alias("own")).where("own is not null")
     voted = explicit.unionByName(beyond).join(known, "address").groupBy("class")
