@@ -178,12 +178,22 @@ def test_repeats_are_those_of_brute_force(spark, length, piece, monkeypatch):
 
 def test_many_shuffled_rows_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(repeats, "_BROADCAST_BYTES", -1)
+    monkeypatch.setattr(repeats, "_BLOCK", 300)
     texts = corpus(5, 50)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: [tuple(s) for s in r.spans] for r in repeats.remove_repeats(docs, 50).collect()}
     assert got == {i: w[1] for i, w in enumerate(brute_repeats(texts, 50))}
 
 
+@pytest.mark.parametrize("bucket", [1, 3])
+def test_large_buckets_are_refined_by_string(spark, monkeypatch, bucket):
+    monkeypatch.setattr(repeats, "BUCKET", bucket)
+    texts = corpus(6, 60)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in repeats.remove_repeats(docs, 60).collect()}
+    assert got == {i: w[1] for i, w in enumerate(brute_repeats(texts, 60))}
+
+
 def test_no_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert repeats.remove_repeats(docs).count() == 0
