@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as C
-from ..operators import changes, disks, duplicates, folders, hashing, ledger, report, search, snapshots, stats
+from ..operators import by_need, changes, disks, duplicates, folders, hashing, intervals, ledger, maintained
+from ..operators import name_index, report, search, snapshots, stats, zones
 from ..operators.filters import SearchFilters
 from ..schemas import FILE_KEY
 from . import tables as t
@@ -374,6 +375,103 @@ def upsert_last_wins(spark, sf):
     return rows.select("disk_id", "path", "size_bytes", "last_seen")
 
 
+# -- kept up to date ----------------------------------------------------------
+
+
+def _matched(spark, sf):
+    return changes.match_listing(t.rescanned_files(spark, sf), t.prior_files(spark, sf))
+
+
+@query
+def rollup_maintained(spark, sf):
+    """The folder totals after a rescan, from those before it and what changed."""
+    stored = folders.folder_rollup(t.prior_files(spark, sf))
+    more = maintained.rollup_changes(maintained.signed_changes(_matched(spark, sf)))
+    return maintained.add_up_rollup(stored.unionByName(more))
+
+
+@query
+def rollup_after_moves(spark, sf):
+    """The same where files that are gone leave the catalog."""
+    stored = folders.folder_rollup(t.prior_files(spark, sf))
+    more = maintained.rollup_changes(maintained.signed_changes(_matched(spark, sf), drop_unseen=True))
+    return maintained.add_up_rollup(stored.unionByName(more))
+
+
+def _hash_state(spark, sf):
+    return maintained.hash_changes(maintained.signed(t.prior_files(spark, sf), 1))
+
+
+@query
+def duplicates_maintained(spark, sf):
+    more = maintained.hash_changes(maintained.signed_changes(_matched(spark, sf), drop_unseen=True))
+    return maintained.add_up_hashes(_hash_state(spark, sf).unionByName(more)).where("copies > 1")
+
+
+@query
+def duplicate_group_changes(spark, sf):
+    more = maintained.hash_changes(maintained.signed_changes(_matched(spark, sf), drop_unseen=True))
+    return maintained.group_changes(_hash_state(spark, sf), more)
+
+
+@query
+def folder_intervals(spark, sf):
+    return intervals.folder_intervals(t.files_orders(spark, sf))
+
+
+@query
+def below_by_interval(spark, sf):
+    files = t.files_orders(spark, sf)
+    numbers = intervals.folder_intervals(files)
+    found = intervals.below(intervals.numbered_files(files, numbers), numbers, 4, "E:\\Orders\\1996")
+    return found.select("disk_id", "path", "size_bytes", "modified_date")
+
+
+# -- searches that skip -------------------------------------------------------
+
+
+def _months(spark, sf):
+    """The files of orders with the folder they lie in as their zone or block."""
+    return t.files_orders(spark, sf).withColumn("block", F.concat_ws(":", "disk_id", C.parent_folder("path")))
+
+
+@query
+def search_by_name_index(spark, sf):
+    files = _months(spark, sf)
+    found = name_index.search_by_index(files, name_index.postings(files, "block"), "block", "R_123")
+    return found.select("disk_id", "path", "filename")
+
+
+@query
+def search_by_name_index_pieces(spark, sf):
+    files = t.files(spark, sf).withColumn("block", C.parent_folder("path"))
+    found = name_index.search_by_index(files, name_index.postings(files, "block"), "block", "9.TXT")
+    return found.select("disk_id", "path", "filename")
+
+
+@query
+def newest_page(spark, sf):
+    files = _months(spark, sf)
+    page = zones.newest_page(files, zones.zone_bounds(files, "block"), "block", 300)
+    return _placed(page.select("disk_id", "path", "modified_date"))
+
+
+@query
+def newest_page_after(spark, sf):
+    files = _months(spark, sf)
+    bounds = zones.zone_bounds(files, "block")
+    key = (F.lit("1996-07-01").cast("timestamp_ntz"), "E:\\Orders\\1996\\07\\order_2", 2)
+    page = zones.newest_page(files, bounds, "block", 250, key)
+    return _placed(page.select("disk_id", "path", "modified_date"))
+
+
+@query
+def equal_by_need(spark, sf):
+    rows = t.files(spark, sf, content=True).drop("hash", "hash_algo")
+    found = by_need.equal_content(rows, lambda content: F.sha2(content, 256), 16)
+    return found.select("doc_id", "disk_id", "path", "size_bytes", "hash")
+
+
 # -- disks, scans, errors -----------------------------------------------------
 
 

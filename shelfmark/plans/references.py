@@ -51,6 +51,20 @@ CASE lower({ext})
 
 # -- tables -------------------------------------------------------------------
 
+# the files after a rescan, with and without those that are gone: new and changed
+# files have the hash of the listing, the others keep theirs
+_FINAL = """
+, seen AS (
+  SELECT f.disk_id, f.path, f.size_bytes,
+    CASE WHEN p.size_bytes = f.size_bytes AND p.modified_date = f.modified_date THEN p.hash ELSE f.hash END AS hash
+  FROM files f LEFT JOIN prior p ON p.disk_id = f.disk_id AND p.path = f.path),
+final_seen AS (SELECT * FROM seen),
+final AS (
+  SELECT * FROM seen UNION ALL
+  SELECT disk_id, path, size_bytes, hash FROM prior p
+  WHERE NOT EXISTS (SELECT 1 FROM files f WHERE f.disk_id = p.disk_id AND f.path = p.path))
+"""
+
 _FILES = r"""
 named AS (
   SELECT *, 'doc_' || doc_id || CASE doc_id % 14
@@ -467,6 +481,56 @@ def references() -> dict[str, str]:
                  hash_algo, mime_type, last_seen FROM prior p
                WHERE NOT EXISTS (SELECT 1 FROM files f WHERE f.disk_id = p.disk_id AND f.path = p.path)""",
         ),
+        "rollup_maintained": over("prior", f"{_FINAL} {_rollup('final')}"),
+        "rollup_after_moves": over("prior", f"{_FINAL} {_rollup('final_seen')}"),
+        "duplicates_maintained": over(
+            "prior",
+            f"""{_FINAL} SELECT hash, count(*) AS copies, CAST(sum(size_bytes) AS BIGINT) AS total_bytes FROM final_seen
+                WHERE hash IS NOT NULL GROUP BY hash HAVING count(*) > 1""",
+        ),
+        "duplicate_group_changes": over(
+            "prior",
+            f"""{_FINAL}, was AS (SELECT hash, count(*) AS n FROM prior WHERE hash IS NOT NULL GROUP BY hash),
+                 now AS (SELECT hash, count(*) AS n FROM final_seen WHERE hash IS NOT NULL GROUP BY hash),
+                 both_ AS (SELECT hash, coalesce(was.n, 0) AS a, coalesce(now.n, 0) AS b FROM was FULL JOIN now USING (hash))
+                SELECT hash, a AS copies_before, b AS copies,
+                  CASE WHEN a < 2 THEN 'entered' WHEN b < 2 THEN 'left' WHEN b > a THEN 'grew' ELSE 'shrank' END AS change
+                FROM both_ WHERE a <> b AND (a > 1 OR b > 1)""",
+        ),
+        "folder_intervals": over(
+            "ordered",
+            rf""", totals AS ({_rollup('ordered')}),
+                 placed AS (SELECT *, row_number() OVER (ORDER BY disk_id, folder || '\') AS first FROM totals)
+                SELECT p.disk_id, p.folder, p.first, p.first + (SELECT count(*) FROM totals t
+                    WHERE t.disk_id = p.disk_id AND starts_with(t.folder, p.folder || '\')) AS last,
+                  p.file_count, p.total_bytes FROM placed p""",
+        ),
+        "below_by_interval": over(
+            "ordered",
+            r"SELECT disk_id, path, size_bytes, modified_date FROM ordered WHERE disk_id = 4 AND starts_with(path, 'E:\Orders\1996\')",
+        ),
+        "search_by_name_index": over(
+            "ordered", "SELECT disk_id, path, filename FROM ordered WHERE lower(filename) LIKE '%r_123%'"
+        ),
+        "search_by_name_index_pieces": over(
+            "files", "SELECT disk_id, path, filename FROM files WHERE contains(lower(filename), '9.txt')"
+        ),
+        "newest_page": over(
+            "ordered",
+            f"SELECT disk_id, path, modified_date, {_PLACE} FROM ordered {_NEWEST} LIMIT 300",
+        ),
+        "newest_page_after": over(
+            "ordered",
+            rf"""SELECT disk_id, path, modified_date, {_PLACE} FROM ordered
+                WHERE modified_date < TIMESTAMP '1996-07-01' OR (modified_date = TIMESTAMP '1996-07-01'
+                  AND (path > 'E:\Orders\1996\07\order_2' OR (path = 'E:\Orders\1996\07\order_2' AND disk_id > 2)))
+                {_NEWEST} LIMIT 250""",
+        ),
+        "equal_by_need": over(
+            "files",
+            """SELECT doc_id, disk_id, path, size_bytes, sha256(text) AS hash FROM files
+               QUALIFY count(*) OVER (PARTITION BY text) > 1""",
+        ),
         "upsert_batch": r"""
             WITH incoming AS (
               SELECT 1 + l_orderkey % 3 AS disk_id, l_suppkey AS scan_id,

@@ -10,10 +10,12 @@ whatever process.  A scan holds its disk's lock; a second one meanwhile is refus
 
 from __future__ import annotations
 
+import os
 import re
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,10 +24,10 @@ from ..functions import mime_type
 from ..operators import ledger
 from ..operators.changes import CHANGED, NEW, UNCHANGED, UNSEEN, match_listing
 from ..operators.disks import upsert_disks
+from ..operators.maintained import signed
 from ..operators.hashing import HashPolicy, hash_files, spread_by_bytes
 from ..schemas import FILES, SCAN_ERRORS
-from ..sources.catalog import Catalog
-from ..sources.locks import Busy, Lock
+from ..sources.catalog import Catalog, Seen
 from ..sources.filetree import existing_root, list_tree
 
 # bytes to read per hashing task, and per committed portion
@@ -66,25 +68,30 @@ def scan(
     """
     policy = policy or HashPolicy(mode)
     root = existing_root(root)
-    at = F.lit((now or datetime.now(timezone.utc)).isoformat()).cast("timestamp")
+    now = now or datetime.now(timezone.utc)
 
-    disk_id = _known_disk(catalog, volume, at)
-    with catalog.lock(f"disk={disk_id}", wait=0.0) as lock:
-        return _scan(catalog, root, disk_id, policy, portion_bytes, at, lock)
+    disk_id = _known_disk(catalog, volume, _at(now))
+    with catalog.lock(f"disk={disk_id}", wait=0.0):
+        return _scan(catalog, root, disk_id, policy, portion_bytes, now, catalog.take_over(disk_id))
 
 
-def _scan(catalog: Catalog, root: str, disk_id: int, policy: HashPolicy, portion_bytes: int, at: Column, lock: Lock) -> ScanResult:
+def _at(now: datetime) -> Column:
+    return F.lit(now.isoformat()).cast("timestamp")
+
+
+def _scan(catalog: Catalog, root: str, disk_id: int, policy: HashPolicy, portion_bytes: int, now: datetime, fence: int) -> ScanResult:
     # no live scan of the disk is left besides this one
-    stale = [_Run(catalog, scan_id, disk_id, at, lock) for scan_id in _running(catalog, disk_id)]
+    at = _at(now)
+    stale = [_Run(catalog, scan_id, disk_id, now, below, fence) for scan_id, below in _running(catalog, disk_id)]
     for run in stale:
         run.settle()
     scan_id = _opened(catalog, disk_id, root, at)
     for run in stale:
         run.clear()
-    run = _Run(catalog, scan_id, disk_id, at, lock)
+    run = _Run(catalog, scan_id, disk_id, now, root, fence)
     run.clear()  # left by a catalog that was here before, if anything
     try:
-        run.list(root)
+        run.list()
         run.hash(policy, portion_bytes)
         scanned, failed = run.settle()
     except BaseException as exc:
@@ -96,7 +103,7 @@ def _scan(catalog: Catalog, root: str, disk_id: int, policy: HashPolicy, portion
         run.close(*counts, status)
         raise
     run.close(scanned, failed, ledger.COMPLETED)
-    # the version before stays for whoever is still reading it
+    # the base before stays for whoever is still reading it
     catalog.drop_old_versions(keep=2)
     catalog.pack_errors()
     return ScanResult(scan_id, disk_id, scanned, failed)
@@ -123,10 +130,10 @@ def _known_disk(catalog: Catalog, volume: Volume, at) -> int:
     return disks.where(F.col("volume_serial") == volume.serial).first()["disk_id"]
 
 
-def _running(catalog: Catalog, disk_id: int) -> list[int]:
-    """Scans of the disk that never ended: one, unless several ran at once."""
+def _running(catalog: Catalog, disk_id: int) -> list[tuple[int, str]]:
+    """Scans of the disk that never ended, and their roots: one, unless several ran at once."""
     open_ = catalog.scans().where((F.col("disk_id") == disk_id) & (F.col("status") == ledger.RUNNING))
-    return [row["scan_id"] for row in open_.select("scan_id").orderBy("scan_id").collect()]
+    return [tuple(row) for row in open_.select("scan_id", "root_path").orderBy("scan_id").collect()]
 
 
 def _portion(portions: int) -> Column:
@@ -136,14 +143,20 @@ def _portion(portions: int) -> Column:
 class _Run:
     """The staged tables of one scan."""
 
-    def __init__(self, catalog: Catalog, scan_id: int, disk_id: int, at, lock: Lock | None = None) -> None:
-        self.catalog, self.scan_id, self.disk_id, self.at, self.lock = catalog, scan_id, disk_id, at, lock
+    def __init__(self, catalog: Catalog, scan_id: int, disk_id: int, now: datetime | None, root: str = "", fence: int | None = None) -> None:
+        self.catalog, self.scan_id, self.disk_id, self.fence = catalog, scan_id, disk_id, fence
+        self.root, self.now, self.at = root, now, None if now is None else _at(now)
         self.spark = catalog.spark
         self.staging = f"{catalog.root}/_staging/scan_id={scan_id}"
 
-    def list(self, root: str) -> None:
-        """Stages the listing, and beside it the match with the catalog."""
-        found = list_tree(self.spark, root, f"{self.staging}/walk")
+    @property
+    def below(self) -> str:
+        """What the paths of all files under the root begin with."""
+        return self.root.rstrip(os.sep) + os.sep
+
+    def list(self) -> None:
+        """Stages the listing, and beside it the match with that part of the catalog."""
+        found = list_tree(self.spark, self.root, f"{self.staging}/walk")
         found.write.parquet(f"{self.staging}/listing")
         listing = (
             self._staged("listing")
@@ -158,7 +171,8 @@ class _Run:
                 }
             )
         )
-        matched = match_listing(listing, self.catalog.files(self.disk_id))
+        known = self.catalog.stored_files(self.disk_id).where(F.startswith("path", F.lit(self.below)))
+        matched = match_listing(listing, known)
         matched.write.parquet(f"{self.staging}/matched")
 
     def hash(self, policy: HashPolicy, portion_bytes: int) -> None:
@@ -191,8 +205,9 @@ class _Run:
     def settle(self) -> tuple[int, int]:
         """Enters what is staged into the catalog; gives files and errors.
 
-        A file gets its new row if it is unchanged or was hashed.  Otherwise its
-        row in the catalog, if it has one, stays as it is.
+        A file gets a new row if it was hashed, or is unchanged but for what the listing
+        says of it otherwise.  Files that were seen and are as they were get a mark.  Of
+        the others the row in the catalog, if there is one, stays as it is: frozen.
         """
         listing, matched = self._staged("listing"), self._staged("matched")
         hashed, undone = self._hashed()
@@ -209,15 +224,21 @@ class _Run:
         if matched is None:
             return 0, failed
         stored = {c: F.col(f"old.{c}") for c in ("hash", "hash_algo")}
-        fresh.append(matched.where(kind == UNCHANGED).withColumns(stored).select(*names))
+        frozen = F.coalesce("old.frozen", F.lit(False))
+        differs = [~F.col(c).eqNullSafe(F.col(f"old.{c}")) for c in ("filename", "extension", "created_date", "mime_type")]
+        unchanged = matched.where(kind == UNCHANGED)
+        fresh.append(unchanged.where(reduce(or_, differs, frozen)).withColumns(stored).select(*names))
         kept.append(matched.where((kind == UNSEEN) | (kind.isin(NEW, CHANGED) & undone)))
-        rows = [k.where(F.col("old").isNotNull()).select("old.*").select(*names) for k in kept]
-        new = reduce(DataFrame.unionByName, fresh)
-        table = reduce(DataFrame.unionByName, rows, new)
-        if self.lock is not None and not self.lock.held():
-            raise Busy(f"disk {self.disk_id} was taken over by another scan")
-        self.catalog.replace_files(self.disk_id, self.scan_id, table, matched.count())
-        return new.count(), failed
+        rows = [r.withColumn("frozen", F.lit(False)) for r in fresh]
+        rows += [k.where(F.col("old").isNotNull() & ~frozen).select("old.*").select(*names).withColumn("frozen", F.lit(True)) for k in kept]
+        seen = Seen(self.scan_id, self.below, self.now)
+        if hashed is not None:
+            was = matched.where(kind == CHANGED).join(good.select("path"), "path", "left_semi").select("old.*")
+            changes = signed(good, 1).unionByName(signed(was, -1))
+        else:
+            changes = signed(matched.limit(0).select("old.*"), 1)
+        self.catalog.add_changes(self.disk_id, reduce(DataFrame.unionByName, rows), seen, self.fence, changes)
+        return unchanged.count() + (0 if hashed is None else good.count()), failed
 
     def _hashed(self) -> tuple[DataFrame | None, Column]:
         """Rows of finished portions, and a test for rows of the others."""
