@@ -23,8 +23,8 @@ more blocks, not larger ones.
 Defined results: null and empty texts contain nothing and are contained in
 nothing; an item longer than ``PIECE`` words is searched for in pieces, which
 overlap so that a stretch that counts lies in one of them, and counts as contained
-if one piece is; repeated rows of an id or an item count as one with the best match;
-rows with a null id are treated as one document.
+if one piece is; in ``contained`` repeated rows of an id or an item count as one with the
+best match, and rows with a null id as one document; ``decontaminate`` judges each text.
 """
 
 from __future__ import annotations
@@ -115,9 +115,11 @@ def _counts(agreeing: Column, percent: int) -> Column:
     return (F.size(agreeing) >= need) & F.exists(F.sequence(F.lit(0), F.greatest(F.size(agreeing) - need, F.lit(0))), some)
 
 
-def contained(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
+def contained(docs: DataFrame, benchmark: DataFrame, percent: int = 80, key: str = "doc_id") -> DataFrame:
     """(doc_id, item_id, item_words, matched) of items contained in documents; the
-    last two count words of the item (of its piece) and those that agree."""
+    last two count words of the item (of its piece) and those that agree.
+
+    ``key``: another column to name documents by."""
     pieces = stage(_pieces(benchmark, percent), "items")
     total = pieces.agg(F.sum(F.size("item_words"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_WORDS))
@@ -125,7 +127,7 @@ def contained(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataF
     lengths = [r[0] for r in pieces.select(F.size("item_words")).distinct().collect()]
     masks = _masks(lengths or [SHORT], percent)
     shortest = min(map(len, masks))
-    texts = docs.select("doc_id", word_hashes().alias("words"))
+    texts = docs.select(F.col(key).alias("doc_id"), word_hashes().alias("words"))
     found = []
     for block in range(blocks):
         some = pieces.where(F.pmod("piece", F.lit(blocks)) == block)
@@ -151,11 +153,14 @@ def contained(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataF
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents that contain a benchmark item."""
-    bad = stage(contained(docs, benchmark, percent).select("doc_id").distinct(), "contained")
+    """``docs`` without the documents that contain a benchmark item.
+
+    Texts decide, not ids: rows that share an id, or have none, are judged each on its own."""
     name = unused(docs, "_hit")
-    hit = small(bad).select(F.col("doc_id").alias(name))
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
+    # 128 bits: a clean text does not share them with another
+    keyed = docs.withColumn(name, F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    bad = stage(contained(keyed, benchmark, percent, name).select(F.col("doc_id").alias(name)).distinct(), "contained")
+    return keyed.join(small(bad), name, "left_anti").select(*docs.columns)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,12 @@ How it goes:
 1. Equal sets form a class; only one document of a class is compared.
 2. Neighbourhoods.  A set is cut into parts by the hash of its shingles, one more
    part than two linked sets of that size class can differ in.  So two linked sets
-   agree in some part, and meet under that part's hash.  Neighbourhoods are the
-   connected components of these meetings: every link lies inside one.
+   agree in some part, and meet under that part's hash.  A meeting counts only if
+   sizes and token bitmaps (two bits a shingle) allow a link.  First each set is held
+   against the first one it meets under a key; under keys where such a pair fails, a
+   signature tree over the bitmaps of all sets there finds the pairs that may link.
+   Neighbourhoods are the connected components of what is left: every link lies
+   inside one.
 3. In a neighbourhood sets hang in a signature tree.  Each node holds the OR of
    the token bitmaps below it and the range of their sizes.  Two trees (or one
    with itself) are walked together, and a pair of nodes is dropped when their
@@ -33,6 +37,7 @@ and links with nothing.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -42,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .staging import small, stage, unused
+from .staging import scratch, small, stage, unused
 from .words import by_slices, give_back, hashes, mixed, slices, windows, words_of
 
 _PART, _EMPTY = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x2545F4914F6CDD1D)
@@ -72,10 +77,14 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     return sets
 
 
+def digest_of(members: np.ndarray) -> bytes:
+    return hashlib.blake2b(members.astype("<u8").tobytes(), digest_size=16).digest()
+
+
 # -- meetings -----------------------------------------------------------------
 
 
-def size_classes(percent: int) -> list[int]:
+def size_classes() -> list[int]:
     """Lower bounds of the size classes, each half as large again as the last."""
     bounds = [1]
     while bounds[-1] < 1 << 40:
@@ -118,31 +127,74 @@ def part_keys(members: np.ndarray, bounds: list[int], percent: int) -> np.ndarra
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
-_SETS = "doc_id long, n_shingles long, digest binary, node long, keys array<long>, met array<long>"
+# -- bitmaps ------------------------------------------------------------------
+
+_TOKEN = np.uint64(0xA0761D6478BD642F)
+
+
+def bitmap_of(members: np.ndarray) -> bytes:
+    """Bits of a set's members in a bitmap of two bits a member or more, a power of two
+    wide, so that a wide one can be folded onto a narrow one."""
+    width = max(64, 1 << (2 * len(members) - 1).bit_length()) if len(members) else 64
+    bit = (mixed(members ^ _TOKEN) & np.uint64(width - 1)).astype(np.int64)
+    flags = np.zeros(width // 8, np.uint8)
+    np.bitwise_or.at(flags, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
+    return flags.tobytes()
+
+
+def _folded(bitmaps: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (one a row) folded onto ``words`` words."""
+    while bitmaps.shape[1] > words:
+        half = bitmaps.shape[1] // 2
+        bitmaps = bitmaps[:, :half] | bitmaps[:, half:]
+    return bitmaps
+
+
+def may_link(bitmaps: list[bytes], sizes: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Do sizes and bitmaps allow that sets a[i] and b[i] link?"""
+    ok = (sizes[a] * 100 >= sizes[b] * percent) & (sizes[b] * 100 >= sizes[a] * percent)
+    words = np.array([len(m) // 8 for m in bitmaps], np.int64)
+    wide = np.stack([words[a], words[b]], 1)
+    for x, y in np.unique(wide[ok], axis=0).tolist():
+        some = np.flatnonzero(ok & (wide[:, 0] == x) & (wide[:, 1] == y))
+        for start in range(0, len(some), max(1, _WORDS // max(x, y))):
+            at = some[start : start + max(1, _WORDS // max(x, y))]
+            one, two = (np.frombuffer(b"".join(bitmaps[i] for i in side[at].tolist()), np.uint64).reshape(len(at), -1) for side in (a, b))
+            one, two = _folded(one, min(x, y)), _folded(two, min(x, y))
+            common = np.bitwise_count(one & two).sum(1).astype(np.int64)
+            hidden = np.minimum(sizes[a[at]] - np.bitwise_count(one).sum(1), sizes[b[at]] - np.bitwise_count(two).sum(1))
+            # an overlap o of sizes x, y links when 100 o >= p (x + y - o)
+            ok[at] = (100 + percent) * (common + hidden) >= percent * (sizes[a[at]] + sizes[b[at]])
+    return ok
+
+
+_SETS = (
+    "doc_id long, n_shingles long, digest binary, node long, bitmap binary, keys array<long>, later array<long>, met array<long>"
+)
 
 
 def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """A row per document: its set's size and digest, and the keys to meet under.
+    """A row per document: its set's size, digest and bitmap, and the keys to meet under.
 
-    Within a batch equal sets are given once, and a key only with the first set
-    that has it; later ones are linked to that set at once (``met``).  So a hot
-    key or class enters the shuffle once per batch.
+    Within a batch equal sets are given once.  A set that may link with the first set of
+    the batch under a key is joined to that one (``met``), and the key is kept apart
+    (``later``): so a hot key or class enters the shuffle once per batch.
     """
-    bounds = size_classes(percent)
+    bounds = size_classes()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        import hashlib
-
-        n, digests, nodes, seen = [], [], [], set()
+        n, digests, nodes, bitmaps, seen = [], [], [], [], set()
         keys: list[np.ndarray] = []
         owner: list[int] = []
         for i, members in enumerate(shingle_sets(batch.column("text"), size)):
-            digest = hashlib.blake2b(members.astype("<u8").tobytes(), digest_size=16).digest()
+            digest = digest_of(members)
             n.append(len(members))
             digests.append(digest)
             nodes.append(int.from_bytes(digest[:8], "little", signed=True))
+            bitmaps.append(None)
             if digest not in seen:
                 seen.add(digest)
+                bitmaps[i] = bitmap_of(members)
                 found = part_keys(members, bounds, percent)
                 keys.append(found)
                 owner += [i] * len(found)
@@ -150,10 +202,12 @@ def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
         of = np.array(owner, np.int64)
         node = np.array(nodes, np.int64)
         first, inverse = np.unique(every, return_index=True, return_inverse=True)[1:]
-        fresh = np.zeros(len(every), bool)
-        fresh[first] = True
-        head = of[first][inverse]
-        links = np.unique(np.stack([of[~fresh], head[~fresh]]), axis=1) if (~fresh).any() else np.zeros((2, 0), np.int64)
+        head = of[first][inverse] if len(every) else of
+        pairs, which = np.unique(np.stack([of, head]), axis=1, return_inverse=True)
+        sizes = np.array(n, np.int64)
+        joined = (pairs[0] != pairs[1]) & may_link(bitmaps_or_empty(bitmaps), sizes, pairs[0], pairs[1], percent)
+        later = joined[which.ravel()]
+        links = pairs[:, joined]
         rows = np.arange(batch.num_rows + 1)
 
         def lists(values, owners):
@@ -164,56 +218,129 @@ def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
             pa.array(n, pa.int64()),
             pa.array(digests, pa.binary()),
             pa.array(node),
-            lists(every[fresh].view(np.int64), of[fresh]),
+            pa.array(bitmaps, pa.binary()),
+            lists(every[~later].view(np.int64), of[~later]),
+            lists(every[later].view(np.int64), of[later]),
             lists(node[links[1]], links[0]),
         ]
-        return pa.record_batch(columns, ["doc_id", "n_shingles", "digest", "node", "keys", "met"])
+        return pa.record_batch(columns, ["doc_id", "n_shingles", "digest", "node", "bitmap", "keys", "later", "met"])
 
     return docs.select("doc_id", "text").mapInArrow(by_slices(work), _SETS)
 
 
-def _neighbourhoods(sets: DataFrame) -> DataFrame:
-    """(node, component) of sets that meet another set."""
+def bitmaps_or_empty(bitmaps: list[bytes | None]) -> list[bytes]:
+    return [b"" if m is None else m for m in bitmaps]
+
+
+#: sets under one key that are held against each other; under a key of more all meet
+KEY_SETS = 20_000
+
+
+def _neighbourhoods(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of sets that meet another set they may link with."""
     from pyspark.sql import Window
 
     keys = sets.select("node", F.explode("keys").alias("key"))
-    # a key has one row per batch at most, so its rows are few
+    # a key has a row per batch and set that may not link with the first one there
     first = F.min("node").over(Window.partitionBy("key"))
-    met = keys.select("node", first.alias("other")).where("node != other")
-    early = sets.select("node", F.explode("met").alias("other")).where("node != other")
-    return components(met.unionByName(early), "node", "other")
+    met = stage(keys.select("key", "node", first.alias("other")).where("node != other"), "met")
+    shape = classes.select("node", "n_shingles", "bitmap")
+    checked = stage(_checked(met.select("node", "other").distinct(), shape, percent), "checked")
+    # keys under which a set may not link with the first one: all sets there are compared
+    mixed_keys = met.join(small(checked.where("not ok").select("node", "other")), ["node", "other"]).select("key").distinct()
+    mixed_keys = stage(mixed_keys, "keys")
+    every = sets.select("node", F.explode(F.concat("keys", "later")).alias("key"))
+    there = every.join(small(mixed_keys), "key").distinct()
+    there = stage(there, "there")
+    many = there.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("other")).where(F.col("n") > KEY_SETS)
+    many = stage(many.select("key", "other"), "many")
+    few = there.join(small(many.select("key")), "key", "left_anti")
+    edges = checked.where("ok").select("node", "other")
+    edges = edges.unionByName(there.join(small(many), "key").select("node", "other"))
+    edges = edges.unionByName(_compared(few, shape, percent))
+    early = sets.select("node", F.explode("met").alias("other"))
+    return components(edges.unionByName(early).where("node != other"), "node", "other")
+
+
+def _checked(pairs: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
+    """Pairs (node, other) with ``ok``: do their sizes and bitmaps allow a link?"""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bitmaps = batch.column("bitmap").to_pylist() + batch.column("other_bitmap").to_pylist()
+            sizes = np.concatenate([batch.column(c).to_numpy() for c in ("n_shingles", "other_size")])
+            at = np.arange(batch.num_rows)
+            ok = may_link(bitmaps, sizes, at, at + batch.num_rows, percent)
+            yield pa.record_batch([batch.column("node"), batch.column("other"), pa.array(ok)], ["node", "other", "ok"])
+        give_back()
+
+    others = shape.select(F.col("node").alias("other"), F.col("n_shingles").alias("other_size"), F.col("bitmap").alias("other_bitmap"))
+    both = pairs.join(shape, "node").join(others, "other").select("node", "other", "n_shingles", "bitmap", "other_size", "other_bitmap")
+    return both.mapInArrow(work, "node long, other long, ok boolean")
+
+
+def _compared(there: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
+    """Edges (node, other) that connect the sets of a key that may link, found by a tree
+    over their bitmaps.  A key has at most ``KEY_SETS`` sets; its rows come one after the
+    other in a partition."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each():
+            for batch in batches:
+                yield from zip(*(batch.column(c).to_pylist() for c in ("key", "node", "n_shingles", "bitmap")))
+
+        nodes: list[int] = []
+        others: list[int] = []
+        for _, group in groupby(each(), key=lambda r: r[0]):
+            group = list(group)
+            found = tree_of_bitmaps([r[3] for r in group], np.array([r[2] for r in group], np.int64), percent)
+            nodes += [r[1] for r in group]
+            others += [group[i][1] for i in found.tolist()]
+            if len(nodes) > 100_000:
+                yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(others, pa.int64())], ["node", "other"])
+                nodes, others = [], []
+        yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(others, pa.int64())], ["node", "other"])
+        give_back()
+
+    rows = there.join(shape, "node").select("key", "node", "n_shingles", "bitmap")
+    spread = rows.repartition("key").sortWithinPartitions("key", "node")
+    return spread.mapInArrow(work, "node long, other long").where("node != other").distinct()
 
 
 # -- the tree join ------------------------------------------------------------
 
 
 class _Tree:
-    """Signature trees over sets, their bitmaps over one numbering of tokens."""
+    """Signature trees over sets, given by their bitmaps."""
+
+    def __init__(self, bitmaps: np.ndarray, sizes: np.ndarray, hidden: np.ndarray, labels: np.ndarray, exact: bool) -> None:
+        # ``hidden``: at most so many members share a bit with another of their set
+        self.labels, self.exact = labels, exact
+        self.levels = [(bitmaps, sizes, sizes, hidden)]
+        while len(self.levels[-1][0]) > 1:
+            maps, low, high, more = self.levels[-1]
+            at = np.arange(0, len(maps), _FAN)
+            self.levels.append((np.bitwise_or.reduceat(maps, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(more, at)))
 
-    def __init__(self, sets: list[np.ndarray], labels: np.ndarray, parent: np.ndarray | None) -> None:
-        self.sizes = np.array([len(s) for s in sets], np.int64)
+    @classmethod
+    def of_sets(cls, sets: list[np.ndarray], labels: np.ndarray) -> _Tree:
+        """Their bitmaps over one numbering of tokens."""
+        sizes = np.array([len(s) for s in sets], np.int64)
         tokens = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        owner = np.repeat(np.arange(len(sets)), sizes)
         number, times = np.unique(tokens, return_inverse=True, return_counts=True)[1:]
         common = times > 1  # a token of one set alone is in no overlap
         new = np.cumsum(common) - 1
         held = common[number]
         number, owner = new[number[held]], owner[held]
-        self.exact = len(number) == 0 or int(new[-1]) < _MAX_BITS
+        exact = len(number) == 0 or int(new[-1]) < _MAX_BITS
         width = min(_MAX_BITS, max(64, -(-int(common.sum()) // 64) * 64))
         bit = number % width
         members = np.bincount(owner, minlength=len(sets))
         flags = np.zeros((len(sets), width // 8), np.uint8)
         np.bitwise_or.at(flags, (owner, bit >> 3), (1 << (bit & 7)).astype(np.uint8))
         bitmaps = flags.view(np.uint64)
-        # tokens that share a bit with another of their set
-        hidden = members - np.bitwise_count(bitmaps).sum(1).astype(np.int64)
-        self.labels, self.parent = labels, parent
-        self.levels = [(bitmaps, self.sizes, self.sizes, hidden)]
-        while len(self.levels[-1][0]) > 1:
-            maps, low, high, more = self.levels[-1]
-            at = np.arange(0, len(maps), _FAN)
-            self.levels.append((np.bitwise_or.reduceat(maps, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(more, at)))
+        return cls(bitmaps, sizes, members - np.bitwise_count(bitmaps).sum(1).astype(np.int64), labels, exact)
 
     def find(self, i: int) -> int:
         while self.labels[i] != i:
@@ -257,8 +384,39 @@ def tree_join(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = N
         for i in range(count):
             labels[i] = first.setdefault(int(joined[order[i]]), i)
     inside = [sets[i] for i in order]
-    tree = _Tree(inside, labels, None)
-    side = None if sides is None else sides[order]
+    tree = _Tree.of_sets(inside, labels)
+    _walk(tree, percent, None if sides is None else sides[order], lambda i, j: _linked(inside[i], inside[j], percent))
+    return _firsts(tree.roots()[place])
+
+
+def tree_of_bitmaps(bitmaps: list[bytes], sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Component (number of its first set) of each set, where sets are connected if their
+    sizes and bitmaps allow a link."""
+    count = len(bitmaps)
+    order = np.argsort(sizes, kind="stable")
+    words = min(len(m) for m in bitmaps) // 8
+    folded = np.concatenate([_folded(np.frombuffer(bitmaps[i], np.uint64)[None, :], words) for i in order.tolist()])
+    place = np.empty(count, np.int64)
+    place[order] = np.arange(count)
+    hidden = sizes[order] - np.bitwise_count(folded).sum(1).astype(np.int64)
+    tree = _Tree(folded, sizes[order], hidden, np.arange(count), True)
+    _walk(tree, percent, None, None)
+    return _firsts(tree.roots()[place])
+
+
+def _firsts(roots: np.ndarray) -> np.ndarray:
+    """Components named by their first member."""
+    count = len(roots)
+    first_of = np.full(count, count, np.int64)
+    np.minimum.at(first_of, roots, np.arange(count))
+    return first_of[roots]
+
+
+def _walk(tree: _Tree, percent: int, side: np.ndarray | None, linked) -> None:
+    """Walks the tree with itself and joins the labels of sets that link.
+
+    Pairs the bitmaps allow are put to ``linked`` unless the bitmaps are exact."""
+    count = len(tree.labels)
 
     def possible(level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         maps, low, high, hidden = tree.levels[level]
@@ -283,7 +441,7 @@ def tree_join(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = N
         ok = possible(0, a, b)
         for i, j in zip(a[ok].tolist(), b[ok].tolist()):
             x, y = tree.find(i), tree.find(j)
-            if x != y and (tree.exact or _linked(inside[i], inside[j], percent)):
+            if x != y and (tree.exact or linked(i, j)):
                 tree.labels[max(x, y)] = min(x, y)
 
     # neighbours in the order first: they join most of a group of near copies
@@ -317,10 +475,6 @@ def tree_join(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = N
         y = np.repeat(b * _FAN, _FAN * _FAN) + np.tile(np.arange(_FAN), len(b) * _FAN)
         ok = (x < below) & (y < below) & (x <= y)
         stack.append((level - 1, x[ok], y[ok]))
-    roots = tree.roots()[place]
-    first_of = np.full(count, count, np.int64)
-    np.minimum.at(first_of, roots, np.arange(count))
-    return first_of[roots]
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -337,7 +491,8 @@ def _join_groups(rows: DataFrame, size: int, percent: int) -> DataFrame:
     """Joins the sets of each (hood, part, other); gives (doc_id, label), where the
     label is the smallest label among the sets connected with it there.
 
-    ``rows``: hood, part, other, side, doc_id, label, text.  A group is at most two
+    ``rows``: hood, part, other, side, doc_id, label, digest, text; a text whose set has
+    another digest is another text of that id and left out.  A group is at most two
     chunks and is taken off the sorted rows of its partition as it comes by.
     """
     spread = rows.repartition("hood", "part", "other").sortWithinPartitions("hood", "part", "other", "doc_id")
@@ -348,7 +503,10 @@ def _join_groups(rows: DataFrame, size: int, percent: int) -> DataFrame:
                 for some in slices(batch):
                     sets = shingle_sets(some.column("text"), size)
                     names = ["hood", "part", "other", "side", "doc_id", "label"]
-                    yield from zip(*(some.column(c).to_pylist() for c in names), sets)
+                    columns = (some.column(c).to_pylist() for c in (*names, "digest"))
+                    for *row, digest, members in zip(*columns, sets):
+                        if digest_of(members) == digest:
+                            yield (*row, members)
 
         for _, group in groupby(each(), key=lambda r: r[:3]):
             group = list(group)
@@ -395,14 +553,22 @@ def similar(
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, rows) of every document of ``docs`` (doc_id,
     text); ``rows`` counts the rows of the id."""
+    with scratch(docs.sparkSession):
+        return stage(_similar(docs, shingle, percent, chunk_docs, chunk_shingles), "similar", keep=True)
+
+
+def _similar(docs: DataFrame, shingle: int, percent: int, chunk_docs: int, chunk_shingles: int) -> DataFrame:
     texts = docs.select("doc_id", "text")
     sets = stage(_sets(texts, shingle, percent), "sets")
     named = sets.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = named.groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.first("node").alias("node"), F.first("n_shingles").alias("n_shingles")
+    # rows with a null id link with nothing, but a batch may have named its set by them
+    shapes = sets.where("n_shingles > 0").groupBy("digest").agg(
+        F.min("doc_id").alias("rep"), F.first("node").alias("node"), F.first("n_shingles").alias("n_shingles"), F.max("bitmap").alias("bitmap")
     )
-    hoods = _neighbourhoods(sets).select("node", F.col("component").alias("hood"))
-    members = classes.join(hoods, "node").select("hood", F.col("rep").alias("doc_id"), "n_shingles")
+    shapes = stage(shapes, "classes")
+    classes = shapes.where("rep is not null").drop("bitmap")
+    hoods = _neighbourhoods(sets, shapes, percent).select("node", F.col("component").alias("hood"))
+    members = classes.join(hoods, "node").select("hood", F.col("rep").alias("doc_id"), "n_shingles", "digest")
     members = stage(_chunked(members, percent, chunk_docs, chunk_shingles), "members")
 
     def with_text(rows: DataFrame) -> DataFrame:
@@ -414,7 +580,7 @@ def similar(
         return _join_groups(with_text(rows), shingle, percent)
 
     # each chunk with itself
-    chunks = members.select("hood", "part", F.col("part").alias("other"), F.lit(0).alias("side"), "doc_id", F.col("doc_id").alias("label"))
+    chunks = members.select("hood", "part", F.col("part").alias("other"), F.lit(0).alias("side"), "doc_id", F.col("doc_id").alias("label"), "digest")
     found = stage(join(chunks), "joined")
     large = members.where("large")
     if large.limit(1).count():
@@ -448,19 +614,19 @@ def _whole(named: DataFrame, classes: DataFrame, found: DataFrame, chained: bool
 
 def _across(large: DataFrame, found: DataFrame, join, percent: int, chunk_docs: int, chunk_shingles: int) -> DataFrame:
     """Links between the chunks of large neighbourhoods, added to ``found``."""
-    large = large.select("hood", "band", "part", "parts", "doc_id", "n_shingles")
+    large = large.select("hood", "band", "part", "parts", "doc_id", "n_shingles", "digest")
     # leaders of components in bands of several chunks, joined among themselves as
     # long as that leaves fewer of them
     leaders = large.where("parts > 1").join(found.where("doc_id = found").select("doc_id"), "doc_id", "left_semi")
-    leaders = stage(leaders.select("hood", "doc_id", "n_shingles"), "leaders")
+    leaders = stage(leaders.select("hood", "doc_id", "n_shingles", "digest"), "leaders")
     before = leaders.count()
     while before:
         some = stage(_chunked(leaders, percent, chunk_docs, chunk_shingles), "leaders")
-        rows = some.select("hood", "part", F.col("part").alias("other"), F.lit(0).alias("side"), "doc_id", F.col("doc_id").alias("label"))
+        rows = some.select("hood", "part", F.col("part").alias("other"), F.lit(0).alias("side"), "doc_id", F.col("doc_id").alias("label"), "digest")
         more = stage(join(rows), "joined")
         found = stage(found.unionByName(more), "joined")
         left = some.join(more.where("doc_id = found").select("doc_id"), "doc_id", "left_semi")
-        leaders = stage(left.select("hood", "doc_id", "n_shingles"), "leaders")
+        leaders = stage(left.select("hood", "doc_id", "n_shingles", "digest"), "leaders")
         after = leaders.count()
         if after > before * 3 // 4 or not some.where("parts > 1").limit(1).count():
             break
@@ -480,6 +646,7 @@ def _across(large: DataFrame, found: DataFrame, join, percent: int, chunk_docs:
         F.when(F.col("part") < F.col("mate"), 0).otherwise(1).alias("side"),
         "doc_id",
         "label",
+        "digest",
     )
     crossed = join(pairs)
     # components, not single sets, are what such a join connects
@@ -495,18 +662,23 @@ def _labels(large: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without all but the first document of each component.
+    """``docs`` with one row of each group of equal or linked texts.
 
-    Of repeated rows of an id the one with the smallest hash of its text stays;
-    rows with a null id, which link with nothing, all stay.
+    Texts decide, not ids: of unlike texts of one id each is judged on its own, and rows
+    with a null id are like others.  The row with the smallest id (null last) and hash
+    stays.  Rows without a word, which link with nothing, all stay.
     """
-    found = similar(docs, shingle, percent)
-    first = stage(found.where("doc_id = component_id").select("doc_id", "rows"), "first")
-    once = docs.join(small(first.where("rows = 1").select("doc_id")), "doc_id", "left_semi").select(*docs.columns)
-    several = docs.join(small(first.where("rows > 1").select("doc_id")), "doc_id", "left_semi").select(*docs.columns)
-    name = unused(docs, "_row")
-    one = several.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias(name)).select(f"{name}.*")
-    return once.unionByName(one).unionByName(docs.where(F.col("doc_id").isNull()))
+    key, place = unused(docs, "_key"), unused(docs, "_row")
+    word = F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False))
+    keyed = docs.where(word).withColumn(key, F.xxhash64("text"))
+    found = similar(keyed.select(F.col(key).alias("doc_id"), "text"), shingle, percent)
+    first = stage(found.where("doc_id = component_id").select(F.col("doc_id").alias(key), "rows"), "first")
+    once = keyed.join(small(first.where("rows = 1").select(key)), key, "left_semi").select(*docs.columns)
+    several = keyed.join(small(first.where("rows > 1").select(key)), key, "left_semi")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns))
+    # grouped by the text's digest too, should two texts ever share a key
+    one = several.groupBy(key, F.md5(F.col("text").cast("binary"))).agg(F.min_by(F.struct(*docs.columns), order).alias(place))
+    return once.unionByName(one.select(f"{place}.*")).unionByName(docs.where(~word))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,11 +36,34 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def stage(rows: DataFrame, name: str, *by: str) -> DataFrame:
-    """Writes ``rows`` as Parquet, in folders by the columns ``by``, and reads them back."""
+_made: ContextVar[tuple[list[str], ...]] = ContextVar("made", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables staged within once it is left, but for those staged to be kept."""
+    folders: list[str] = []
+    token = _made.set((*_made.get(), folders))
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for folder in folders:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stage(rows: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Writes ``rows`` as Parquet and reads them back.
+
+    With ``keep`` the table outlives the innermost ``scratch``."""
     spark = rows.sparkSession
     folder = new_folder(spark, name)
-    rows.write.partitionBy(*by).parquet(folder)
+    # the innermost scratch, or with ``keep`` the one around it, will remove it
+    around = _made.get()[: len(_made.get()) - keep]
+    if around:
+        around[-1].append(folder)
+    rows.write.parquet(folder)
     return spark.read.schema(rows.schema).parquet(folder)
 
 
