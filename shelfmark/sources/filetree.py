@@ -9,7 +9,10 @@ the same path as the driver.
 Two ways in:
 
 * ``spark.read.format("filetree").load(root)`` reads a tree in one go, split into
-  sub-trees on the driver;
+  sub-trees on the driver.  Filters on path, name, extension, size and times are taken
+  over: folders that no wanted path lies in are never opened, and files whose name rules
+  them out are not examined.  Nor is any file if the reader's schema has no sizes and
+  times.  A folder with very many entries is shared out by the hash of their names;
 * ``list_tree`` is for trees of any size and shape.  Tasks hand back directories
   beyond a budget, which are spread again over all tasks, and examining files is
   a step of its own.  So neither a deep sub-tree nor a directory holding most of
@@ -18,16 +21,32 @@ Two ways in:
 
 from __future__ import annotations
 
+import operator
 import os
+import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
-from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    IsNotNull,
+    LessThan,
+    LessThanOrEqual,
+    StringContains,
+    StringEndsWith,
+    StringStartsWith,
+)
 
 SCHEMA = (
     "path string, filename string, extension string, size_bytes long, "
@@ -35,6 +54,8 @@ SCHEMA = (
 )
 _FOUND = "kind string, folder string, name string, error_message string"
 _BATCH = 4096
+# entries of a folder that one task of the source examines
+_WIDE = 20_000
 # names of sub-folders that the source holds at once
 _MOST_FOLDERS = 100_000
 
@@ -93,9 +114,22 @@ def _file_row(folder: str, name: str) -> tuple:
         made, changed = (datetime.fromtimestamp(s, timezone.utc) for s in (st.st_ctime, st.st_mtime))
     except (OSError, OverflowError, ValueError) as exc:
         return _error_row(path, str(exc))
+    return path, name, _suffix(name), st.st_size, made, changed, None
+
+
+def _name_row(folder: str, name: str) -> tuple:
+    """A file that is not examined."""
+    path = os.path.join(folder, name)
+    try:
+        path.encode()
+    except ValueError as exc:
+        return _error_row(path, str(exc))
+    return path, name, _suffix(name), None, None, None, None
+
+
+def _suffix(name: str) -> str:
     dot = name.rfind(".")
-    suffix = name[dot:].lower() if 0 < dot < len(name) - 1 else ""
-    return path, name, suffix, st.st_size, made, changed, None
+    return name[dot:].lower() if 0 < dot < len(name) - 1 else ""
 
 
 def _error_row(path: str, message: str) -> tuple:
@@ -127,57 +161,150 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 class _Part(InputPartition):
-    """Directories, with everything below them or on their own."""
-
-    def __init__(self, folders: list[str], deep: bool) -> None:
-        super().__init__((folders, deep))
-        self.folders, self.deep = folders, deep
+    """Directories, with everything below them or on their own.
+
+    With ``of`` above 1 only the entries whose name hashes to ``share`` count."""
+
+    def __init__(self, folders: list[str], deep: bool, share: int = 0, of: int = 1) -> None:
+        super().__init__((folders, deep, share, of))
+        self.folders, self.deep, self.share, self.of = folders, deep, share, of
+
+    def has(self, name: str | None) -> bool:
+        return self.of == 1 or zlib.crc32(os.fsencode(name or "")) % self.of == self.share
+
+
+_COLUMNS = _ROWS.names
+_FROM_NAME = ("path", "filename", "extension")
+
+
+class _Wanted:
+    """The filters a reader has taken over."""
+
+    def __init__(self) -> None:
+        self.tests: list[tuple[str, Callable]] = []
+        self.prefixes: list[str] = []
+
+    def take(self, given: Filter) -> bool:
+        """Is it one the reader applies exactly?"""
+        if isinstance(given, IsNotNull):
+            column, test = given.attribute, lambda value: True
+        elif type(given) in _COMPARED:
+            column, value = given.attribute, given.value
+            if value is None:
+                return False
+            compare = _COMPARED[type(given)]
+            test = lambda have: compare(have, value)
+        else:
+            return False
+        if len(column) != 1 or column[0] not in _COLUMNS:
+            return False
+        self.tests.append((column[0], test))
+        if column[0] == "path" and isinstance(given, (StringStartsWith, EqualTo)):
+            self.prefixes.append(given.value)
+        return True
+
+    def enters(self, folder: str) -> bool:
+        """Can a wanted path lie in a folder, or below it?"""
+        inside = os.path.join(folder, "")
+        return all(inside.startswith(p) or p.startswith(inside) or p == folder for p in self.prefixes)
+
+    def by_name(self, folder: str, name: str) -> bool:
+        """Does a file pass what its name alone decides?"""
+        row = None
+        for column, test in self.tests:
+            if column in _FROM_NAME:
+                row = row or dict(zip(_FROM_NAME, (os.path.join(folder, name), name, _suffix(name))))
+                if not test(row[column]):
+                    return False
+        return True
+
+    def passes(self, row: tuple) -> bool:
+        for column, test in self.tests:
+            value = row[_COLUMNS.index(column)]
+            if value is None or not test(value):
+                return False
+        return True
+
+
+_COMPARED = {
+    EqualTo: operator.eq,
+    GreaterThan: operator.gt,
+    GreaterThanOrEqual: operator.ge,
+    LessThan: operator.lt,
+    LessThanOrEqual: operator.le,
+    In: lambda have, values: have in values,
+    StringStartsWith: str.startswith,
+    StringEndsWith: str.endswith,
+    StringContains: operator.contains,
+}
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, root: str, parts: int) -> None:
-        self.root, self.parts = root, parts
+    def __init__(self, root: str, parts: int, columns: list[str] = _COLUMNS) -> None:
+        self.root, self.parts, self.columns, self.wanted = root, parts, columns, _Wanted()
+        # sizes and times are looked up only if they are asked for
+        self.examine = any(c in columns for c in ("size_bytes", "created_date", "modified_date"))
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for given in filters:
+            if not self.wanted.take(given):
+                yield given
 
     def partitions(self) -> list[InputPartition]:
         """Opens directories breadth first until there are enough of them.
 
-        The files of an opened directory form a part apart from its sub-trees.
-        Many sub-trees share the parts there are.  The driver holds a bounded number
-        of names: a directory with more than ``_MOST_FOLDERS`` sub-folders is left
-        unopened and read by one task, sub-folder by sub-folder.  ``list_tree`` has
-        no such directory to itself.
+        The files of an opened directory form a part apart from its sub-trees, or several
+        parts if they are many.  Many sub-trees share the parts there are.  The driver
+        holds a bounded number of names: a directory with more than ``_MOST_FOLDERS``
+        sub-folders is left unopened, and shared out by the names of its entries.
         """
-        opened: list[str] = []
-        whole: list[str] = []
-        waiting = deque([self.root])
-        while waiting and len(opened) + len(whole) + len(waiting) < self.parts:
+        found: list[InputPartition] = []
+        waiting = deque([self.root] if self.wanted.enters(self.root) else [])
+        while waiting and len(found) + len(waiting) < self.parts:
             folder = waiting.popleft()
-            below = (os.path.join(f, n) for kind, f, n, _ in _entries(folder) if kind == FOLDER)
-            some = list(islice(below, _MOST_FOLDERS + 1))
-            if len(some) > _MOST_FOLDERS:
-                whole.append(folder)
+            below, files = [], 0
+            for kind, where, name, _ in _entries(folder):
+                if kind != FOLDER:
+                    files += 1
+                elif self.wanted.enters(os.path.join(where, name)):
+                    below.append(os.path.join(where, name))
+                    if len(below) > _MOST_FOLDERS:
+                        break
+            if len(below) > _MOST_FOLDERS:
+                found += [_Part([folder], True, n, self.parts) for n in range(self.parts)]
             else:
-                opened.append(folder)
-                waiting.extend(some)
-        trees = whole + list(waiting)
+                shares = max(1, -(-files // _WIDE))
+                found += [_Part([folder], False, n, shares) for n in range(shares)]
+                waiting.extend(below)
+        trees = list(waiting)
         shares = [trees[n :: self.parts] for n in range(min(self.parts, len(trees)))]
-        return [_Part([f], False) for f in opened] + [_Part(share, True) for share in shares]
+        return found + [_Part(share, True) for share in shares]
 
     def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
-        return _batches(self._rows(partition), _ROWS)
+        schema = pa.schema([_ROWS.field(c) for c in self.columns])
+        at = [_COLUMNS.index(c) for c in self.columns]
+        rows = (row for row in self._rows(partition) if self.wanted.passes(row))
+        return _batches((tuple(row[k] for k in at) for row in rows), schema)
 
     def _rows(self, part: _Part) -> Iterator[tuple]:
+        first = set(part.folders)
         waiting = list(part.folders)
         while waiting:
-            for kind, folder, name, message in _entries(waiting.pop()):
+            top = waiting.pop()
+            for kind, folder, name, message in _entries(top):
+                # only the entries of the part's own folders are shared out
+                if top in first and not part.has(name):
+                    continue
                 if kind == FILE:
-                    yield _file_row(folder, name)
+                    if self.wanted.by_name(folder, name):
+                        yield _file_row(folder, name) if self.examine else _name_row(folder, name)
                 elif kind == ERROR:
                     yield _error_row(folder, message)
-                elif part.deep and len(waiting) < _MOST_FOLDERS:
-                    waiting.append(os.path.join(folder, name))
-                elif part.deep:  # never piled up: entered at once
-                    yield from self._rows(_Part([os.path.join(folder, name)], True))
+                elif part.deep and self.wanted.enters(os.path.join(folder, name)):
+                    if len(waiting) < _MOST_FOLDERS:
+                        waiting.append(os.path.join(folder, name))
+                    else:  # never piled up: entered at once
+                        yield from self._rows(_Part([os.path.join(folder, name)], True))
 
 
 class FileTree(DataSource):
@@ -191,10 +318,12 @@ class FileTree(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(existing_root(self.options["path"]), int(self.options.get("parts", 64)))
+        return _Reader(existing_root(self.options["path"]), int(self.options.get("parts", 64)), schema.fieldNames())
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the source known; filters reach Python sources only where that is set."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(FileTree)
 
 

@@ -366,14 +366,71 @@ def test_errors_are_packed(catalog, tree):
     assert catalog.errors().count() == 4
 
 
-def test_source_leaves_a_wide_folder_to_a_task(spark, odd, monkeypatch):
+@pytest.mark.parametrize("folders, files", [(5, 20_000), (100_000, 3)])
+def test_source_shares_out_a_wide_folder(spark, odd, monkeypatch, folders, files):
     for n in range(30):
         (odd / f"w{n}").mkdir()
         (odd / f"w{n}" / "f").write_text("x")
-    monkeypatch.setattr(filetree, "_MOST_FOLDERS", 5)
-    assert len(filetree._Reader(str(odd), 64).partitions()) == 1
-    rows = list(filetree._Reader(str(odd), 64)._rows(filetree._Part([str(odd)], True)))
-    assert len(rows) == sum(map(len, walked(odd)))
+    monkeypatch.setattr(filetree, "_MOST_FOLDERS", folders)
+    monkeypatch.setattr(filetree, "_WIDE", files)
+    reader = filetree._Reader(str(odd), 8)
+    parts = reader.partitions()
+    assert len([p for p in parts if p.folders == [str(odd)]]) > 2
+    rows = [row for part in parts for row in reader._rows(part)]
+    assert len(rows) == len({row[0] for row in rows}) == sum(map(len, walked(odd)))
+    whole = list(reader._rows(filetree._Part([str(odd)], True)))
+    assert sorted(map(str, whole)) == sorted(map(str, rows))
+
+
+def test_source_takes_filters_over(spark, odd, monkeypatch):
+    for n in range(4):
+        (odd / "sub" / f"d{n}").mkdir()
+        (odd / "sub" / f"d{n}" / f"f{n}.TXT").write_text("x" * n)
+    filetree.register(spark)
+    every = spark.read.format("filetree").load(str(odd))
+    rows = every.collect()
+    size, path = F.col("size_bytes"), F.col("path")
+    for test in (
+        path.startswith(f"{odd}/sub/d"),
+        (size >= 2) & (F.col("extension") == ".txt"),
+        F.col("filename").contains("a") & (size < 5),
+        F.col("extension").isin(".txt", ".gz") & path.endswith("gz"),
+        path == str(odd / "sub" / "d1" / "f1.TXT"),
+        F.col("modified_date") > F.lit("2001-01-01").cast("timestamp"),
+        F.col("error_message").isNull() & (F.upper("filename") == "F2.TXT"),
+        (size > 1) | F.col("filename").startswith("f"),
+        ~F.col("filename").startswith("f"),
+    ):
+        want = spark.createDataFrame(rows, every.schema).where(test).collect()
+        assert sorted(map(str, every.where(test).collect())) == sorted(map(str, want))
+    plan = plan_of(every.where(path.startswith(f"{odd}/sub/d1/") & (size > 3) & (F.col("extension") == ".txt")))
+    assert "Filter (" not in plan  # nothing is left for Spark to test
+
+    # only folders a wanted path can lie in are opened, and only files that may pass examined
+    opened, examined = [], []
+    real, look = filetree._entries, filetree._file_row
+    monkeypatch.setattr(filetree, "_entries", lambda folder: (opened.append(os.path.relpath(folder, odd)), real(folder))[1])
+    monkeypatch.setattr(filetree, "_file_row", lambda folder, name: (examined.append(name), look(folder, name))[1])
+    reader = filetree._Reader(str(odd), 1)
+    from pyspark.sql.datasource import EqualTo, Not, StringStartsWith
+
+    given = [StringStartsWith(("path",), f"{odd}/sub/d1/"), EqualTo(("extension",), ".txt"), Not(EqualTo(("filename",), "x"))]
+    assert list(reader.pushFilters(given)) == given[2:]
+    got = [row for part in reader.partitions() for batch in reader.read(part) for row in batch.to_pylist()]
+    assert [r["filename"] for r in got] == examined == ["f1.TXT"]
+    assert set(opened) == {".", "sub", "sub/d1"}
+
+
+def test_source_of_names_alone_examines_nothing(spark, odd):
+    filetree.register(spark)
+    reader = filetree._Reader(str(odd), 4, ["filename", "path"])
+    assert not reader.examine
+    names = spark.read.format("filetree").schema("filename string, path string, error_message string").load(str(odd))
+    good, failed = walked(odd)
+    got = names.collect()
+    # a link to nowhere is a name like others
+    assert {r.path for r in got if r.error_message is None} == set(good) | {str(odd / "broken")}
+    assert len(got) == len(good) + len(failed)
 
 
 @pytest.mark.parametrize("stop,status", [(KeyboardInterrupt, "interrupted"), (RuntimeError, "failed")])

@@ -14,7 +14,7 @@ from shelfmark.operators.filters import SearchFilters
 from shelfmark.plans.scan import Volume, scan
 from shelfmark.schemas import FILES
 from shelfmark.sources import catalog as cat
-from shelfmark.sources import manifests, pages
+from shelfmark.sources import copies, manifests, pages
 from shelfmark.sources.catalog import Catalog, Seen
 from shelfmark.sources.locks import Busy
 
@@ -164,6 +164,50 @@ def test_commits_at_once_are_all_kept(spark, tmp_path):
     assert len(log.numbers()) == manifests.KEEP and not [n for n in os.listdir(tmp_path / "log") if ".json" not in n]
 
 
+# -- copies -------------------------------------------------------------------
+
+
+def test_copies_share_what_has_not_changed(spark, catalog, make_files, tmp_path, monkeypatch):
+    target = str(tmp_path / "copies")
+    catalog.replace_files(1, 1, make_files(*[(1, f"/f{n}", n, f"h{n % 3}") for n in range(20)], sep="/"), 20)
+    catalog.replace_files(2, 1, make_files((2, "/z", 1, None), sep="/"), 1)
+    catalog.keep_totals(1, "/")
+
+    def folders_():
+        return {f.removeprefix("file:") for f in catalog.folders.matching(f"{target}/files/*/*/*")}
+
+    states = {}
+    copies.copy_shared(catalog, target, stamp="20240101_000000")
+    states["20240101_000000"], one = rows_of(catalog.files()), folders_()
+    assert len(one) == 2
+    copies.copy_shared(catalog, target, stamp="20240102_000000")
+    states["20240102_000000"] = rows_of(catalog.files())
+    assert folders_() == one  # nothing had changed: no row of a file was written
+    row = make_files((1, "/f3", 99, "h"), sep="/").withColumn("frozen", F.lit(False))
+    catalog.add_changes(1, row, Seen(2, "/", moment(2)))
+    copies.copy_shared(catalog, target, stamp="20240103_000000")
+    states["20240103_000000"] = rows_of(catalog.files())
+    assert len(folders_()) == 3
+    monkeypatch.setattr(cat, "_MOST_MARKS", 0)
+    catalog.add_changes(1, row, Seen(3, "/", moment(3)))  # a new base
+    copies.copy_shared(catalog, target, stamp="20240104_000000")
+    states["20240104_000000"] = rows_of(catalog.files())
+    catalog.drop_old_versions(keep=1)
+
+    def check(stamps):
+        assert copies.copies(spark, target) == stamps
+        for stamp in stamps:
+            assert rows_of(copies.files_of_copy(spark, target, stamp)) == states[stamp]
+
+    check(sorted(states))
+    (tmp_path / "copies" / "copies" / "20240105_000000").mkdir()  # one that was never finished
+    assert copies.drop_old_copies(catalog, target, keep=2) == ["20240101_000000", "20240102_000000", "20240105_000000"]
+    check(sorted(states)[2:])  # the oldest base is still named by the third copy
+    copies.drop_old_copies(catalog, target, keep=1)
+    check(sorted(states)[3:])
+    assert len(folders_()) == 2
+
+
 # -- searches of a stored catalog ---------------------------------------------
 
 
