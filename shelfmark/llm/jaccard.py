@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .staging import scratch, small, stage, unused
+from .staging import release, scratch, small, stage, unused
 from .words import by_slices, give_back, hashes, mixed, slices, windows, words_of
 
 _PART, _EMPTY = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x2545F4914F6CDD1D)
@@ -259,7 +259,9 @@ def _neighbourhoods(sets: DataFrame, classes: DataFrame, percent: int) -> DataFr
     edges = edges.unionByName(there.join(small(many), "key").select("node", "other"))
     edges = edges.unionByName(_compared(few, shape, percent))
     early = sets.select("node", F.explode("met").alias("other"))
-    return components(edges.unionByName(early).where("node != other"), "node", "other")
+    edges = stage(edges.unionByName(early).where("node != other").distinct(), "edges")
+    release(sets.sparkSession)
+    return components(edges, "node", "other")
 
 
 def _checked(pairs: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
@@ -570,6 +572,7 @@ def _similar(docs: DataFrame, shingle: int, percent: int, chunk_docs: int, chunk
     hoods = _neighbourhoods(sets, shapes, percent).select("node", F.col("component").alias("hood"))
     members = classes.join(hoods, "node").select("hood", F.col("rep").alias("doc_id"), "n_shingles", "digest")
     members = stage(_chunked(members, percent, chunk_docs, chunk_shingles), "members")
+    release(docs.sparkSession)
 
     def with_text(rows: DataFrame) -> DataFrame:
         # repeated rows of an id would bring several sets under one name
@@ -608,7 +611,7 @@ def _whole(named: DataFrame, classes: DataFrame, found: DataFrame, chained: bool
         links = found.where("doc_id != found").select(F.col("doc_id").alias("u"), F.col("found").alias("v"))
         links = links.unionByName(copies.where("doc_id != rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
         return components(links)
-    firsts = found.select(F.col("doc_id").alias("rep"), "found")
+    firsts = found.select(F.col("doc_id").alias("rep"), "found").distinct()
     return copies.join(firsts, "rep", "left").select(F.col("doc_id").alias("node"), F.coalesce("found", "rep").alias("component")).distinct()
 
 
@@ -665,19 +668,19 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each group of equal or linked texts.
 
     Texts decide, not ids: of unlike texts of one id each is judged on its own, and rows
-    with a null id are like others.  The row with the smallest id (null last) and hash
-    stays.  Rows without a word, which link with nothing, all stay.
+    with a null id are like others.  The row with the smallest hash of id and text stays.
+    Rows without a word, which link with nothing, all stay.
     """
     key, place = unused(docs, "_key"), unused(docs, "_row")
     word = F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False))
-    keyed = docs.where(word).withColumn(key, F.xxhash64("text"))
+    # copies under different ids differ, so that one of them stands for all in the join
+    keyed = docs.where(word).withColumn(key, F.xxhash64("doc_id", "text"))
     found = similar(keyed.select(F.col(key).alias("doc_id"), "text"), shingle, percent)
     first = stage(found.where("doc_id = component_id").select(F.col("doc_id").alias(key), "rows"), "first")
     once = keyed.join(small(first.where("rows = 1").select(key)), key, "left_semi").select(*docs.columns)
     several = keyed.join(small(first.where("rows > 1").select(key)), key, "left_semi")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns))
     # grouped by the text's digest too, should two texts ever share a key
-    one = several.groupBy(key, F.md5(F.col("text").cast("binary"))).agg(F.min_by(F.struct(*docs.columns), order).alias(place))
+    one = several.groupBy(key, F.md5(F.col("text").cast("binary"))).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(place))
     return once.unionByName(one.select(f"{place}.*")).unionByName(docs.where(~word))
 
 

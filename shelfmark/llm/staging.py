@@ -6,6 +6,7 @@ later, and its lineage ends there.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,6 +16,8 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .words import give_back
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``.
@@ -36,6 +39,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver collect garbage.
+
+    Spark removes the shuffle files of a plan once the driver's collector finds that no
+    one refers to it any more; on an idle driver that may take half an hour."""
+    gc.collect()
+    give_back()
+    spark.sparkContext._jvm.System.gc()
+
+
 _made: ContextVar[tuple[list[str], ...]] = ContextVar("made", default=())
 
 
@@ -51,6 +64,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         for folder in folders:
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        release(spark)
 
 
 def stage(rows: DataFrame, name: str, keep: bool = False) -> DataFrame:
