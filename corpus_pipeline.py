@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfmark.llm import decontaminate, jaccard, mixing, sharding, toxicity
-from shelfmark.llm.staging import new_folder
+from shelfmark.llm.staging import new_folder, release
 
 SHARDS = 40
 
@@ -60,4 +60,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         folder = new_folder(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
+        release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
