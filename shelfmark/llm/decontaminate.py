@@ -115,11 +115,9 @@ def _counts(agreeing: Column, percent: int) -> Column:
     return (F.size(agreeing) >= need) & F.exists(F.sequence(F.lit(0), F.greatest(F.size(agreeing) - need, F.lit(0))), some)
 
 
-def contained(docs: DataFrame, benchmark: DataFrame, percent: int = 80, key: str = "doc_id") -> DataFrame:
+def contained(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, item_id, item_words, matched) of items contained in documents; the
-    last two count words of the item (of its piece) and those that agree.
-
-    ``key``: another column to name documents by."""
+    last two count words of the item (of its piece) and those that agree."""
     pieces = stage(_pieces(benchmark, percent), "items")
     total = pieces.agg(F.sum(F.size("item_words"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_WORDS))
@@ -127,7 +125,7 @@ def contained(docs: DataFrame, benchmark: DataFrame, percent: int = 80, key: str
     lengths = [r[0] for r in pieces.select(F.size("item_words")).distinct().collect()]
     masks = _masks(lengths or [SHORT], percent)
     shortest = min(map(len, masks))
-    texts = docs.select(F.col(key).alias("doc_id"), word_hashes().alias("words"))
+    texts = docs.select("doc_id", word_hashes().alias("words"))
     found = []
     for block in range(blocks):
         some = pieces.where(F.pmod("piece", F.lit(blocks)) == block)
@@ -159,7 +157,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> D
     name = unused(docs, "_hit")
     # 128 bits: a clean text does not share them with another
     keyed = docs.withColumn(name, F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    bad = stage(contained(keyed, benchmark, percent, name).select(F.col("doc_id").alias(name)).distinct(), "contained")
+    named = keyed.select(F.col(name).alias("doc_id"), "text")
+    bad = stage(contained(named, benchmark, percent).select(F.col("doc_id").alias(name)).distinct(), "contained")
     return keyed.join(small(bad), name, "left_anti").select(*docs.columns)
 
 

@@ -252,9 +252,13 @@ def _neighbourhoods(sets: DataFrame, classes: DataFrame, percent: int) -> DataFr
     every = sets.select("node", F.explode(F.concat("keys", "later")).alias("key"))
     there = every.join(small(mixed_keys), "key").distinct()
     there = stage(there, "there")
-    many = there.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("other")).where(F.col("n") > KEY_SETS)
-    many = stage(many.select("key", "other"), "many")
-    few = there.join(small(many.select("key")), "key", "left_anti")
+    # two sets alone under a key have been compared; keys with the same sets count once
+    named = F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("named")
+    groups = there.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("other"), named).where("n > 2")
+    once = groups.groupBy("n", "named", "other").agg(F.min("key").alias("key"))
+    once = stage(once.select("key", "n", "other"), "groups")
+    many = once.where(F.col("n") > KEY_SETS).select("key", "other")
+    few = there.join(small(once.where(F.col("n") <= KEY_SETS).select("key")), "key")
     edges = checked.where("ok").select("node", "other")
     edges = edges.unionByName(there.join(small(many), "key").select("node", "other"))
     edges = edges.unionByName(_compared(few, shape, percent))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import by_slices, hashes, mixed, words_of
+from .words import SLICE_BYTES, by_slices, hashes, mixed, words_of
 
 _PAIR, _SKIP = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 _STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -166,7 +166,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, held_out: Column, threshold:
         own, found = scores(batch.column("text"))
         return batch.filter(pa.array((found < threshold) | (own <= 0)))
 
-    return docs.mapInArrow(by_slices(work), docs.schema)
+    # features of a text take many times its bytes, and a stage of a pipeline shares its
+    # executors with what the stages before it left
+    return docs.mapInArrow(by_slices(work, SLICE_BYTES // 4), docs.schema)
 
 
 def fold(mod: int) -> Column:

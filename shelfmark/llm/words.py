@@ -82,10 +82,10 @@ def windows(hashed: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndar
     return mixed(value[keep]), np.concatenate([[0], np.cumsum(inside)]).astype(np.int64)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with at most ``SLICE_BYTES`` of text, or one row."""
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most ``most`` bytes of text, or one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
-    part = np.cumsum(sizes) // SLICE_BYTES
+    part = np.cumsum(sizes) // most
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)] if len(sizes) else [0]
     for start, end in zip(cuts, cuts[1:]):
         yield batch.slice(start, end - start)
@@ -99,12 +99,12 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def by_slices(work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable:
+def by_slices(work: Callable[[pa.RecordBatch], pa.RecordBatch], most: int = SLICE_BYTES) -> Callable:
     """A function for ``mapInArrow`` that applies ``work`` slice by slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=most):
                 yield work(part)
         give_back()
 
