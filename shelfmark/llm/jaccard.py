@@ -672,7 +672,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each group of equal or linked texts.
 
     Texts decide, not ids: of unlike texts of one id each is judged on its own, and rows
-    with a null id are like others.  The row with the smallest hash of id and text stays.
+    with a null id are like others.  The row with the smallest id (null last) stays.
     Rows without a word, which link with nothing, all stay.
     """
     key, place = unused(docs, "_key"), unused(docs, "_row")
@@ -680,7 +680,10 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     # copies under different ids differ, so that one of them stands for all in the join
     keyed = docs.where(word).withColumn(key, F.xxhash64("doc_id", "text"))
     found = similar(keyed.select(F.col(key).alias("doc_id"), "text"), shingle, percent)
-    first = stage(found.where("doc_id = component_id").select(F.col("doc_id").alias(key), "rows"), "first")
+    named = keyed.select(key, "doc_id").join(found.select(F.col("doc_id").alias(key), "component_id", "rows"), key)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(key).alias("key"), "rows")
+    best = named.groupBy("component_id").agg(F.min(order).alias("best"))
+    first = stage(best.select(F.col("best.key").alias(key), F.col("best.rows").alias("rows")), "first")
     once = keyed.join(small(first.where("rows = 1").select(key)), key, "left_semi").select(*docs.columns)
     several = keyed.join(small(first.where("rows > 1").select(key)), key, "left_semi")
     # grouped by the text's digest too, should two texts ever share a key
