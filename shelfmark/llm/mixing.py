@@ -14,8 +14,9 @@ the document's id and the seed, so reruns agree.
 
 Defined results: a null or empty text has no words: it is taken 0 times, or as
 often as the others of its source on the whole part; sources count by code point
-with null last; a source without words has target 0; repeated rows are mixed each;
-of an empty table nothing is taken.
+with null last; a source without words has target 0; of an empty table nothing is
+taken.  Rows equal in id, source and text pass words among themselves first, which
+leaves all but one of them with a whole number: that one is rounded with others.
 """
 
 from __future__ import annotations
@@ -136,12 +137,32 @@ def _round(rows: DataFrame, by: list[str], seed: int) -> DataFrame:
     return rows.groupBy(*by).applyInArrow(work, _ROUND)
 
 
+def _among_equals(units: DataFrame) -> DataFrame:
+    """Units of equal rows, parted where their rows end with unlike numbers: some are
+    taken once more, the others not, and one keeps what is left of the probability."""
+    many = (F.col("rows") > 1) & (F.col("size") > 0)
+    sum_ = F.col("rows") * F.col("part")
+    more = F.floor(sum_)
+    none = F.lit(0.0)
+
+    def entry(rows: Column, whole: Column, part: Column) -> Column:
+        return F.struct(rows.cast("long").alias("rows"), whole.cast("long").alias("whole"), part.alias("part"))
+
+    whole = F.col("whole")
+    last = F.least(F.col("rows") - more, F.lit(1))
+    parts = F.array(entry(more, whole + 1, none), entry(last, whole, sum_ - more), entry(F.col("rows") - more - last, whole, none))
+    as_is = F.array(entry(F.col("rows"), whole, F.col("part")))
+    kept = F.filter(F.when(many, parts).otherwise(as_is), lambda e: e["rows"] > 0)
+    others = [c for c in units.columns if c not in ("rows", "whole", "part")]
+    return units.select(*others, F.explode(kept).alias("entry")).select(*others, "entry.*")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = 3.0, seed: int = 1, group: int = GROUP, fan: int = FAN) -> DataFrame:
     """(doc_id, source, size, mark, rows, source_size, target, copies).
 
-    ``rows`` rows equal in id, source and text are mixed as one, with as many
-    copies each.  The table of targets has a row per source and is left to Spark's
-    broadcast limit.
+    ``rows`` rows equal in id, source and text are taken ``copies`` times each; where
+    equal rows are taken unlike times there is an entry for each number.  The table
+    of targets has a row per source and is left to Spark's broadcast limit.
     """
     sized = stage(with_sizes(docs), "sized")
     aims = stage(targets(sized, weights, most), "targets")
@@ -150,7 +171,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = 3.0,
     shares = aims.select(F.col("source").alias("_source"), factor.alias("factor"))
     row = F.struct(*_ROW).alias("row")
     units = sized.groupBy(*_SIZED).agg(F.count("*").alias("rows"))
-    split = units.join(shares, same).select(row, F.floor("factor").alias("whole"), (F.col("factor") - F.floor("factor")).alias("part"))
+    parted = units.join(shares, same).withColumns({"whole": F.floor("factor"), "part": F.col("factor") - F.floor("factor")})
+    split = _among_equals(parted).select(row, "whole", "part")
     # texts without words weigh nothing: they have no part to round
     bare = split.where("row.size = 0").select("row", "whole", F.lit(0.0).alias("part"), F.lit(False).alias("left"))
     rest = split.where("row.size > 0")
@@ -186,16 +208,46 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = 3.0,
     return taken.join(final, same).drop("_source")
 
 
+#: parts in which equal rows are numbered
+_PARTS = 4_096
+
+
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = 3.0, seed: int = 1) -> DataFrame:
     """``docs`` with every row as often as the mix takes it."""
-    taken = mix(docs, weights, most, seed).where("copies > 0")
-    names = {c: unused(docs, f"_{c}") for c in ("doc_id", "source", "mark", "copies", "copy")}
-    key = stage(taken.select(*[F.col(c).alias(names[c]) for c in ("doc_id", "source", "mark", "copies")]), "copies")
+    taken = mix(docs, weights, most, seed)
+    names = {c: unused(docs, f"_{c}") for c in ("doc_id", "source", "mark", "rows", "copies", "copy", "tie", "part", "number", "before")}
+    sums = F.sum("rows").alias(names["rows"]), F.sum(F.col("rows") * F.col("copies")).alias(names["copies"])
+    unit = [F.col(c).alias(names[c]) for c in ("doc_id", "source", "mark")]
+    key = stage(taken.groupBy(*unit).agg(*sums).where(F.col(names["copies"]) > 0), "copies")
     same = _mark() == F.col(names["mark"])
     for c in ("doc_id", "source"):
         same = same & F.col(c).eqNullSafe(F.col(names[c]))
-    times = F.sequence(F.lit(1).cast("long"), names["copies"])
-    return docs.join(small(key), same).withColumn(names["copy"], F.explode(times)).select(*docs.columns)
+
+    def repeated(rows: DataFrame, times: Column) -> DataFrame:
+        every = F.sequence(F.lit(1).cast("long"), times)
+        return rows.withColumn(names["copy"], F.explode(F.when(times > 0, every))).select(*docs.columns)
+
+    # the copies of a unit of n rows fall to them evenly, so that equal shares need no numbers
+    rows, copies = F.col(names["rows"]), F.col(names["copies"])
+    even = copies % rows == 0
+    whole = repeated(docs.join(small(key.where(even)), same), F.floor(copies / rows))
+    uneven = key.where(~even)
+    if uneven.isEmpty():
+        return whole
+    part = F.pmod(F.xxhash64(F.col(names["tie"])), F.lit(_PARTS))
+    tied = docs.join(small(uneven), same).withColumn(names["tie"], F.monotonically_increasing_id())
+    tied = stage(tied.withColumn(names["part"], part), "equals")
+    units = [names[c] for c in ("doc_id", "source", "mark")]
+    counts = tied.groupBy(*units, names["part"]).count()
+    before = F.sum("count").over(Window.partitionBy(*units).orderBy(names["part"]).rowsBetween(Window.unboundedPreceding, -1))
+    twin = {c: unused(docs, f"{c}_") for c in (*units, names["part"])}
+    starts = counts.select(*[F.col(c).alias(t) for c, t in twin.items()], F.coalesce(before, F.lit(0)).alias(names["before"]))
+    within = F.row_number().over(Window.partitionBy(*units, names["part"]).orderBy(names["tie"]))
+    meet = [F.col(c).eqNullSafe(F.col(t)) for c, t in twin.items()]
+    numbered = tied.withColumn(names["number"], within).join(small(stage(starts, "starts")), meet)
+    number = F.col(names["before"]) + F.col(names["number"])
+    times = F.floor(number * copies / rows) - F.floor((number - 1) * copies / rows)
+    return whole.unionByName(repeated(numbered, times))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

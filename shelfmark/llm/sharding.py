@@ -8,13 +8,15 @@ near equal in bytes.
 
 Medians are found by digits: bytes are summed by a dimension's value, and only
 where the cut falls inside one value by the text's checksum, then by the row's
-hash.  The sums have a bounded number of rows for each box, and no row is ranked
-or collected.  Equal texts have equal checksums and so stay together unless a cut
-must fall among them.
+hash, then among rows alike in all of these by a running digit.  The sums have a
+bounded number of rows for each box, and no row is ranked or collected.  Equal
+texts have equal checksums and so stay together unless a cut must fall among them.
+The running digit follows the order of reading: which of several equal rows lies
+in which shard may differ where the input is split differently.
 
 Defined results: a null text has 0 bytes and the checksum of no bytes; null
-language and source are values like any other; repeated rows are placed each; an
-empty table has no shards; with fewer rows than shards some shards stay empty.
+language and source are values like any other; repeated rows are placed each, and
+cuts fall among them as among others; an empty table has no shards; with fewer rows than shards some shards stay empty.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ def metadata() -> list[Column]:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, text_crc32, at, crc_digit, row_digit): what the tree needs."""
+    """(doc_id, size, text_crc32, at, crc_digit, row_digit, tie_digit): what the tree needs."""
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     rows = docs.select(
         "doc_id",
@@ -53,6 +55,7 @@ def measured(docs: DataFrame) -> DataFrame:
         F.array(*metadata()).alias("at"),
         F.pmod(F.col("text_crc32"), F.lit(_DIGITS)).alias("crc_digit"),
         F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(_DIGITS)).alias("row_digit"),
+        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(_DIGITS)).alias("tie_digit"),
     )
 
 
@@ -112,19 +115,20 @@ def kd_shards(rows: DataFrame, shards: int) -> DataFrame:
         cut1 = small(stage(_cut_of_digit(inside0.select("box", "size", "crc_digit", "base", "goal"), "crc_digit", False), "cuts"))
         at1 = cut1.select("box", F.col("cut").alias("cut1"), F.col("base").alias("base1"))
         inside1 = inside0.drop("base").join(at1, "box").where("crc_digit = cut1").withColumnRenamed("base1", "base")
-        cut2 = small(stage(_cut_of_digit(inside1.select("box", "size", "row_digit", "base", "goal"), "row_digit", True), "cuts"))
-        at2 = cut2.select("box", F.col("cut").alias("cut2"))
-        cuts = small(stage(cut0.select("box", "dim", F.col("cut").alias("cut0")).join(at1.drop("base1"), "box").join(at2, "box"), "cuts"))
+        cut2 = small(stage(_cut_of_digit(inside1.select("box", "size", "row_digit", "base", "goal"), "row_digit", False), "cuts"))
+        at2 = cut2.select("box", F.col("cut").alias("cut2"), F.col("base").alias("base2"))
+        inside2 = inside1.drop("base").join(at2, "box").where("row_digit = cut2").withColumnRenamed("base2", "base")
+        cut3 = _cut_of_digit(inside2.select("box", "size", "tie_digit", "base", "goal"), "tie_digit", True)
+        at3 = cut3.select("box", F.col("cut").alias("cut3"))
+        digits = at1.drop("base1").join(at2.drop("base2"), "box").join(at3, "box")
+        cuts = small(stage(cut0.select("box", "dim", F.col("cut").alias("cut0")).join(digits, "box"), "cuts"))
         placed = rows.join(cuts, "box", "left")
-        low = (value < F.col("cut0")) | (
-            (value == F.col("cut0"))
-            & ((F.col("crc_digit") < F.col("cut1")) | ((F.col("crc_digit") == F.col("cut1")) & (F.col("row_digit") <= F.col("cut2"))))
-        )
+        low = F.struct(value, "crc_digit", "row_digit", "tie_digit") <= F.struct("cut0", "cut1", "cut2", "cut3")
         half = F.floor(F.col("shards") / 2).cast("int")
         single = F.col("shards") == 1
         box = F.when(single | low, F.col("box")).otherwise(F.col("box") + half)
         count = F.when(single, 1).when(low, half).otherwise(F.col("shards") - half)
-        rows = stage(placed.withColumns({"box": box, "shards": count}).drop("dim", "cut0", "cut1", "cut2"), "boxes")
+        rows = stage(placed.withColumns({"box": box, "shards": count}).drop("dim", "cut0", "cut1", "cut2", "cut3"), "boxes")
         boxes = {n for b in boxes for n in ((b // 2, b - b // 2) if b > 1 else (1,))}
     return rows.drop("shards").withColumnRenamed("box", "shard")
 
@@ -136,11 +140,11 @@ def with_slots(rows: DataFrame, shards: int) -> DataFrame:
     precedes a part is summed over the parts' counts.
     """
     parts = max(16, -(-rows.count() // (shards * 100_000)))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", "tie_digit"), F.lit(parts)))
     counts = rows.groupBy("shard", "part").count()
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    order = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32")
+    order = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "tie_digit")
     numbered = rows.withColumn("within", F.row_number().over(order))
     joined = numbered.join(small(stage(offsets, "offsets")), ["shard", "part"])
     return joined.withColumn("slot", (F.col("before") + F.col("within") - 1).cast("long")).drop("part", "before", "within")
