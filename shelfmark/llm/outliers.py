@@ -32,7 +32,22 @@ from .staging import stage
 from .statistics import BASE, base_statistics, ratios
 from .words import by_slices
 
-VECTOR = ("word_length", "symbols", "dup_lines", "repeats", "digits", "capitals", "stops", "commas", "others")
+#: statistics and their units: the least standard deviation that a group is taken to
+#: have.  Most texts have no symbol, digit or repeated line at all, and a spread near 0
+#: would reject each text that has one.
+UNITS = {
+    "word_length": 0.15,  # of the logarithm
+    "symbols": 0.05,  # a word
+    "dup_lines": 0.1,
+    "repeats": 0.05,
+    "digits": 0.04,
+    "capitals": 0.03,  # of the square root, as the next two
+    "stops": 0.03,
+    "commas": 0.03,
+    "others": 0.05,
+}
+VECTOR = tuple(UNITS)
+_ROOTS = ("capitals", "stops", "commas")
 _D = len(VECTOR)
 #: cells of the grid of distances, on a log scale
 _GRID = 2000
@@ -42,9 +57,9 @@ _GRID = 2000
 class Settings:
     share: float = 0.75  # of a group's rows, in the concentration steps
     steps: int = 4
-    cutoff: float = 1e-7  # share of a normal cloud that may lie beyond the limit
+    cutoff: float = 1e-3  # share of a normal cloud that may lie beyond the limit
     least: int = 300
-    floor: float = 0.08  # least standard deviation of a transformed statistic
+    floor: float = 1.0  # least standard deviation, in units
     min_words: int = 50
     max_repeat_percent: int = 50
 
@@ -58,14 +73,15 @@ def chi2_quantile(p: float, d: int) -> float:
 
 
 def transformed(values: dict[str, np.ndarray]) -> np.ndarray:
-    """Statistics as rows of a matrix: logs of lengths, square roots of shares.
+    """Statistics as rows of a matrix, in their units: the logarithm of a length, the
+    square roots of shares that all texts have, other shares as they are."""
 
-    Repeats count half: good texts carry repeated lines too, and the fixed limits
-    see to those that hold little else."""
-    columns = [np.log(np.maximum(values["word_length"], 0.1))]
-    half = {"dup_lines": 0.5, "repeats": 0.5}
-    columns += [half.get(name, 1.0) * np.sqrt(np.maximum(values[name], 0)) for name in VECTOR[1:]]
-    return np.stack(columns, axis=1)
+    def column(name: str) -> np.ndarray:
+        if name == "word_length":
+            return np.log(np.maximum(values[name], 0.1))
+        return np.sqrt(np.maximum(values[name], 0)) if name in _ROOTS else values[name]
+
+    return np.stack([column(name) / unit for name, unit in UNITS.items()], axis=1)
 
 
 def measured(docs: DataFrame, settings: Settings) -> DataFrame:
@@ -185,12 +201,14 @@ def estimates(rows: DataFrame, settings: Settings) -> DataFrame:
     """(key, centre, inverse) by minimum covariance determinant.
 
     ``rows``: key, x.  Starts: medians with the spread around them, and all rows.
-    The covariance is scaled so that its median distance is that of a normal cloud.
+    The covariance is widened until its median distance is not above that of a normal
+    cloud.  It is not narrowed: where a spread is below its unit the unit counts, and
+    distances are small by intent.
     """
     medians = rows.groupBy("key").agg(*[F.percentile_approx(F.get("x", F.lit(i)), 0.5, 1000).alias(f"m{i}") for i in range(_D)])
     medians = stage(medians.select("key", F.array(*[f"m{i}" for i in range(_D)]).alias("middle")), "medians")
     # around the medians, with far values drawn in: unlike a variance this is not swayed
-    drawn = F.transform(F.arrays_zip("x", "middle"), lambda v: v["middle"] + F.least(F.greatest(v["x"] - v["middle"], F.lit(-0.25)), F.lit(0.25)))
+    drawn = F.transform(F.arrays_zip("x", "middle"), lambda v: v["middle"] + F.least(F.greatest(v["x"] - v["middle"], F.lit(-3.0)), F.lit(3.0)))
     first = _moments(rows.join(medians, "key").withColumn("x", drawn), F.lit(True))
     starts = [stage(_solve(first, settings, spherical=True), "model"), stage(_solve(_moments(rows, F.lit(True)), settings), "model")]
     ends = []
@@ -211,7 +229,6 @@ def _scaled(rows: DataFrame, model: DataFrame) -> DataFrame:
     near = rows.join(model, "key").withColumn("cell", _cell(_distance("x", F.col("centre"), F.col("inverse"))))
     middle = _limits(near.select("key", "cell"), 0.5)
     factor = float(chi2_quantile(0.5, _D)) / F.exp((F.col("limit") - 600) / 100.0)
-    # never narrower than estimated
     wide = F.least(factor, F.lit(1.0))
     scaled = model.join(middle, "key").select("key", "centre", F.transform("inverse", lambda v: v * wide).alias("inverse"))
     return stage(scaled, "model")
