@@ -11,18 +11,20 @@ Findings are given by place and digest, not in clear.
 Defined results: a null or empty text has no candidates; a candidate found several
 times in a text is a finding at each place, judged by what is beside it there; an
 equals sign within a run assigns, so what follows it is a candidate of its own (one
-or two at the end are padding and belong to it); repeated rows are searched each; a null path gives no hints; without labelled findings of both kinds every
-score is the share of secrets among the labels, or 0.5 without any.
+or two at the end are padding and belong to it); repeated rows are searched each; a null
+path gives no hints; without labelled findings of both kinds every score is the share of
+secrets among the labels, or 0.5 without any.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .staging import small, stage
@@ -50,30 +52,46 @@ _RUN = (
 _NAMED = r"(?i)(?:token|secret|passw|pwd|api|auth|key|credential)"
 _SAMPLE = r"(?i)(?:example|sample|dummy|test|placeholder|xxxx|fake)"
 _BEFORE, _AFTER = 48, 24
+#: a name and the sign that assigns, at the end of what is before a candidate
+_ASSIGNS = r"""[A-Za-z0-9_.\-]*["']?\s*[=:]\s*["']?$"""
+#: neighbouring words are told apart by the bucket of their hash
+_BUCKETS = 16
+#: features that define the labels of findings that label themselves
+_DEFINING = ("f_named", "f_assigned", "f_quoted", "f_sample_near")
 
 
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
-    """(doc_id, path, candidate, start, before, after): one row per place of a candidate."""
+    """(doc_id, path, candidate, start, before, after): one row per place of a candidate.
+
+    A text is cut once into runs and what lies between; the contexts are put together from
+    the neighbouring pieces, and places are running sums of their lengths, so a text takes
+    time in proportion to its length, however many candidates it has."""
     some = docs.select("doc_id", F.col(path).cast("string").alias("path"), "text").where(F.col("text").rlike(_RUN))
     # one more piece between the runs than there are runs
     runs, between = F.regexp_extract_all("text", F.lit(_RUN), F.lit(0)), F.split("text", _RUN)
-    cut = some.select("*", runs.alias("runs"), between.alias("between"))
-    steps = F.zip_with("between", "runs", lambda p, r: F.length(p) + F.coalesce(F.length(r), F.lit(0)))
-    ends = F.aggregate(steps, F.array(F.lit(0)), lambda found, n: F.concat(found, F.array(F.element_at(found, -1) + n)))
-    placed = cut.select("doc_id", "path", "text", "runs", ends.alias("ends"))
-    each = placed.select("doc_id", "path", "text", "ends", F.posexplode("runs").alias("number", "candidate"))
-    each = each.withColumn("start", F.get("ends", F.col("number") + 1) - F.length("candidate"))
+    cut = some.select("doc_id", "path", F.monotonically_increasing_id().alias("text_number"), runs.alias("runs"), between.alias("between"))
+
+    def entry(run: Column, i: Column) -> Column:
+        run_at, between_at = lambda k: F.get("runs", i + k), lambda k: F.get("between", i + k)
+        # so many runs are longer than the context
+        back, on = -(-_BEFORE // LONG_WITH_DIGIT), -(-_AFTER // LONG_WITH_DIGIT)
+        before = [piece for k in range(-back, 0) for piece in (run_at(k), between_at(k + 1))]
+        after = [piece for k in range(1, on + 1) for piece in (between_at(k), run_at(k))]
+        return F.struct(
+            run.alias("candidate"),
+            F.right(F.concat_ws("", *before), F.lit(_BEFORE)).alias("before"),
+            F.left(F.concat_ws("", *after), F.lit(_AFTER)).alias("after"),
+            (F.length(between_at(0)) + F.length(run)).alias("step"),
+        )
+
+    numbered = cut.select("doc_id", "path", "text_number", F.posexplode(F.transform("runs", entry)).alias("number", "entry"))
+    each = numbered.select("doc_id", "path", "text_number", "number", "entry.*")
+    # a group is the candidates of one text
+    end = F.sum("step").over(Window.partitionBy("text_number").orderBy("number").rowsBetween(Window.unboundedPreceding, 0))
     n = F.length("candidate")
+    each = each.withColumn("start", (end - n).cast("int"))
     each = each.where((n >= LONG) | ((n >= LONG_WITH_DIGIT) & F.col("candidate").rlike("[0-9]")))
-    begin = F.greatest(F.col("start") - _BEFORE, F.lit(0))
-    return each.select(
-        "doc_id",
-        "path",
-        "candidate",
-        "start",
-        F.substring("text", begin + 1, F.col("start") - begin).alias("before"),
-        F.substring("text", F.col("start") + F.length("candidate") + 1, F.lit(_AFTER)).alias("after"),
-    )
+    return each.select("doc_id", "path", "candidate", "start", "before", "after")
 
 
 def _count(pattern: str) -> Column:
@@ -101,41 +119,45 @@ def described(found: DataFrame, dictionary: DataFrame) -> DataFrame:
         "f_quoted": flag(F.col("after").rlike("^[\"']")),
         "f_sample_near": flag(F.concat("before", "after").rlike(_SAMPLE)),
     }
+    # the words beside it, without the name it is assigned to
+    beside = F.concat_ws(" ", F.regexp_replace("before", _ASSIGNS, " "), "after")
+    buckets = F.transform(F.regexp_extract_all(F.lower(beside), F.lit(r"\p{L}{2,}"), F.lit(0)), lambda w: F.pmod(F.xxhash64(w), F.lit(_BUCKETS)))
+    found = found.withColumn("_buckets", buckets).withColumn("_key", F.unhex(F.md5(F.col("candidate").cast("binary"))))
+    features |= {f"f_beside_{k}": F.array_contains("_buckets", F.lit(k).cast("long")).cast("double") for k in range(_BUCKETS)}
     # the words of a candidate are looked up once, wherever and however often it is found
     split = F.explode_outer(F.expr("regexp_extract_all(lower(candidate), '[a-z]{4,}', 0)")).alias("word")
-    inside = found.select("candidate").distinct().select("candidate", split)
+    inside = found.select("_key", "candidate").dropDuplicates(["_key"]).select("_key", F.length("candidate").alias("length"), split)
     words = dictionary.select(F.lower("word").alias("word")).where(F.length("word") >= 4).distinct().withColumn("known", F.lit(True))
     joined = inside.join(small(stage(words, "dictionary")), "word", "left")
-    covered = F.sum(F.when(F.col("known"), F.length("word")).otherwise(0)) / F.first(F.length("candidate").cast("double"))
-    shares = stage(joined.groupBy("candidate").agg(covered.alias("f_dictionary")), "covered")
-    return found.withColumns(features).join(small(shares), "candidate").select(*found.columns, *features, "f_dictionary")
+    covered = F.sum(F.when(F.col("known"), F.length("word")).otherwise(0)) / F.first("length").cast("double")
+    shares = stage(joined.groupBy("_key").agg(covered.alias("f_dictionary")), "covered")
+    whole = found.withColumns(features).join(small(shares), "_key")
+    return whole.select(*[c for c in found.columns if c not in ("_key", "_buckets")], *features, "f_dictionary")
 
 
 def features_of(rows: DataFrame) -> list[str]:
     return [c for c in rows.columns if c.startswith("f_")]
 
 
-def checked_number(digits: Column) -> Column:
-    """Has a string of digits the check digit of card numbers?"""
-    backwards = F.split(F.reverse(digits), "")
-    doubled = F.transform(backwards, lambda d, i: F.when(i % 2 == 0, d.cast("int")).otherwise(d.cast("int") * 2 - F.when(d.cast("int") > 4, 9).otherwise(0)))
-    return F.aggregate(doubled, F.lit(0), lambda a, b: a + b) % 10 == 0
-
-
 def labelled(rows: DataFrame) -> DataFrame:
-    """Findings that label themselves: a value assigned to a name that says so is a
-    secret (1); numbers with a check digit, words of a dictionary and values beside
-    words such as ``example`` are none (0).  All others stay unlabelled."""
-    digits = F.col("f_digits") == 1.0
-    card = F.when(digits, checked_number(F.col("candidate"))).otherwise(False)
-    none = card | (F.col("f_dictionary") > 0.5) | (F.col("f_sample_near") > 0) | ((F.col("f_digits") == 0.0) & (F.col("f_case") == 0.0))
-    secret = (F.col("f_named") > 0) & (F.col("f_assigned") > 0)
-    return rows.withColumn("label", F.when(none, 0.0).when(secret, 1.0)).where("label is not null")
-
-
-def scored(rows: DataFrame, findings: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``rows`` with ``score``, by a forest trained on ``findings`` (features, label)."""
-    names = features_of(rows)
+    """Findings that label themselves by what stands before them: a value assigned to a
+    name that says so is a secret (1); one that is assigned to nothing, with no such name
+    before it, counts as none until the forest says otherwise (0).  All others, and values
+    beside words such as ``example``, are left out.  No feature that says any of this may be
+    learned from these labels."""
+    named, assigned = F.col("f_named") > 0, F.col("f_assigned") > 0
+    label = F.when(F.col("f_sample_near") > 0, None).when(named & assigned, 1.0).when(~named & ~assigned, 0.0)
+    return rows.withColumn("label", label).where("label is not null")
+
+
+def scored(rows: DataFrame, findings: DataFrame, settings: Settings = Settings(), without: Sequence[str] = (), open_zeros: bool = False) -> DataFrame:
+    """``rows`` with ``score``, by a forest trained on ``findings`` (features, label), that
+    does not see the features ``without``.
+
+    ``open_zeros``: a label of 0 only says that nothing speaks for a secret.  The forest
+    then tells how likely a finding is to have the label 1; that, divided by how likely
+    it is for those that have it, is how likely it is to be a secret."""
+    names = [c for c in features_of(rows) if c not in without]
     order = [F.xxhash64("candidate", "before"), *names, "label"]
     sample = stage(findings.select("candidate", "before", *names, "label").orderBy(*order).limit(settings.sample), "labelled")
     count, mean, low, high = sample.agg(F.count("*"), F.avg("label"), F.min("label"), F.max("label")).first()
@@ -146,14 +168,18 @@ def scored(rows: DataFrame, findings: DataFrame, settings: Settings = Settings()
         featuresCol="_features", labelCol="label", numTrees=settings.trees, maxDepth=settings.depth, seed=settings.seed, probabilityCol="_p"
     )
     model = forest.fit(to_vector.transform(sample).coalesce(8))
+    chance = F.get(vector_to_array("_p"), F.lit(1))
+    whole = 1.0
+    if open_zeros:
+        whole = model.transform(to_vector.transform(sample.where("label = 1"))).agg(F.avg(chance)).first()[0]
     judged = model.transform(to_vector.transform(rows))
-    return judged.withColumn("score", F.get(vector_to_array("_p"), F.lit(1))).select(*rows.columns, "score")
+    return judged.withColumn("score", F.least(chance / F.lit(float(whole)), F.lit(1.0))).select(*rows.columns, "score")
 
 
 def scan(docs: DataFrame, dictionary: DataFrame, findings: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """(doc_id, start, length, digest, score, is_secret) of every candidate."""
     rows = stage(described(stage(candidates(docs), "candidates"), dictionary), "described")
-    judged = scored(rows, labelled(rows) if findings is None else findings)
+    judged = scored(rows, labelled(rows), without=_DEFINING, open_zeros=True) if findings is None else scored(rows, findings)
     return judged.select(
         "doc_id",
         F.col("start").cast("long").alias("start"),
