@@ -361,6 +361,29 @@ class _Tree:
                 return self.labels
             self.labels[:] = up
 
+    def possible(self, level: int, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+        """Do the sizes and bitmaps of nodes a[i] and b[i] allow a link below them?"""
+        maps, low, high, hidden = self.levels[level]
+        ok = (high[a] * 100 >= low[b] * percent) & (high[b] * 100 >= low[a] * percent)
+        sized = np.flatnonzero(ok)
+        # wide bitmaps are taken a few at a time
+        step = max(1, _WORDS // maps.shape[1])
+        for start in range(0, len(sized), step):
+            some = sized[start : start + step]
+            x, y = a[some], b[some]
+            overlap = np.bitwise_count(maps[x] & maps[y]).sum(1).astype(np.int64) + np.minimum(hidden[x], hidden[y])
+            # an overlap o of sizes x, y links when 100 o >= p (x + y - o)
+            ok[some] = (100 + percent) * overlap >= percent * (low[x] + low[y])
+        return ok
+
+    def below(self, level: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of children of the node pairs (a[i], b[i]), each pair once."""
+        count = len(self.levels[level - 1][0])
+        x = np.repeat(a * _FAN, _FAN * _FAN) + np.tile(np.repeat(np.arange(_FAN), _FAN), len(a))
+        y = np.repeat(b * _FAN, _FAN * _FAN) + np.tile(np.arange(_FAN), len(b) * _FAN)
+        ok = (x < count) & (y < count) & (x <= y)
+        return x[ok], y[ok]
+
     def uniform(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each node, the smallest and the largest component below."""
         low = high = self.roots().copy()
@@ -379,9 +402,7 @@ def tree_join(sets: list[np.ndarray], percent: int, sides: np.ndarray | None = N
     compared only with those of the other.
     """
     count = len(sets)
-    order = np.lexsort((np.arange(count), [len(s) for s in sets], [int(s[0]) for s in sets]))
-    if sides is not None:
-        order = order[np.argsort(sides[order], kind="stable")]
+    order = _order(sets, sides)
     place = np.empty(count, np.int64)
     place[order] = np.arange(count)
     labels = np.arange(count)
@@ -424,27 +445,13 @@ def _walk(tree: _Tree, percent: int, side: np.ndarray | None, linked) -> None:
     Pairs the bitmaps allow are put to ``linked`` unless the bitmaps are exact."""
     count = len(tree.labels)
 
-    def possible(level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        maps, low, high, hidden = tree.levels[level]
-        ok = (high[a] * 100 >= low[b] * percent) & (high[b] * 100 >= low[a] * percent)
-        sized = np.flatnonzero(ok)
-        # wide bitmaps are taken a few at a time
-        step = max(1, _WORDS // maps.shape[1])
-        for start in range(0, len(sized), step):
-            some = sized[start : start + step]
-            x, y = a[some], b[some]
-            overlap = np.bitwise_count(maps[x] & maps[y]).sum(1).astype(np.int64) + np.minimum(hidden[x], hidden[y])
-            # an overlap o of sizes x, y links when 100 o >= p (x + y - o)
-            ok[some] = (100 + percent) * overlap >= percent * (low[x] + low[y])
-        return ok
-
     def compare(a: np.ndarray, b: np.ndarray) -> None:
         roots = tree.roots()
         live = roots[a] != roots[b]
         if side is not None:
             live &= side[a] != side[b]
         a, b = a[live], b[live]
-        ok = possible(0, a, b)
+        ok = tree.possible(0, a, b, percent)
         for i, j in zip(a[ok].tolist(), b[ok].tolist()):
             x, y = tree.find(i), tree.find(j)
             if x != y and (tree.exact or linked(i, j)):
@@ -472,15 +479,64 @@ def _walk(tree: _Tree, percent: int, side: np.ndarray | None, linked) -> None:
         low, high = spans[level]
         same = (low[a] == high[a]) & (low[b] == high[b]) & (low[a] == low[b])
         a, b = a[~same], b[~same]
-        ok = possible(level, a, b)
+        ok = tree.possible(level, a, b, percent)
         a, b = a[ok], b[ok]
         if not len(a):
             continue
-        below = len(tree.levels[level - 1][0])
-        x = np.repeat(a * _FAN, _FAN * _FAN) + np.tile(np.repeat(np.arange(_FAN), _FAN), len(a))
-        y = np.repeat(b * _FAN, _FAN * _FAN) + np.tile(np.arange(_FAN), len(b) * _FAN)
-        ok = (x < below) & (y < below) & (x <= y)
-        stack.append((level - 1, x[ok], y[ok]))
+        stack.append((level - 1, *tree.below(level, a, b)))
+
+
+def _order(sets: list[np.ndarray], sides: np.ndarray | None) -> np.ndarray:
+    """Sets in the order of a tree's leaves: like ones close to each other, side by side."""
+    order = np.lexsort((np.arange(len(sets)), [len(s) for s in sets], [int(s[0]) for s in sets]))
+    return order if sides is None else order[np.argsort(sides[order], kind="stable")]
+
+
+def link_counts(sets: list[np.ndarray], weights: np.ndarray, percent: int, sides: np.ndarray | None = None) -> np.ndarray:
+    """Of each set, the weights of the others it links with, added up; the tree is walked
+    with itself, and every pair that sizes and bitmaps allow is compared.
+
+    With ``sides``, only sets of the other side count."""
+    order = _order(sets, sides)
+    inside = [sets[i] for i in order]
+    weight = np.asarray(weights, np.int64)[order]
+    side = None if sides is None else sides[order]
+    tree = _Tree.of_sets(inside, np.arange(len(sets)))
+    counts = np.zeros(len(sets), np.int64)
+    top = len(tree.levels) - 1
+    stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    if side is not None:
+        # smallest and largest side below each node: a pair of nodes of one side has no pair to count
+        spans = [(side, side)]
+        for _ in tree.levels[1:]:
+            at = np.arange(0, len(spans[-1][0]), _FAN)
+            spans.append((np.minimum.reduceat(spans[-1][0], at), np.maximum.reduceat(spans[-1][1], at)))
+    while stack:
+        level, a, b = stack.pop()
+        if len(a) > _PAIRS:
+            stack.append((level, a[_PAIRS:], b[_PAIRS:]))
+            a, b = a[:_PAIRS], b[:_PAIRS]
+        if level == 0:
+            a, b = a[a != b], b[a != b]
+        if side is not None:
+            low, high = spans[level]
+            one = (low[a] == high[a]) & (low[b] == high[b]) & (low[a] == low[b])
+            a, b = a[~one], b[~one]
+        ok = tree.possible(level, a, b, percent)
+        a, b = a[ok], b[ok]
+        if not len(a):
+            continue
+        if level:
+            stack.append((level - 1, *tree.below(level, a, b)))
+            continue
+        if not tree.exact:
+            same = np.fromiter((_linked(inside[i], inside[j], percent) for i, j in zip(a.tolist(), b.tolist())), bool, len(a))
+            a, b = a[same], b[same]
+        np.add.at(counts, a, weight[b])
+        np.add.at(counts, b, weight[a])
+    found = np.empty(len(sets), np.int64)
+    found[order] = counts
+    return found
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -493,9 +549,11 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 _MEMBERS = "hood long, part long, other long, side int, doc_id long, label long"
 
 
-def _join_groups(rows: DataFrame, size: int, percent: int) -> DataFrame:
+def _join_groups(rows: DataFrame, size: int, percent: int, counted: bool = False) -> DataFrame:
     """Joins the sets of each (hood, part, other); gives (doc_id, label), where the
-    label is the smallest label among the sets connected with it there.
+    label is the smallest label among the sets connected with it there.  With
+    ``counted`` it gives (digest, n) instead: the weights (``label``) of the sets that
+    link with it there, added up.
 
     ``rows``: hood, part, other, side, doc_id, label, digest, text; a text whose set has
     another digest is another text of that id and left out.  A group is at most two
@@ -512,20 +570,26 @@ def _join_groups(rows: DataFrame, size: int, percent: int) -> DataFrame:
                     columns = (some.column(c).to_pylist() for c in (*names, "digest"))
                     for *row, digest, members in zip(*columns, sets):
                         if digest_of(members) == digest:
-                            yield (*row, members)
+                            yield (*row, members, digest)
 
         for _, group in groupby(each(), key=lambda r: r[:3]):
             group = list(group)
             labels = np.array([r[5] for r in group], np.int64)
             two = group[0][1] != group[0][2]
             sides = np.array([r[3] for r in group]) if two else None
+            if counted:
+                n = link_counts([r[6] for r in group], labels, percent, sides)
+                some = np.flatnonzero(n)
+                digests = pa.array([group[i][7] for i in some.tolist()], pa.binary())
+                yield pa.record_batch([digests, pa.array(n[some])], ["digest", "n"])
+                continue
             found = tree_join([r[6] for r in group], percent, sides, labels)
             least = np.full(len(group), np.iinfo(np.int64).max)
             np.minimum.at(least, found, labels)
             yield pa.record_batch([pa.array([r[4] for r in group], pa.int64()), pa.array(labels), pa.array(least[found])], ["doc_id", "label", "found"])
         give_back()
 
-    return spread.mapInArrow(work, "doc_id long, label long, found long")
+    return spread.mapInArrow(work, "digest binary, n long" if counted else "doc_id long, label long, found long")
 
 
 def _chunked(members: DataFrame, percent: int, docs_most: int, shingles_most: int) -> DataFrame:
@@ -556,14 +620,20 @@ def similar(
     percent: int = 80,
     chunk_docs: int = CHUNK_DOCS,
     chunk_shingles: int = CHUNK_SHINGLES,
+    links: bool = False,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, rows) of every document of ``docs`` (doc_id,
-    text); ``rows`` counts the rows of the id."""
+    text); ``rows`` counts the rows of the id.
+
+    With ``links`` also ``n_links``, the number of documents whose set links with the
+    document's own, equal sets included.  All pairs of unlike sets of a neighbourhood
+    that its trees do not rule out are compared for it.  Of an id with several sets the
+    links of all sets are added up."""
     with scratch(docs.sparkSession):
-        return stage(_similar(docs, shingle, percent, chunk_docs, chunk_shingles), "similar", keep=True)
+        return stage(_similar(docs, shingle, percent, chunk_docs, chunk_shingles, links), "similar", keep=True)
 
 
-def _similar(docs: DataFrame, shingle: int, percent: int, chunk_docs: int, chunk_shingles: int) -> DataFrame:
+def _similar(docs: DataFrame, shingle: int, percent: int, chunk_docs: int, chunk_shingles: int, links: bool) -> DataFrame:
     texts = docs.select("doc_id", "text")
     sets = stage(_sets(texts, shingle, percent), "sets")
     named = sets.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
@@ -595,7 +665,34 @@ def _similar(docs: DataFrame, shingle: int, percent: int, chunk_docs: int, chunk
     joined = sets.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.count("*").alias("rows"))
     whole = _whole(named, classes, found, bool(large.limit(1).count()) or _repeated(named))
     joined = joined.join(whole, F.col("doc_id") == F.col("node"), "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "rows")
+    joined = joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "rows")
+    if not links:
+        return joined
+    release(docs.sparkSession)
+    counts = _link_counts(named, members, lambda rows: _join_groups(with_text(rows), shingle, percent, counted=True))
+    return joined.join(counts.withColumnRenamed("doc_id", "node"), F.col("doc_id") == F.col("node"), "left").select(
+        *joined.columns, F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0).cast("long"))).alias("n_links")
+    )
+
+
+def _link_counts(named: DataFrame, members: DataFrame, count) -> DataFrame:
+    """(doc_id, n_links) of the documents with a set: those with the same set, and those of
+    the sets that link with it.  A chunk is compared with itself and with every chunk of
+    its band and of the next one; what comes out is a number for each set and pair of
+    chunks, not the pairs."""
+    copies = named.select("doc_id", "digest").distinct()
+    weights = stage(copies.groupBy("digest").agg(F.count("*").alias("weight")), "weights")
+    weighed = stage(members.join(weights, "digest").withColumnRenamed("weight", "label"), "weighed")
+    columns = ["hood", "part", "other", "side", "doc_id", "label", "digest"]
+    pairs = weighed.select("*", F.col("part").alias("other"), F.lit(0).alias("side")).select(*columns)
+    found = stage(count(pairs), "counts")
+    large = weighed.where("large")
+    if large.limit(1).count():
+        found = found.unionByName(stage(count(_chunk_pairs(large, large)), "counts"))
+    linked = found.groupBy("digest").agg(F.sum("n").alias("n"))
+    each = copies.join(weights.join(linked, "digest", "left"), "digest")
+    n = F.sum(F.col("weight") - 1 + F.coalesce("n", F.lit(0)))
+    return each.groupBy("doc_id").agg(n.cast("long").alias("n_links"))
 
 
 def _repeated(named: DataFrame) -> bool:
@@ -642,11 +739,20 @@ def _across(large: DataFrame, found: DataFrame, join, percent: int, chunk_docs:
     labels = stage(_labels(large, found), "labels")
     several = labels.groupBy("hood").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("hood")
     rest = labels.join(several, "hood", "left_semi")
+    crossed = join(_chunk_pairs(large, rest))
+    # components, not single sets, are what such a join connects
+    tied = crossed.select(F.col("label").alias("doc_id"), "label", "found")
+    return stage(found.unionByName(tied), "joined")
+
+
+def _chunk_pairs(large: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` once for each other chunk of their band and the next ones, as a group of
+    both chunks; ``large`` has all members of these neighbourhoods."""
     bands = large.select("hood", F.col("band").alias("mate_band"), F.col("parts").alias("mates")).distinct()
-    near = rest.withColumn("mate_band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    near = rows.withColumn("mate_band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     number = F.explode(F.sequence(F.lit(0).cast("long"), F.col("mates") - 1)).alias("number")
     mates = near.join(bands, ["hood", "mate_band"]).select("*", number).withColumn("mate", _chunk(F.col("mate_band"), F.col("number")))
-    pairs = mates.where("mate != part").select(
+    return mates.where("mate != part").select(
         "hood",
         F.least("part", "mate").alias("part"),
         F.greatest("part", "mate").alias("other"),
@@ -655,10 +761,6 @@ def _across(large: DataFrame, found: DataFrame, join, percent: int, chunk_docs:
         "label",
         "digest",
     )
-    crossed = join(pairs)
-    # components, not single sets, are what such a join connects
-    tied = crossed.select(F.col("label").alias("doc_id"), "label", "found")
-    return stage(found.unionByName(tied), "joined")
 
 
 def _labels(large: DataFrame, found: DataFrame) -> DataFrame:
@@ -692,4 +794,4 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4, percent=85)
+    return similar(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4, percent=85, links=True)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from shelfmark.llm import decontaminate, jaccard
@@ -32,6 +33,19 @@ def brute_components(rows, size, percent):
     return {i: find(i) for i in root}
 
 
+def brute_links(rows, size, percent):
+    """Number of documents that link with each id, equal sets included; of an id with
+    several sets the numbers are added up."""
+    sets = {(i, frozenset(sets_of(t, size))) for i, t in rows if i is not None}
+    counts = {i: 0 for i, _ in sets}
+    for n, (i, x) in enumerate(all_ := sorted(sets, key=lambda s: (s[0], sorted(s[1])))):
+        for j, y in all_[:n]:
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
+                counts[i] += 1
+                counts[j] += 1
+    return counts
+
+
 def corpus(seed):
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(300)]
@@ -55,13 +69,32 @@ def corpus(seed):
 def test_components_are_those_of_all_pairs(spark, seed, chunk, keys, monkeypatch):
     monkeypatch.setattr(jaccard, "KEY_SETS", keys)
     rows = corpus(seed)
+    # sets of their own under one id, which is then the first of several classes
+    rows += [(-1, " ".join(f"q{i}" for i in range(n, n + 40))) for n in (0, 1, 2, 30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = jaccard.similar(docs, 4, 85, chunk_docs=chunk).collect()
+    got = jaccard.similar(docs, 4, 85, chunk_docs=chunk, links=True).collect()
     want = brute_components(rows, 4, 85)
+    assert {r.doc_id: r.n_links for r in got if r.doc_id is not None} == brute_links(rows, 4, 85)
     assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == want
     assert len(got) == len({r[0] for r in rows})
 
 
+def test_link_counts_with_inexact_bitmaps(monkeypatch):
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(jaccard, "_MAX_BITS", 64)
+    bases = [rng.choice(10**6, n) for n in (30, 80, 300)]
+    sets = [np.unique(np.concatenate([rng.permutation(b)[rng.integers(0, 6) :], rng.choice(10**6, 3)])).astype(np.uint64) for b in bases for _ in range(60)]
+    weights, sides = rng.integers(1, 5, len(sets)), rng.integers(0, 2, len(sets))
+    for side in (None, sides):
+        want = np.zeros(len(sets), np.int64)
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                both = len(np.intersect1d(x, y))
+                if i != j and (side is None or side[i] != side[j]) and 100 * both >= 85 * (len(x) + len(y) - both):
+                    want[i] += weights[j]
+        assert want.any() and (jaccard.link_counts(sets, weights, 85, side) == want).all()
+
+
 def test_one_row_of_each_group_stays(spark):
     rows = corpus(5) + [(3, "quite another text of the same id as before it"), (None, "a text that has no id and no copy at all")]
     docs = spark.createDataFrame([(i, t, "x", "rep") for i, t in rows], "doc_id long, text string, node string, digest string")
