@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import blank_if_null, human_size
 from ..functions.display import or_else
+from .totals import total, total_type
 
 
 def catalog_totals(files: DataFrame) -> DataFrame:
     """File count and bytes of the whole catalog, one row."""
     return files.agg(
         F.count("*").alias("file_count"),
-        F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total_bytes"),
+        F.coalesce(total(F.col("size_bytes"), total_type(files)), F.lit(0)).alias("total_bytes"),
     )
 
 

@@ -149,6 +149,15 @@ def test_totals(small, make_disks):
     assert got == [("one", "d", "3.0 KB"), ("(unlabeled)", "", "2.9 KB"), ("(unlabeled)", "", "0 B")]
 
 
+def test_catalog_of_more_bytes_than_a_long(make_files):
+    files = make_files((1, "a", 2**63 - 1, None), (1, "b", 2**63 - 1, None), (2, "c", 3, None))
+    assert tuple(stats.catalog_totals(files).first()) == (3, 2**64 + 1)
+    # all sizes together just fit, or just do not
+    for more, kind in ((0, "bigint"), (1, "decimal(38,0)")):
+        found = stats.catalog_totals(make_files((1, "a", 2**62, None), (1, "b", 2**62 - 1 + more, None)))
+        assert (dict(found.dtypes)["total_bytes"], found.first()["total_bytes"]) == (kind, 2**63 - 1 + more)
+
+
 def test_known_paths(spark, small):
     asked = spark.createDataFrame([(r"C:\x!y", 1), ("nope", 2), (r"C:\x!y", 3)], "path string, nr int")
     got = {(r.nr, r.known) for r in search.known_paths(asked, small).collect()}
