@@ -21,7 +21,8 @@ def catalog_totals(files: DataFrame) -> DataFrame:
 def _with_totals(disks: DataFrame, files: DataFrame) -> DataFrame:
     # files are counted per disk before the join, which then has one row per
     # disk on either side: a disk holding most files costs nothing extra
-    per_disk = files.groupBy("disk_id").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("b"))
+    size = total(F.col("size_bytes"), total_type(files))
+    per_disk = files.groupBy("disk_id").agg(F.count("*").alias("n"), size.alias("b"))
     return disks.join(per_disk, "disk_id", "left").select(
         disks["*"],
         F.coalesce("n", F.lit(0)).alias("file_count"),

@@ -158,6 +158,14 @@ def test_catalog_of_more_bytes_than_a_long(make_files):
         assert (dict(found.dtypes)["total_bytes"], found.first()["total_bytes"]) == (kind, 2**63 - 1 + more)
 
 
+def test_disk_of_more_bytes_than_a_long(make_files, make_disks):
+    files = make_files((1, "a", 2**63 - 1, None), (1, "b", 2**63 - 1, None), (2, "c", 3, None))
+    disks = make_disks(*[{"disk_id": n, "volume_serial": f"S{n}"} for n in (1, 2, 3)])
+    assert [tuple(r)[3:] for r in stats.disk_stats(disks, files).collect()] == [(2, 2**64 - 2), (1, 3), (0, 0)]
+    got = [(r.total_bytes, r.size_human) for r in stats.list_disks(disks, files).collect()]
+    assert got == [(2**64 - 2, "16384.0 PB"), (3, "3 B"), (0, "0 B")]
+
+
 def test_known_paths(spark, small):
     asked = spark.createDataFrame([(r"C:\x!y", 1), ("nope", 2), (r"C:\x!y", 3)], "path string, nr int")
     got = {(r.nr, r.known) for r in search.known_paths(asked, small).collect()}
