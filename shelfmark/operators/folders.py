@@ -19,6 +19,7 @@ from ..functions import (
     under_folder,
 )
 from ..functions.paths import folder_of, join_segments, split_folder
+from .totals import total, total_type
 
 
 @dataclass(frozen=True)
@@ -143,7 +144,7 @@ def folder_rollup(files: DataFrame, sep: str = SEP) -> DataFrame:
     """
     direct = (
         files.groupBy("disk_id", folder_of(tidy_path("path", sep), sep).alias("direct"))
-        .agg(F.count("*").alias("n"), F.sum(F.coalesce("size_bytes", F.lit(0))).alias("b"))
+        .agg(F.count("*").alias("n"), total(F.coalesce("size_bytes", F.lit(0)), total_type(files)).alias("b"))
     )
     # files outside any folder have no ancestors and drop out here; a filter on
     # the folder would be pushed down and cut up every path a second time

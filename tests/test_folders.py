@@ -121,3 +121,13 @@ def test_prefix_range_reaches_the_scan(make_files, tmp_path):
     plan = plan_of(folders.browse_folders(stored, 1, r"c:\Data"))
     assert "GreaterThanOrEqual(path,C:\\DATA\\)" in plan and "LessThan(path,c:\\data])" in plan
     assert shown(folders.browse(stored, 1, r"c:\Data"))[1] == ["readme.txt"]
+
+
+# more bytes than a long holds
+HUGE = [(1, r"C:\data\a\x", 2**62, None), (1, r"C:\data\a\y", 2**62, None), (1, r"C:\data\b\z", 2**62 + 1, None), (2, r"C:\q\w", 5, None)]
+
+
+def test_rollup_of_more_bytes_than_a_long(make_files):
+    got = {(r.disk_id, r.folder): r.total_bytes for r in folders.folder_rollup(make_files(*HUGE)).collect()}
+    whole = 3 * 2**62 + 1
+    assert got == {(1, "C:"): whole, (1, r"C:\data"): whole, (1, r"C:\data\a"): 2**63, (1, r"C:\data\b"): 2**62 + 1, (2, "C:"): 5, (2, r"C:\q"): 5}
