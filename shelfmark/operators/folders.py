@@ -19,7 +19,7 @@ from ..functions import (
     under_folder,
 )
 from ..functions.paths import folder_of, join_segments, split_folder
-from .totals import total, total_type
+from .totals import LONG, total, total_type
 
 
 @dataclass(frozen=True)
@@ -42,15 +42,17 @@ def _below(rows: DataFrame, sep: str) -> DataFrame:
     return rows.withColumn("_rest", F.substr(tidy_path("path", sep), skip + 1)).where(F.col("_rest") != "")
 
 
-def _folders_at(rows: DataFrame, sep: str) -> DataFrame:
-    """Immediate sub-folders of ``head``, each with all that is below it."""
+def _folders_at(rows: DataFrame, kind: str, sep: str) -> DataFrame:
+    """Immediate sub-folders of ``head``, each with all that is below it.
+
+    Bytes are summed in the type ``kind`` (see ``total_type``)."""
     rest = F.col("_rest")
     path = F.when(F.col("head") == "", F.col("name")).otherwise(F.concat("head", F.lit(sep), "name"))
     return (
         _below(rows, sep)
         .where(F.contains(rest, F.lit(sep)))
         .groupBy("head", F.substring_index(rest, sep, 1).alias("name"))
-        .agg(F.count("*").alias("file_count"), F.sum(F.coalesce("size_bytes", F.lit(0))).alias("total_bytes"))
+        .agg(F.count("*").alias("file_count"), total(F.coalesce("size_bytes", F.lit(0)), kind).alias("total_bytes"))
         .select("name", path.alias("path"), "file_count", "total_bytes", human_size("total_bytes").alias("size_human"))
         .orderBy(F.lower("name"), "name")
     )
@@ -82,7 +84,8 @@ def _chosen(files: DataFrame, disk_id: int, folder: str | None, sep: str) -> Dat
 
 def browse_folders(files: DataFrame, disk_id: int, folder: str | None = None, sep: str = SEP) -> DataFrame:
     """Sub-folders of ``folder`` with the files and bytes below each."""
-    return _folders_at(_chosen(files, disk_id, folder, sep), sep)
+    rows = _chosen(files, disk_id, folder, sep)
+    return _folders_at(rows, total_type(rows), sep)
 
 
 def browse_files(files: DataFrame, disk_id: int, folder: str | None = None, sep: str = SEP) -> DataFrame:
@@ -133,7 +136,7 @@ def browse(files: DataFrame, disk_id: int, folder: str | None = None, sep: str =
         start = root_folder(files, disk_id, sep)
         # an aggregate without keys is one row, so broadcasting it is safe
         rows = files.where(F.col("disk_id") == disk_id).join(F.broadcast(start), "disk_id")
-    return Browse(_location(start, disk_id, sep), _folders_at(rows, sep), _files_at(rows, sep))
+    return Browse(_location(start, disk_id, sep), _folders_at(rows, LONG, sep), _files_at(rows, sep))
 
 
 def folder_rollup(files: DataFrame, sep: str = SEP) -> DataFrame:

@@ -127,6 +127,11 @@ def test_prefix_range_reaches_the_scan(make_files, tmp_path):
 HUGE = [(1, r"C:\data\a\x", 2**62, None), (1, r"C:\data\a\y", 2**62, None), (1, r"C:\data\b\z", 2**62 + 1, None), (2, r"C:\q\w", 5, None)]
 
 
+def test_browsed_folders_of_more_bytes_than_a_long(make_files):
+    got = folders.browse_folders(make_files(*HUGE), 1, "C:").collect()
+    assert [(r["name"], r["file_count"], r["total_bytes"], r["size_human"]) for r in got] == [("data", 3, 3 * 2**62 + 1, "12288.0 PB")]
+
+
 def test_rollup_of_more_bytes_than_a_long(make_files):
     got = {(r.disk_id, r.folder): r.total_bytes for r in folders.folder_rollup(make_files(*HUGE)).collect()}
     whole = 3 * 2**62 + 1
