@@ -19,7 +19,7 @@ from ..functions import (
     under_folder,
 )
 from ..functions.paths import folder_of, join_segments, split_folder
-from .totals import LONG, total, total_type
+from .totals import total, total_type
 
 
 @dataclass(frozen=True)
@@ -132,11 +132,13 @@ def browse(files: DataFrame, disk_id: int, folder: str | None = None, sep: str =
     if folder is not None:
         rows = _chosen(files, disk_id, folder, sep)
         start = files.sparkSession.range(1).select(F.lit(sep.join(split_folder(folder, sep))).alias("head"))
+        kind = total_type(rows)
     else:
         start = root_folder(files, disk_id, sep)
         # an aggregate without keys is one row, so broadcasting it is safe
-        rows = files.where(F.col("disk_id") == disk_id).join(F.broadcast(start), "disk_id")
-    return Browse(_location(start, disk_id, sep), _folders_at(rows, LONG, sep), _files_at(rows, sep))
+        on_disk = files.where(F.col("disk_id") == disk_id)
+        rows, kind = on_disk.join(F.broadcast(start), "disk_id"), total_type(on_disk)
+    return Browse(_location(start, disk_id, sep), _folders_at(rows, kind, sep), _files_at(rows, sep))
 
 
 def folder_rollup(files: DataFrame, sep: str = SEP) -> DataFrame:

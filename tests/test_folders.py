@@ -132,6 +132,14 @@ def test_browsed_folders_of_more_bytes_than_a_long(make_files):
     assert [(r["name"], r["file_count"], r["total_bytes"], r["size_human"]) for r in got] == [("data", 3, 3 * 2**62 + 1, "12288.0 PB")]
 
 
+def test_first_branching_of_more_bytes_than_a_long(make_files):
+    files = make_files(*HUGE)
+    assert shown(folders.browse(files, 1))[0] == {"a": (2, 2**63), "b": (1, 2**62 + 1)}
+    assert shown(folders.browse(files, 1, r"C:\data"))[0] == {"a": (2, 2**63), "b": (1, 2**62 + 1)}
+    # a disk's totals stay longs as long as its sizes allow it
+    assert dict(folders.browse(files, 2).folders.dtypes)["total_bytes"] == "bigint"
+
+
 def test_rollup_of_more_bytes_than_a_long(make_files):
     got = {(r.disk_id, r.folder): r.total_bytes for r in folders.folder_rollup(make_files(*HUGE)).collect()}
     whole = 3 * 2**62 + 1
