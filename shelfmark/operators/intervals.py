@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import SEP, ancestors, tidy_path
 from ..functions.paths import folder_of
+from .totals import total, total_type
 
 # the last of all characters: behind whatever a folder holds
 _END = "\U0010ffff"
@@ -25,9 +26,10 @@ def folder_intervals(files: DataFrame, sep: str = SEP) -> DataFrame:
     """(disk_id, folder, first, last, file_count, total_bytes) of every folder.
 
     Numbers begin with 1 and go on over all disks; a folder's own is ``first``."""
-    size = F.coalesce("size_bytes", F.lit(0))
+    kind = total_type(files)
+    size = total(F.coalesce("size_bytes", F.lit(0)), kind)
     direct = files.groupBy("disk_id", folder_of(tidy_path("path", sep), sep).alias("folder"))
-    direct = direct.agg(F.count("*").alias("n"), F.sum(size).alias("b")).where("folder != ''")
+    direct = direct.agg(F.count("*").alias("n"), size.alias("b")).where("folder != ''")
     # a folder without files of its own counts as one that holds none
     above = direct.select("disk_id", F.explode(ancestors("folder", sep)["path"]).alias("folder"))
     empty = above.distinct().select("*", F.lit(0).alias("n"), F.lit(0).alias("b"))
@@ -53,7 +55,7 @@ def folder_intervals(files: DataFrame, sep: str = SEP) -> DataFrame:
         F.max(F.when(begin, F.col("_one"))).cast("long").alias("first"),
         F.max(F.when(~begin, F.col("_one"))).cast("long").alias("last"),
         (F.max(F.when(~begin, F.col("_n"))) - F.max(F.when(begin, F.col("_n") - F.col("n")))).cast("long").alias("file_count"),
-        (F.max(F.when(~begin, F.col("_b"))) - F.max(F.when(begin, F.col("_b") - F.col("b")))).cast("long").alias("total_bytes"),
+        (F.max(F.when(~begin, F.col("_b"))) - F.max(F.when(begin, F.col("_b") - F.col("b")))).cast(kind).alias("total_bytes"),
     )
 
 

@@ -306,6 +306,12 @@ def test_intervals_of_odd_folders(make_files):
     assert intervals.folder_intervals(files.limit(0), "/").count() == 0
 
 
+def test_intervals_of_more_bytes_than_a_long(make_files):
+    files = make_files((1, "a/x", 2**62, None), (1, "a/b/y", 2**62, None), (2, "a/z", 2**62, None), (2, "c/z", 0, None), sep="/")
+    got = {(r.disk_id, r.folder): tuple(r)[2:] for r in intervals.folder_intervals(files, "/").collect()}
+    assert got == {(1, "a"): (1, 2, 2, 2**63), (1, "a/b"): (2, 2, 1, 2**62), (2, "a"): (3, 3, 1, 2**62), (2, "c"): (4, 4, 1, 0)}
+
+
 def test_signed_sums_after_moves_of_a_hot_hash(make_files):
     before = make_files(*[(1, f"/old/{n}", 5, "hot" if n % 3 == 0 else f"h{n}") for n in range(30)], sep="/")
     after = make_files(*[(1, f"/new/{n}", 5, "hot" if n % 3 else f"h{n}") for n in range(1, 31)], (1, "/new/none", None or 0, None), sep="/")
