@@ -18,7 +18,9 @@ def human_size(num_bytes: Column | str) -> Column:
     c = F.col(num_bytes) if isinstance(num_bytes, str) else num_bytes
     n = c.cast("double")
     scaled = n / _by_magnitude(n, [float(1 << 10 * power) for power in range(1, len(UNITS))])
-    text = (F.rint(scaled * 10) / 10).cast("string")
+    tenths = F.rint(scaled * 10) / 10
+    # from ten million on, a double is written with an exponent
+    text = F.when(tenths < 1e7, tenths.cast("string")).otherwise(tenths.cast("decimal(38,1)").cast("string"))
     unit = _by_magnitude(n, [f" {u}" for u in UNITS[1:]])
     small = F.concat(c.cast("long").cast("string"), F.lit(f" {UNITS[0]}"))
     return F.when(n < 1024, small).otherwise(F.concat(text, unit))

@@ -256,11 +256,13 @@ def url_paths(spark, sf):
 @query
 def size_functions(spark, sf):
     size = F.col("size_bytes")
+    # a million times a long may be beyond a long
+    exact = size.cast("decimal(20,0)")
     return t.files_orders(spark, sf).select(
         "path",
         C.human_size(size).alias("as_is"),
-        C.human_size(size * 1000).alias("thousandfold"),
-        C.human_size(size * 1_000_000).alias("millionfold"),
+        C.human_size(exact * 1000).alias("thousandfold"),
+        C.human_size(exact * 1_000_000).alias("millionfold"),
         C.human_size(size % 3000).alias("below"),
     )
 

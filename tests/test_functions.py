@@ -1,6 +1,8 @@
+import datetime as dt
 import itertools
 import mimetypes
 import random
+from decimal import Decimal
 from pathlib import PurePosixPath, PureWindowsPath
 
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfmark import functions as C
 from shelfmark.functions.kinds import CATEGORIES, MIME
 from shelfmark.functions.paths import folder_of, split_folder
+from shelfmark.plans.queries import QUERIES
 
 
 def column(spark, values, kind, expr):
@@ -37,6 +40,21 @@ def test_human_size_of_null(spark):
     assert column(spark, [None, 0], "long", C.human_size) == [None, "0 B"]
 
 
+def test_human_size_beyond_a_long(spark):
+    values = [10**n * k for n in range(17, 26) for k in (1, 7)] + [2**63 - 1, 2**63, 899_999**2 * 1009 * 10**6]
+    assert column(spark, [Decimal(v) for v in values], "decimal(38,0)", C.human_size) == [python_size(v) for v in values]
+
+
+def test_million_times_a_large_size(spark, tmp_path):
+    """``size_functions`` over an order whose size times a million is beyond a long."""
+    order = (1, 899_999, "O", 1.0, dt.datetime(1996, 1, 2), "1-URGENT")
+    kinds = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+    spark.createDataFrame([order], kinds).write.parquet(str(tmp_path / "orders.parquet"))
+    size = 899_999**2 * 1009
+    got = QUERIES["size_functions"](spark, str(tmp_path)).first()
+    assert tuple(got)[1:] == (*[python_size(size * n) for n in (1, 1000, 10**6)], python_size(size % 3000))
+
+
 def test_suffix(spark):
     names = {
         "a.TXT": ".txt", ".bashrc": "", "a.": "", "..foo": ".foo", "x.tar.gz": ".gz", "noext": "",
