@@ -236,7 +236,7 @@ def bitmaps_or_empty(bitmaps: list[bytes | None]) -> list[bytes]:
 KEY_SETS = 20_000
 
 
-def _neighbourhoods(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _neighbourhoods(sets: DataFrame, classes: DataFrame, percent: int, key_sets: int = KEY_SETS) -> DataFrame:
     """(node, component) of sets that meet another set they may link with."""
     from pyspark.sql import Window
 
@@ -257,11 +257,19 @@ def _neighbourhoods(sets: DataFrame, classes: DataFrame, percent: int) -> DataFr
     groups = there.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("other"), named).where("n > 2")
     once = groups.groupBy("n", "named", "other").agg(F.min("key").alias("key"))
     once = stage(once.select("key", "n", "other"), "groups")
-    many = once.where(F.col("n") > KEY_SETS).select("key", "other")
-    few = there.join(small(once.where(F.col("n") <= KEY_SETS).select("key")), "key")
+    many = once.where(F.col("n") > key_sets).select("key", "other")
+    few = there.join(small(once.where(F.col("n") <= key_sets).select("key", F.col("other").alias("hub"))), "key")
+    # keys with the same first set mostly hold the same sets: these are compared at once,
+    # each sent once for all of the keys, unless that would be more sets than a key may have
+    hubs = stage(few.select("hub", "node").distinct(), "hubs")
+    wide = stage(hubs.groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") > key_sets).select("hub"), "wide")
+    alone = few.join(small(wide), "hub").select("key", "node")
+    release(sets.sparkSession)
     edges = checked.where("ok").select("node", "other")
     edges = edges.unionByName(there.join(small(many), "key").select("node", "other"))
-    edges = edges.unionByName(_compared(few, shape, percent))
+    edges = edges.unionByName(_compared(hubs.join(small(wide), "hub", "left_anti").withColumnRenamed("hub", "key"), shape, percent))
+    if wide.limit(1).count():
+        edges = edges.unionByName(_compared(alone, shape, percent))
     early = sets.select("node", F.explode("met").alias("other"))
     edges = stage(edges.unionByName(early).where("node != other").distinct(), "edges")
     release(sets.sparkSession)
