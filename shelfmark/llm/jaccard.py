@@ -93,20 +93,26 @@ def size_classes() -> list[int]:
 
 
 def part_count(largest: int, percent: int) -> tuple[int, int]:
-    """Parts for pairs whose larger set has at most ``largest`` members, and how
-    many empty parts a set may have before they too are used.
+    """Parts for pairs whose larger set has at most ``largest`` members, and how many
+    of its parts a set leaves out.
 
-    Linked sets x, y differ in at most (100-p)/(100+p) * (|x|+|y|) members.  With
-    that many parts and ``spare`` + 1 more, either some part with members agrees,
-    or both sets have more than ``spare`` empty parts, and an empty part agrees.
+    Linked sets x, y differ in at most (100-p)/(100+p) * (|x|+|y|) members, and agree in
+    all parts that none of these is in.  With that many parts and ``spare`` + 1 more, they
+    agree in ``spare`` + 1 parts or more.
     """
     differ = (100 - percent) * 2 * largest // (100 + percent)
-    spare = 2 + differ // 16
+    spare = 2 + differ // 2
     return (0, 0) if differ == 0 else (differ + 1 + spare, spare)
 
 
 def part_keys(members: np.ndarray, bounds: list[int], percent: int) -> np.ndarray:
-    """Keys under which a set meets every set it might link with."""
+    """Keys under which a set meets every set it might link with.
+
+    A set leaves out its ``spare`` least parts, in an order of what is in them: parts of
+    few members first, which unlike sets with a passage in common agree in.  Of linked
+    sets take the one whose last part left out comes later.  It keeps a part they agree
+    in, and as that comes later still, the other set keeps it too.
+    """
     n, keys = len(members), []
     at = np.searchsorted(bounds, n, "right") - 1
     # also in the classes of larger sets that could still link
@@ -116,13 +122,11 @@ def part_keys(members: np.ndarray, bounds: list[int], percent: int) -> np.ndarra
             part = (mixed(members ^ _PART) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             filled, starts = np.unique(part[order], return_index=True)
+            value, held = np.full(parts, _EMPTY), np.bincount(part, minlength=parts)
             # members are in order, so equal parts add up equal terms
-            value = np.add.reduceat(mixed(members[order]), starts) ^ np.bitwise_xor.reduceat(members[order], starts)
-            if parts - len(filled) > spare:
-                bare = np.setdiff1d(np.arange(parts), filled)
-                filled, value = np.concatenate([filled, bare]), np.concatenate([value, np.full(len(bare), _EMPTY)])
-            salt = mixed(filled.astype(np.uint64) + np.uint64(at << 40))
-            keys.append(mixed(value ^ salt))
+            value[filled] = np.add.reduceat(mixed(members[order]), starts) ^ np.bitwise_xor.reduceat(members[order], starts)
+            key = mixed(value ^ mixed(np.arange(parts, dtype=np.uint64) + np.uint64(at << 40)))
+            keys.append(key[np.lexsort((key, held))[spare:]])
         at += 1
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 

@@ -29,6 +29,9 @@ from .words import SLICE_BYTES, by_slices, hashes, mixed, words_of
 
 _PAIR, _SKIP = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 _STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+#: features of a text take many times its bytes, and a stage of a pipeline shares its
+#: executors with what the stages before it left
+_MOST = SLICE_BYTES // 16
 
 
 @dataclass(frozen=True)
@@ -115,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings
         return pa.record_batch([batch.column("doc_id"), batch.column("label"), pa.array(packed, pa.binary())], ["doc_id", "label", "found"])
 
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
-    rows = texts.mapInArrow(by_slices(numbers), "doc_id long, label int, found binary").toArrow().to_pylist()
+    rows = texts.mapInArrow(by_slices(numbers, _MOST), "doc_id long, label int, found binary").toArrow().to_pylist()
     # the order of learning is that of the ids' hashes, not of the partitions
     rows.sort(key=lambda r: (mixed(np.array([r["doc_id"]], np.int64).view(np.uint64))[0], r["found"]))
     bias = np.zeros(1, np.uint32)
@@ -154,7 +157,7 @@ def score(docs: DataFrame, model, settings: Settings = Settings()) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.record_batch([batch.column("doc_id"), pa.array(scores(batch.column("text"))[1])], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(by_slices(work), "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(by_slices(work, _MOST), "doc_id long, score double")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.5, settings: Settings = Settings()) -> DataFrame:
@@ -166,9 +169,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, held_out: Column, threshold:
         own, found = scores(batch.column("text"))
         return batch.filter(pa.array((found < threshold) | (own <= 0)))
 
-    # features of a text take many times its bytes, and a stage of a pipeline shares its
-    # executors with what the stages before it left
-    return docs.mapInArrow(by_slices(work, SLICE_BYTES // 4), docs.schema)
+    return docs.mapInArrow(by_slices(work, _MOST), docs.schema)
 
 
 def fold(mod: int) -> Column:

@@ -1,6 +1,7 @@
 """What the toxicity filter keeps when little or nothing is learned."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -27,3 +28,22 @@ def test_learned_words_still_drop_rows(spark, tmp_path):
 def test_bias_is_not_held_at_zero():
     kept, weights = toxicity.fit([(np.zeros(1, np.uint32), 0)], toxicity.Settings(bits=4))
     assert kept.tolist() == [0] and weights[0] < 0
+
+
+def test_features_are_taken_of_a_few_texts_at_a_time(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "vile word"), (2, "fine word")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0)], LABELS)
+    sent, sizes, map_in_arrow = [], [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, work, *schema: sent.append(work) or map_in_arrow(self, work, *schema))
+    toxicity.toxicity(docs, labels, toxicity.fold(5) == 0)
+    toxicity.drop_toxic(docs, labels, toxicity.fold(5) == 0)
+    # learning, scoring, learning again, dropping
+    assert len(sent) == 4
+
+    features = toxicity.features
+    monkeypatch.setattr(toxicity, "features", lambda texts, bits: sizes.append(texts.nbytes) or features(texts, bits))
+    texts = [f"{'vile' if i % 2 else 'fine'} w{i} " * 8000 for i in range(64)]
+    batch = pa.record_batch({"doc_id": pa.array(range(64), pa.int64()), "label": pa.array([i % 2 for i in range(64)], pa.int32()), "text": texts})
+    for work in sent:
+        assert sum(part.num_rows for part in work(iter([batch]))) <= 64
+    assert max(sizes) < 1 << 20
