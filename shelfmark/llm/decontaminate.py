@@ -17,8 +17,11 @@ Words are longest runs of letters and digits, lower-cased.  Built-in expressions
 only: windows are taken from the array of word hashes by position, and hits are
 checked where they are found, so no text is shuffled.
 
-Seeds and items are broadcast in blocks of bounded size; a larger benchmark makes
-more blocks, not larger ones.
+Seeds and items are broadcast in blocks of bounded size, one block after another; a
+larger benchmark makes more blocks, not larger ones.  Items of the same words are
+searched for once.  Texts are looked up in chunks, and a hit takes along only the
+words around it, so what hits hold depends neither on the length of a text nor on
+how often an item comes.
 
 Defined results: null and empty texts contain nothing and are contained in
 nothing; an item longer than ``PIECE`` words is searched for in pieces, which
@@ -35,7 +38,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .staging import small, stage, unused
+from .staging import release, small, stage, unused
 
 #: complete for ``RUN`` at 80 percent, and for whole items of ``SHORT`` words and more
 MASKS = ("11111", "111011", "11001011")
@@ -43,6 +46,8 @@ RUN, SHORT = 13, 8
 PIECE = 256
 #: words of benchmark text whose seeds and items are broadcast at once
 BLOCK_WORDS = 250_000
+#: windows of a text that are looked up as one row
+CHUNK_WORDS = 512
 
 
 def word_hashes(text: str = "text") -> Column:
@@ -101,7 +106,12 @@ def _pieces(benchmark: DataFrame, percent: int) -> DataFrame:
     later = F.greatest(F.ceil((F.size("whole") - most) / (most - overlap)), F.lit(0)).cast("int")
     cut = items.withColumn("begin", F.explode(F.transform(F.sequence(F.lit(0), later), lambda n: n * (most - overlap))))
     pieces = cut.select("item_id", F.slice("whole", F.col("begin") + 1, F.lit(most)).alias("item_words")).distinct()
-    return pieces.withColumn("piece", F.xxhash64("item_id", "item_words"))
+    return pieces.withColumn("piece", F.xxhash64("item_words"))
+
+
+def _bodies(pieces: DataFrame) -> DataFrame:
+    """(piece, item_words): words that several items have are searched for once."""
+    return stage(pieces.select("piece", "item_words").distinct(), "bodies")
 
 
 def _counts(agreeing: Column, percent: int) -> Column:
@@ -115,38 +125,75 @@ def _counts(agreeing: Column, percent: int) -> Column:
     return (F.size(agreeing) >= need) & F.exists(F.sequence(F.lit(0), F.greatest(F.size(agreeing) - need, F.lit(0))), some)
 
 
-def contained(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
-    """(doc_id, item_id, item_words, matched) of items contained in documents; the
-    last two count words of the item (of its piece) and those that agree."""
-    pieces = stage(_pieces(benchmark, percent), "items")
-    total = pieces.agg(F.sum(F.size("item_words"))).first()[0] or 0
+def _hits(docs: DataFrame, seeds: DataFrame, masks: dict[str, Column], longest: int) -> DataFrame:
+    """(doc_id, seed, near) of windows whose seed some item has; ``near``: the window's
+    first word, and ``longest`` words before and after it (null: none there).
+
+    Spark compiles explodes and joins into one loop, which holds all that a row yields
+    until the row is through.  So texts are cut into chunks of ``CHUNK_WORDS`` windows
+    with ``longest`` words around; both transform() stay outside of that loop, and rows
+    pass them one by one."""
+    shortest = min(map(len, masks))
+
+    def chunk(n: Column) -> Column:
+        before = F.least(n * CHUNK_WORDS, F.lit(longest))
+        words = F.slice("whole", n * CHUNK_WORDS - before + 1, before + CHUNK_WORDS + longest)
+        return F.struct(before.alias("before"), words.alias("words"))
+
+    last = F.floor((F.size("whole") - shortest) / CHUNK_WORDS).cast("int")
+    numbers = F.when(F.size("whole") >= shortest, F.sequence(F.lit(0), last))
+    chunks = docs.select("doc_id", word_hashes().alias("whole")).select("doc_id", F.inline(F.transform(numbers, chunk)))
+    end = F.least(F.col("before") + CHUNK_WORDS - 1, F.size("words") - shortest)
+    placed = chunks.select("doc_id", "words", F.explode(F.sequence("before", end)).alias("at"))
+    windows = placed.withColumn("seed", F.explode(F.array(*[_seed("words", mask) for mask in masks])))
+    known = windows.join(F.broadcast(seeds.select("seed").distinct()), "seed", "left_semi")
+    near = F.transform(F.sequence(F.col("at") - longest, F.col("at") + longest), lambda k: F.get("words", k))
+    return known.select("doc_id", "seed", near.alias("near"))
+
+
+def _found(docs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, piece, length, matched): the most words of a piece that agree in a
+    stretch of a document that counts.  ``bodies``: (piece, item_words), each once."""
+    spark = docs.sparkSession
+    total = bodies.agg(F.sum(F.size("item_words"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_WORDS))
-    # of at most PIECE different lengths
-    lengths = [r[0] for r in pieces.select(F.size("item_words")).distinct().collect()]
-    masks = _masks(lengths or [SHORT], percent)
+    # of at most PIECE different lengths, or some more below 80 percent
+    lengths = [r[0] for r in bodies.select(F.size("item_words")).distinct().collect()] or [SHORT]
+    masks, longest = _masks(lengths, percent), max(*lengths, SHORT)
     shortest = min(map(len, masks))
-    texts = docs.select("doc_id", word_hashes().alias("words"))
     found = []
     for block in range(blocks):
-        some = pieces.where(F.pmod("piece", F.lit(blocks)) == block)
-        sized = some.withColumn("length", F.size("item_words"))
+        some = bodies.where(F.pmod("piece", F.lit(blocks)) == block).withColumn("length", F.size("item_words"))
         served = [F.when(serves, _seed("item_words", mask)) for mask, serves in masks.items()]
-        seeds = _windows(sized, "item_words", served, shortest).select("seed", F.col("at").alias("item_at"), "piece")
         # at most BLOCK_WORDS windows under each mask, and as many words of items
-        windows = _windows(texts, "words", [_seed("words", mask) for mask in masks], shortest)
-        hits = windows.join(F.broadcast(seeds.where("seed is not null")), "seed").join(F.broadcast(sized), "piece")
-        start = F.col("at") - F.col("item_at")
-        # get() gives null before the first word and after the last
+        seeds = _windows(some, "item_words", served, shortest).where("seed is not null")
+        places = seeds.select("seed", F.col("at").alias("item_at"), "piece", "length")
+        pairs = _hits(docs, seeds, masks, longest).join(F.broadcast(places), "seed")
+        beside = F.slice("near", F.lit(longest + 1) - F.col("item_at"), F.col("length")).alias("beside")
+        laid = pairs.select("doc_id", "piece", beside)
         agreeing = F.filter(
             F.sequence(F.lit(0), F.col("length") - 1),
-            lambda k: F.coalesce(F.get("words", start + k) == F.get("item_words", k), F.lit(False)),
+            lambda k: F.coalesce(F.get("beside", k) == F.get("item_words", k), F.lit(False)),
         )
         # as a row of its own, so that the places are found once and not at each use
         counted = F.explode(F.filter(F.array(agreeing), lambda a: _counts(a, percent))).alias("agreeing")
-        checked = hits.select("doc_id", "item_id", "length", counted)
-        found.append(checked.select("doc_id", "item_id", "length", F.size("agreeing").alias("matched")))
+        checked = laid.join(F.broadcast(some), "piece").select("doc_id", "piece", "length", counted)
+        matched = checked.groupBy("doc_id", "piece", "length").agg(F.max(F.size("agreeing")).alias("matched"))
+        # block after block: what is broadcast for one goes before the next
+        found.append(stage(matched, "found"))
+        if blocks > 1:
+            del some, seeds, places, pairs, laid, checked, matched
+            release(spark)
+    return reduce(DataFrame.unionByName, found)
+
+
+def contained(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
+    """(doc_id, item_id, item_words, matched) of items contained in documents; the
+    last two count words of the item (of its piece) and those that agree."""
+    pieces = stage(_pieces(benchmark, percent), "items")
+    found = _found(docs, _bodies(pieces), percent)
     best = F.max(F.struct(F.col("matched") / F.col("length"), "matched", "length")).alias("best")
-    rows = reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(best)
+    rows = found.join(small(pieces.select("piece", "item_id")), "piece").groupBy("doc_id", "item_id").agg(best)
     return rows.select("doc_id", "item_id", F.col("best.length").alias("item_words"), F.col("best.matched").alias("matched"))
 
 
@@ -158,7 +205,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> D
     # 128 bits: a clean text does not share them with another
     keyed = docs.withColumn(name, F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     named = keyed.select(F.col(name).alias("doc_id"), "text")
-    bad = stage(contained(named, benchmark, percent).select(F.col("doc_id").alias(name)).distinct(), "contained")
+    found = _found(named, _bodies(stage(_pieces(benchmark, percent), "items")), percent)
+    bad = stage(found.select(F.col("doc_id").alias(name)).distinct(), "contained")
     return keyed.join(small(bad), name, "left_anti").select(*docs.columns)
 
 
