@@ -18,14 +18,24 @@ from shelfmark.llm import decontaminate, jaccard, mixing, sharding, toxicity
 from shelfmark.llm.staging import new_folder, release
 
 SHARDS = 40
+#: bytes of rows handed to a Python worker at once: the JVM holds them up to three times
+#: beside its heap while a batch grows, and the worker once more
+BATCH_BYTES = 4 * 1024 * 1024
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    """Stages are computed after they return, so this setting of the session stays."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _bound_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.drop_toxic(docs, labels, toxicity.fold(5) == 0)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _bound_batches(spark)
     return jaccard.keep_one(docs, shingle=5, percent=80)
 
 
@@ -34,6 +44,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _bound_batches(spark)
     return mixing.mixed_documents(docs)
 
 
